@@ -6,8 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, line_dedup, token_counts
-from .common import bound_arrow, read, whole
+from . import bpe, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, near_dedup, quality_knn, token_counts
+from .common import bound_arrow, crc_mod, read, whole
 
 
 def tokenizer(name: str) -> str:
@@ -27,6 +27,35 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read(spark, sf_dir, "documents")).drop("detections")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_arrow(spark)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    rows = language_id.training_rows(docs, "doc_id", "text", "lang", crc_mod("doc_id", 5) != 0)
+    out = language_id.identify(docs, language_id.fit(rows))
+    return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_arrow(spark)
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    rows = quality_knn.training_rows(docs, labels, "quality", "doc_id", "text", crc_mod("doc_id", 3) != 1)
+    out = quality_knn.classify(docs.select("doc_id", "text"), quality_knn.fit(rows))
+    return out.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_arrow(spark)
+    return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound_arrow(spark)
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
@@ -39,7 +68,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op3_license_scan, op7_token_counts, op10_bpe)
+    f.__name__: f for f in (
+        op1_line_dedup, op2_language_id, op3_license_scan, op4_quality, op5_near_dedup, op6_decontaminate,
+        op7_token_counts, op9_embedding_dedup, op10_bpe)
 }
 
 ORACLES: dict[str, str] = {
