@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, near_dedup, quality_knn, token_counts
+from . import bpe, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, near_dedup, pii, quality_knn, token_counts
 from .common import bound_arrow, crc_mod, read, whole
 
 
@@ -52,6 +52,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_arrow(spark)
+    return pii.find_pii(read(spark, sf_dir, "documents"), pii.train())
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(read(spark, sf_dir, "embeddings"))
 
@@ -70,7 +75,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_line_dedup, op2_language_id, op3_license_scan, op4_quality, op5_near_dedup, op6_decontaminate,
-        op7_token_counts, op9_embedding_dedup, op10_bpe)
+        op7_token_counts, op8_pii, op9_embedding_dedup, op10_bpe)
 }
 
 ORACLES: dict[str, str] = {
