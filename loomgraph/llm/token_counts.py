@@ -1,6 +1,8 @@
 """Token counts with overlap resynchronisation for huge texts.
 
-A text of at most ``chunk`` characters goes to the tokenizer as it is. A longer one is
+A text of at most ``chunk`` characters is cut at its white space, where the same argument
+holds as below: its pieces are counted one by one and remembered, so a piece that occurs
+in many texts is encoded once a process. A longer text is
 cut to chunks that overlap; each is encoded with offsets, and neighbours are spliced at
 a stable boundary in the overlap: a white-space character outside every token of both
 encodings. The tokenizer drops white space before its merges and none of its split
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 CHUNK = 16384
 OVERLAP = 256
 LIMIT = 2048
+#: Pieces that a process remembers at most.
+PIECES = 600_000
 #: Characters that every part of the pipeline of these tokenizers treats as white space.
 STABLE = " \n\t\r"
 
@@ -96,17 +100,36 @@ def encode_long(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> l
     return done + [i for _, _, i in left]
 
 
+class PieceCounts:
+    """Tokens of white-space-free pieces, at most PIECES of them at a time."""
+
+    def __init__(self, tok) -> None:
+        self.tok, self.known = tok, {"": 0}
+
+    def counts(self, texts: list[str]) -> list[int]:
+        pieces = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        new = list({p for ps in pieces for p in ps if p not in self.known})
+        if len(self.known) + len(new) > PIECES:
+            self.known = {"": 0}
+            new = list({p for ps in pieces for p in ps if p})
+        for k in range(0, len(new), 1024):
+            part = new[k : k + 1024]
+            self.known.update(zip(part, map(len, self.tok.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+        return [sum(map(self.known.__getitem__, ps)) for ps in pieces]
+
+
 def _counter(path: str, chunk: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = load(path)
+        pieces = _LOADED.setdefault(("pieces", path), PieceCounts(tok))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             counts = [0] * len(texts)
             short = [i for i, t in enumerate(texts) if t and len(t) <= chunk]
             for k in range(0, len(short), 64):
                 part = short[k : k + 64]
-                for i, e in zip(part, tok.encode_batch_fast([texts[i] for i in part], add_special_tokens=False), strict=True):
-                    counts[i] = len(e)
+                for i, n in zip(part, pieces.counts([texts[i] for i in part]), strict=True):
+                    counts[i] = n
             for i, t in enumerate(texts):
                 if t and len(t) > chunk:
                     counts[i] = len(encode_long(tok, t, chunk, overlap))
