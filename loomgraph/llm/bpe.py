@@ -18,6 +18,7 @@ import os
 import re
 import struct
 import tempfile
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,6 +35,8 @@ LEXICON_WORDS = 60_000
 #: Words a process remembers at most; beyond that it starts anew.
 CACHE_WORDS = 800_000
 
+NEVER = 1 << 62
+
 #: Within these characters Python's classes are those of the tokenizer's pattern.
 _COMMON = re.compile(r"[\n\t\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xbb\xbf-ɏ]*")
 _WORDS = re.compile(r"'(?:[sdmt]|ll|re|ve)| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -65,6 +68,7 @@ class ByteBPE:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             a, b = raw(a), raw(b)
             self.rank[self.ids[a], self.ids[b]] = (r, self.ids[a + b])
+        self.code = {k: r << 32 | new for k, (r, new) in self.rank.items()}
         self._split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         from tokenizers import Tokenizer
 
@@ -91,28 +95,17 @@ class ByteBPE:
         return self._merge_heap(word) if len(word) > 64 else self._merge_scan(word)
 
     def _merge_scan(self, word: str) -> list[int]:
-        single, rank = self.single, self.rank
+        single, get = self.single, self.code.get
         ids = [single[b] for b in word.encode()]
-        get = rank.get
-        while len(ids) > 1:
-            best = None
-            for pair in zip(ids, ids[1:]):
-                r = get(pair)
-                if r is not None and (best is None or r < best):
-                    best, found = r, pair
-            if best is None:
-                break
-            out, i, n = [], 0, len(ids)
-            a, b = found
-            new = best[1]
-            while i < n:
-                if i + 1 < n and ids[i] == a and ids[i + 1] == b:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+        codes = [get(p, NEVER) for p in zip(ids, ids[1:])]  # the rank and id of each pair, as one number
+        while codes and (best := min(codes)) != NEVER:
+            i = codes.index(best)
+            ids[i : i + 2] = [new] = [best & 0xFFFFFFFF]
+            del codes[i]
+            if i:
+                codes[i - 1] = get((ids[i - 1], new), NEVER)
+            if i < len(codes):
+                codes[i] = get((new, ids[i + 1]), NEVER)
         return ids
 
     def _merge_heap(self, word: str) -> list[int]:
@@ -192,9 +185,9 @@ def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
             before += total[t]
         first.append(len(label))
     ids = [entries[w] for w in words]
-    arrays = [np.array(x, "<i4") for x in (first, label, target, skip, [ok for _, ok in states],
+    arrays = [np.array(x, "<i4") for x in (first, target, skip, [ok for _, ok in states],
               np.cumsum([0, *map(len, ids)]), [i for x in ids for i in x])]
-    return struct.pack("<8i", root, *map(len, arrays)) + b"".join(a.tobytes() for a in arrays)
+    return struct.pack("<8i", root, *map(len, arrays), len(label)) + b"".join(a.tobytes() for a in arrays) + bytes(label)
 
 
 class Lexicon:
@@ -203,26 +196,20 @@ class Lexicon:
     def __init__(self, buffer) -> None:
         head = struct.unpack_from("<8i", buffer)
         self.root, at, parts = head[0], 32, []
-        for n in head[1:]:
+        for n in head[1:7]:
             parts.append(memoryview(buffer)[at : at + 4 * n].cast("i"))
             at += 4 * n
-        self.first, self.label, self.target, self.skip, self.ok, self.start, self.ids = parts
+        self.first, self.target, self.skip, self.ok, self.start, self.ids = parts
+        self.labels, self.find = at, buffer.find  # the labels of the edges, a byte each
 
     def get(self, word: bytes) -> list[int] | None:
-        state, rank = self.root, 0
-        first, label = self.first, self.label
-        for c in word:
-            lo, hi = first[state], first[state + 1]
-            while lo < hi:  # edges are in order of their labels
-                mid = (lo + hi) >> 1
-                if label[mid] < c:
-                    lo = mid + 1
-                else:
-                    hi = mid
-            if lo == first[state + 1] or label[lo] != c:
+        state, rank, first, labels, find = self.root, 0, self.first, self.labels, self.find
+        for k in range(len(word)):
+            edge = find(word[k : k + 1], labels + first[state], labels + first[state + 1]) - labels
+            if edge < 0:
                 return None
-            rank += self.skip[lo]
-            state = self.target[lo]
+            rank += self.skip[edge]
+            state = self.target[edge]
         return self.ids[self.start[rank] : self.start[rank + 1]].tolist() if self.ok[state] and word else None
 
 
@@ -257,7 +244,7 @@ class _Encoded(dict):
         ids = self.lexicon.get(word.encode()) if self.lexicon else None
         if ids is None:
             ids = self.bpe.merge(word)
-        out = struct.pack(f"<{len(ids)}I", *ids)
+        out = array("I", ids).tobytes()
         if len(self) >= CACHE_WORDS:
             self.clear()
         self[word] = out
