@@ -248,7 +248,7 @@ def supersession(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add(f"""WITH {_CARDS}, d AS (SELECT o_orderkey, {_DECAYED} AS r FROM c), s AS (SELECT DISTINCT old FROM c WHERE old IS NOT NULL)
-SELECT o_orderkey::VARCHAR AS doc_id, CASE WHEN s.old IS NULL THEN 'active' ELSE 'superseded' END AS status, CASE WHEN s.old IS NULL THEN r ELSE printf('%.4f', r * 0.1::DOUBLE)::DOUBLE END AS relevance FROM d LEFT JOIN s ON s.old = o_orderkey""")
+SELECT o_orderkey::VARCHAR AS doc_id, CASE WHEN s.old IS NULL THEN 'active' ELSE 'superseded' END AS status, CASE WHEN s.old IS NULL THEN r ELSE round((r * 0.1::DOUBLE)::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE END AS relevance FROM d LEFT JOIN s ON s.old = o_orderkey""")
 def decay_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.decay import decay_pass as run
 
@@ -257,7 +257,7 @@ def decay_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add(f"""WITH {_CARDS}, d AS (SELECT o_orderkey, {_DECAYED} AS r FROM c), s AS (SELECT DISTINCT old FROM c WHERE old IS NOT NULL),
-x AS (SELECT o_orderkey, CASE WHEN s.old IS NULL THEN r ELSE printf('%.4f', r * 0.1::DOUBLE)::DOUBLE END AS relevance FROM d LEFT JOIN s ON s.old = o_orderkey)
+x AS (SELECT o_orderkey, CASE WHEN s.old IS NULL THEN r ELSE round((r * 0.1::DOUBLE)::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE END AS relevance FROM d LEFT JOIN s ON s.old = o_orderkey)
 SELECT o_orderkey::VARCHAR AS doc_id, relevance FROM x WHERE relevance < 0.1""")
 def archive_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.decay import archive_candidates as scan
