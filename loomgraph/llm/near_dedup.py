@@ -8,12 +8,13 @@ are drawn beyond the first. Two registers agree with the probability Jaccard sim
 of the weighted sets. Registers are grouped to bands; documents that share a band are
 candidates, and the Jaccard similarity of their shingle sets is computed exactly.
 
-Copies with the same words are one class before banding. Pairs of a band's bucket are not
-listed: (1) all members are compared with the smallest, and verified links give components;
-(2) only buckets that still span components are looked at again, and there only members of
-different components, outside the largest one against all, are compared. A bucket over
-``BUCKET`` that spans components is first split: its pairs must share a second band. What
-is left out by (2) cannot join two components, so the result is that of all pairs.
+Copies with the same words are one class before banding, and the pairs of a bucket are not
+listed. All buckets with the same smallest member - their leader - form a group. (1) Each
+member is compared with the leader; verified links give components. (2) Members that stay
+outside the leader's component are compared with all others of the group, in tiles of at
+most ``TILE`` by ``TILE`` documents; a tile gives a spanning forest of the links it finds,
+not the pairs it looks at. Two members of one bucket are thus either joined by their leader
+or compared, so the components are those of all candidate pairs.
 """
 from __future__ import annotations
 
@@ -21,18 +22,20 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stage, bound_arrow
-from .components import components
+from .components import components, spanning
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 5
-BUCKET = 100
+#: Documents on a side of a tile.
+TILE = 256
 #: Candidate ids are broadcast up to this many (8 bytes each), and shuffled beyond it.
 BROADCAST_IDS = 2_000_000
 CACHE_WORDS = 500_000
@@ -146,6 +149,31 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             .where(F.col("common") >= F.lit(threshold) * (F.size("x") + F.size("y") - F.col("common")) - 1e-9).select("a", "b"))
 
 
+def _tile(threshold: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        outside, every = pdf[pdf["outside"]], pdf[~pdf["outside"]]
+        if outside.empty or every.empty:
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+        sizes = every["shingles"].map(len).to_numpy()
+        vocab, where = np.unique(np.concatenate(every["shingles"].to_numpy()), return_inverse=True)
+        starts = np.r_[0, np.cumsum(sizes)[:-1]]
+        ids, comps = every["rep"].to_numpy(), every["component"].to_numpy()
+        flags, found = np.zeros(len(vocab), np.int32), ([], [])
+        for rep, comp, own in zip(outside["rep"], outside["component"], outside["shingles"], strict=True):
+            at = np.searchsorted(vocab, own)
+            at = at[(at < len(vocab))]
+            at = at[np.isin(vocab[at], own)]
+            flags[at] = 1
+            common = np.add.reduceat(flags[where], starts)  # with each of the others, exactly
+            flags[at] = 0
+            near = (common >= threshold * (len(own) + sizes - common) - 1e-9) & (comps != comp)
+            found[0].extend([rep] * int(near.sum()))
+            found[1].extend(ids[near].tolist())
+        kept = spanning(*found)
+        return pd.DataFrame({"a": [found[0][i] for i in kept], "b": [found[1][i] for i in kept]}, dtype="int64")
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, class_id, kept), one row per row of ``docs``.
 
@@ -172,24 +200,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = stage.write(held.mapInArrow(_sets, "id long, shingles array<long>").dropDuplicates(["id"]) if not few else
                        held.mapInArrow(_sets, "id long, shingles array<long>"), "sets")
     stars = stage.write(members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
+    stage.drop("members")
     links = stage.write(_verified(stars, sets, threshold), "links-of-leaders")
     comps = stage.write(components(links, stage), "components-1")
-    # buckets that still span components
-    labelled = stage.write(members.select("bucket", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-                           .select("bucket", "rep", F.coalesce("component", "rep").alias("component")), "labelled")
-    parts = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    spans = (parts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
-             .where("k > 1").drop("k"))
-    split = stage.write(labelled.join(spans, "bucket"), "split")
-    large = split.where(F.col("n") > BUCKET)
-    second = large.alias("l").join(classes.select("rep", F.explode("bands").alias("other")), "rep").where("other <> bucket").select(
-        F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other")).alias("bucket"), "rep", "component", "major")
-    groups = split.where(F.col("n") <= BUCKET).select("bucket", "rep", "component", "major").unionByName(second)
-    minor = groups.where("component <> major").select("bucket", F.col("rep").alias("r1"), F.col("component").alias("c1"))
-    other = groups.select("bucket", F.col("rep").alias("r2"), F.col("component").alias("c2"))
-    crossed = (minor.join(other, "bucket").where("c1 <> c2").select(F.least("r1", "r2").alias("a"), F.greatest("r1", "r2").alias("b")).distinct()
-               .join(stars, ["a", "b"], "left_anti"))
-    more = stage.write(_verified(stage.write(crossed, "crossed"), sets, threshold), "links-across")
+    # groups of a leader, with the component of each member
+    component = comps.select(F.col("node").alias("n"), "component")
+    group = stars.select("a", F.col("b").alias("rep")).unionByName(stars.select("a", F.col("a").alias("rep")).distinct())
+    group = group.join(component, F.col("rep") == F.col("n"), "left").select("a", "rep", F.coalesce("component", "rep").alias("component"))
+    group = stage.write(group, "groups")
+    heads = group.where("a = rep").select(F.col("a").alias("h"), F.col("component").alias("own"))
+    told = stage.write(group.join(heads, F.col("a") == F.col("h")).select("a", "rep", "component", (F.col("component") != F.col("own")).alias("outside")), "told")
+    sizes = told.groupBy("a").agg(F.sum(F.col("outside").cast("int")).alias("n_out"), F.count(F.lit(1)).alias("n")).where("n_out > 0 and n > 2").select(
+        F.col("a").alias("h"), F.ceil(F.col("n_out") / TILE).cast("int").alias("ti"), F.ceil(F.col("n") / TILE).cast("int").alias("tj"))
+    open_groups = told.join(sizes, F.col("a") == F.col("h")).drop("h").where("rep <> a")  # all are compared with the leader
+    spot = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    rows = open_groups.where("outside").select("a", "rep", "component", "outside", spot(F.col("ti")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("tj") - 1)).alias("j")).unionByName(
+        open_groups.select("a", "rep", "component", F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("ti") - 1)).alias("i"), spot(F.col("tj")).alias("j")))
+    tiles = rows.join(sets, F.col("rep") == F.col("id")).select("a", "i", "j", "rep", "component", "outside", "shingles")
+    more = stage.write(tiles.groupBy("a", "i", "j").applyInPandas(_tile(threshold), "a long, b long"), "links-across")
     final = stage.write(components(links.unionByName(more), stage), "components-2")
     of_class = classes.select("key", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("key").alias("ck"), F.coalesce("component", "rep").alias("class_id"))
