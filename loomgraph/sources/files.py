@@ -30,6 +30,20 @@ def describe(files: DataFrame, root: str) -> DataFrame:
                        F.sha2("content", 256).alias("content_hash"), "content")
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """All source files under a root, at any depth."""
-    return describe(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root), root)
+def empty_files(spark: SparkSession, root: str) -> DataFrame:
+    """Rows for files without content, which Spark's reader leaves out. They are found by
+    listing the folders on the driver, one call a file."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    walk, found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while walk.hasNext():
+        f = walk.next()
+        if f.getLen() == 0:
+            found.append((f.getPath().toString(), 0, bytearray()))
+    return spark.createDataFrame(found, "path string, length long, content binary")
+
+
+def scan(spark: SparkSession, root: str, with_empty: bool = True) -> DataFrame:
+    """All source files under a root, at any depth. ``with_empty`` is for corpora whose
+    folders can be listed on the driver."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "content")
+    return describe(files.unionByName(empty_files(spark, root)) if with_empty else files, root)
