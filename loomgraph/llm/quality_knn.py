@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 N = 64
-PER_CLASS = 1000
+PER_CLASS = 600
 LATENT = 48
 NEIGHBOURS = 15
 LAYOUT_WEIGHT = 1.5
@@ -63,29 +63,35 @@ def raw_vector(text: str | None) -> np.ndarray:
 
 
 def _weighted(x: np.ndarray, idf: np.ndarray, mean: np.ndarray) -> np.ndarray:
-    terms = np.log1p(x[:, :TERMS]) * idf
+    """Raw vectors, weighted in place: unit-length terms beside centred layout shares."""
+    terms = x[:, :TERMS]
+    np.log1p(terms, out=terms)
+    terms *= idf
     terms /= np.maximum(1e-9, np.linalg.norm(terms, axis=1, keepdims=True))
-    return np.concatenate((terms, LAYOUT_WEIGHT * (x[:, TERMS:] - mean)), axis=1)
+    x[:, TERMS:] = LAYOUT_WEIGHT * (x[:, TERMS:] - mean)
+    return x
 
 
 def fit(rows: list[tuple[int, np.ndarray]], latent: int = LATENT) -> dict:
     """The model of (label, raw vector) rows. Without rows every text scores 0.5."""
     if not rows:
         return {"y": np.zeros(0, np.float32), "prior": 0.5}
-    x = np.array([v for _, v in rows], np.float32)
+    x = np.empty((len(rows), TERMS + LAYOUT), np.float32)
+    for i, (_, v) in enumerate(rows):
+        x[i] = v
     y = np.array([k for k, _ in rows], np.float32)
     idf = np.log((1 + len(x)) / (1 + (x[:, :TERMS] > 0).sum(axis=0))).astype(np.float32) + 0.1
     mean = x[:, TERMS:].mean(axis=0)
-    w = _weighted(x, idf, mean).astype(np.float64)
+    w = _weighted(x, idf, mean)
     centre = w.mean(axis=0)
     w -= centre
-    values, vectors = np.linalg.eigh(w @ w.T)
+    values, vectors = np.linalg.eigh((w @ w.T).astype(np.float64))
     order = np.argsort(values)[::-1][: min(latent, len(x))]
-    order = order[values[order] > 1e-9]
-    basis = (w.T @ vectors[:, order] / np.sqrt(values[order])).astype(np.float32)
-    z = (w @ basis).astype(np.float32)
+    order = order[values[order] > 1e-6]
+    basis = w.T @ (vectors[:, order] / np.sqrt(values[order])).astype(np.float32)
+    z = w @ basis
     z /= np.maximum(1e-9, np.linalg.norm(z, axis=1, keepdims=True))
-    return {"y": y, "prior": float(y.mean()), "idf": idf, "mean": mean, "centre": centre.astype(np.float32), "basis": basis, "z": z}
+    return {"y": y, "prior": float(y.mean()), "idf": idf, "mean": mean, "centre": centre, "basis": basis, "z": z}
 
 
 def score(model: dict, texts: list[str | None], neighbours: int = NEIGHBOURS) -> list[float]:
