@@ -78,10 +78,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_token_counts, op8_pii, op9_embedding_dedup, op10_bpe)
 }
 
+_SHINGLED = """
+d AS (SELECT doc_id, text, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w0 FROM documents),
+w AS (SELECT doc_id, CASE WHEN len(w0) > 0 THEN w0 WHEN trim(coalesce(text, ''), E' \\t\\n\\r') <> '' THEN [trim(text, E' \\t\\n\\r')] ELSE [] END AS w FROM d),
+s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) > 0),
+e AS (SELECT doc_id, unnest(s) AS x FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE n >= 0.8::DOUBLE * (len(x.s) + len(y.s) - n) - 1e-9)"""
+
+_REACHED = """
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(n, c) AS (SELECT {id}, {id} FROM {table} UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.n),
+m AS (SELECT n, min(c) AS c FROM r GROUP BY n)"""
+
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.SQL.format(docs="documents", max_ratio=line_dedup.MAX_RATIO, min_pages=line_dedup.MIN_PAGES) + """
 SELECT doc_id, coalesce(len(list_filter(lines, lambda x: trim(x, ' ') <> '')), 0) AS n_lines,
        coalesce(len(lines) - len(kept), 0) AS n_dropped, length(coalesce(array_to_string(kept, chr(10)), '')) AS kept_chars,
        sha256(coalesce(array_to_string(kept, chr(10)), '')) AS kept_sha256 FROM k
+""",
+    "op5_near_dedup": f"""
+WITH RECURSIVE {_SHINGLED}, {_REACHED.format(id="doc_id", table="documents")}
+SELECT n AS doc_id, c AS class_id, n = c AS kept FROM m
+""",
+    "op9_embedding_dedup": f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0
+                     AND len(list_filter(embedding, lambda y: y <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id < b.vec_id
+      WHERE list_dot_product(a.x, b.x) / sqrt(list_dot_product(a.x, a.x) * list_dot_product(b.x, b.x)) >= 0.98), {_REACHED.format(id="vec_id", table="embeddings")}
+SELECT m.n AS vec_id, coalesce(k, 0) AS n_links, c AS component_id, m.n = c AS kept FROM m LEFT JOIN (SELECT a AS n, count(*) AS k FROM u GROUP BY a) USING (n)
 """,
 }

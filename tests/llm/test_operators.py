@@ -1,0 +1,441 @@
+"""The training-data operators against brute force, and their edge cases."""
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from loomgraph.llm import bpe, components, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, near_dedup, pii, quality_knn, token_counts
+from loomgraph.llm.common import Stage, bound_arrow, crc_mod
+from loomgraph.llm.queries import ORACLES, QUERIES, tokenizer
+from tests.conftest import SF
+from tests.helpers import agrees, connect
+
+WORDS = ["alpha", "beta", "gamma", "delta", "of", "the", "Été", "ñandú", "x1", "e"]
+LONG = "word " * 30_000
+ODD = [None, "", " ", "\n\n", "!!!", "日本語 テキスト", "🙂🙂", "a", LONG, "x" * 40_000]
+
+
+def docs(spark, texts, **more):
+    """Documents with every column nullable, extra ones with names that operators use."""
+    rows = [(i, t, more.get("lang", [None] * len(texts))[i], more.get("source", ["s"] * len(texts))[i], "clash", 7) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, id string, n long").repartition(3)
+
+
+def rows(df, key="doc_id"):
+    return {r[key]: r for r in df.collect()}
+
+
+def text(r, n):
+    return " ".join(r.choice(WORDS) + str(r.randint(0, 40)) for _ in range(n))
+
+
+# --- 1 line dedup -----------------------------------------------------------------------
+
+def test_line_dedup_brute_force(spark):
+    r = random.Random(1)
+    texts = ["\n".join(r.choice(["menu", "foot ", "", text(r, 3)]) for _ in range(6)) for _ in range(60)] + [None, "", "menu\nmenu"]
+    source = [r.choice(["a", "b", None]) for _ in texts]
+    got = rows(line_dedup.drop_boilerplate(docs(spark, texts, source=source)))
+    total = collections.Counter(source)
+    pages = collections.Counter((s, line) for t, s in zip(texts, source, strict=True) for line in {x.strip(" ") for x in (t or "").split("\n")} if line and t)
+    for i, (t, s) in enumerate(zip(texts, source, strict=True)):
+        if t is None:
+            assert got[i]["text"] is None and got[i]["n_lines"] == 0 and got[i]["n_dropped"] == 0
+            continue
+        bad = lambda x, s=s: x.strip(" ") and pages[s, x.strip(" ")] >= 3 and pages[s, x.strip(" ")] > 0.1 * total[s]
+        assert got[i]["text"] == "\n".join(x for x in t.split("\n") if not bad(x))
+        assert got[i]["id"] == "clash"
+
+
+# --- 2 language id, 4 quality -------------------------------------------------------------
+
+def test_language_id_learns_and_handles_odd_texts(spark):
+    bound_arrow(spark)
+    r = random.Random(2)
+    make = {"xx": lambda: "".join(r.choice("abcde ") for _ in range(200)), "yy": lambda: "".join(r.choice("vwxyzñ ") for _ in range(200))}
+    lang = [r.choice(["xx", "yy"]) for _ in range(80)]
+    d = docs(spark, [make[k]() for k in lang] + ODD, lang=lang + [None] * len(ODD))
+    model = language_id.fit(language_id.training_rows(d, "doc_id", "text", "lang", crc_mod("doc_id", 5) != 0))
+    got = rows(language_id.identify(d, model))
+    held = [i for i in range(80) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(got[i]["lang_pred"] == lang[i] for i in held) and held
+    assert all(0 <= g["score"] <= 1 for g in got.values())
+    for i, t in enumerate(ODD):
+        und = not t or not any(map(str.isalpha, t))
+        assert (got[80 + i]["lang_pred"] == "und") == und
+
+
+def test_language_id_without_training_rows(spark):
+    bound_arrow(spark)
+    d = docs(spark, ["abc", None])
+    model = language_id.fit(language_id.training_rows(d, "doc_id", "text", "lang", crc_mod("doc_id", 5) != 0))
+    assert {g["lang_pred"] for g in rows(language_id.identify(d, model)).values()} == {"und"}
+    assert language_id.identify(d.limit(0), model).count() == 0
+
+
+def test_string_kernel_equals_sets():
+    a, b = "banana bandana", "Ananas"
+    grams = lambda s: {s.lower()[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1)}
+    x, y = set(language_id.gram_codes(a).tolist()), set(language_id.gram_codes(b).tolist())
+    assert len(x & y) == len(grams(a) & grams(b)) and len(x) == len(grams(a))
+
+
+def test_quality_learns_and_handles_odd_texts(spark):
+    bound_arrow(spark)
+    r = random.Random(3)
+    label = [i % 2 for i in range(90)]
+    texts = [text(r, 30) if y else " ".join(w + "%%%" for w in text(r, 30).split()) for y in label]
+    d = docs(spark, texts + ODD)
+    labels = spark.createDataFrame([(i, y, 0) for i, y in enumerate(label)] + [(95, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    found = quality_knn.training_rows(d, labels, "quality", "doc_id", "text", crc_mod("doc_id", 3) != 1)
+    model = quality_knn.fit(found)
+    got = rows(quality_knn.classify(d, model))
+    held = [i for i in range(90) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum(got[i]["predicted"] == label[i] for i in held) >= 0.95 * len(held)
+    assert all(0 <= g["score"] <= 1 for g in got.values()) and len(got) == 100
+    assert quality_knn.score(quality_knn.fit([]), ["x", None]) == [0.5, 0.5]
+
+
+# --- 3 licenses ---------------------------------------------------------------------------
+
+def brute_license(t):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in (t or ""))
+    words = [(m.group(), k) for k, m in enumerate(re.finditer(license_scan.WORD, low))]
+    names = [w for w, _ in words]
+    places = sorted((k, label, len(p.split())) for label, p in license_scan.BASE for k in range(len(names)) if names[k : k + len(p.split())] == p.split())
+    base = {label for _, label, _ in places}
+    found = [(m.start(), m.end(), p, i, label) for i, (label, p, keys, rx) in enumerate(license_scan.rules()) if any(k in low for k in keys) for m in re.finditer(rx, low)]
+    better = lambda d, o: o[0] <= d[0] and o[1] >= d[1] and (o[2], o[1] - o[0], -o[3]) > (d[2], d[1] - d[0], -d[3])
+    kept = [d for d in found if not any(better(d, o) for o in found)]
+    starts = [k for k, _, _ in places]
+    return (len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | {d[4] for d in kept})))
+
+
+LICENSES = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0. All rights reserved", "CC BY-NC 4.0 cc by nc", "under the mit license under the MIT-license",
+            "SPDX-License-Identifier: GPL-3.0-or-later", "GNU General Public License, version 3 or GPL v2", "https://creativecommons.org/licenses/by-sa/4.0/", "creative commons attribution sharealike",
+            "Copyright (c) 2019-2021 Foo", "accord of cc and by", "apache license version 2 ÄPACHE", "License: BSD-3-Clause and 3-clause BSD license", "mozilla public license v. 2.0", "released into the public domain"]
+
+
+def test_license_scan_brute_force(spark):
+    r = random.Random(4)
+    texts = ODD + LICENSES + ["\n".join([text(r, 8), r.choice(LICENSES), text(r, 5), r.choice(LICENSES)]) for _ in range(60)]
+    got = rows(license_scan.scan_licenses(docs(spark, texts)))
+    for i, t in enumerate(texts):
+        g = got[i]
+        assert (g["n_words"], g["n_base"], g["first_word"], g["last_word"], g["base_labels"], g["labels"]) == brute_license(t), t[:200] if t else t
+        assert 0 <= g["score"] <= 1 and (g["score"] > 0) == bool(g["labels"])
+
+
+def test_license_rules_are_sound():
+    table = license_scan.rules()
+    assert len(table) > 200
+    for t in LICENSES:
+        low = t.lower()
+        for _, _, keys, rx in table:  # a rule that matches has one of its words, and a gate word
+            if re.search(rx, low):
+                assert any(k in low for k in keys) and any(g in low for g in license_scan.GATE), (t, rx)
+
+
+# --- 5 near duplicates ----------------------------------------------------------------------
+
+def brute_classes(texts):
+    sets = {i: set(near_dedup.shingles(near_dedup.tokens(t)).tolist()) for i, t in enumerate(texts)}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in range(a):
+            if sets[a] and sets[b]:
+                common = len(sets[a] & sets[b])
+                if common >= 0.8 * (len(sets[a]) + len(sets[b]) - common):
+                    x, y = find(a), find(b)
+                    parent[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}
+
+
+def test_near_dedup_brute_force(spark):
+    r = random.Random(5)
+    base = [text(r, 120).split() for _ in range(6)]
+    texts = list(ODD)
+    for b in base:
+        for edits in (0, 0, 1, 2, 3, 6, 9):
+            w = list(b)
+            for _ in range(edits):
+                w[r.randrange(len(w))] = f"new{r.random()}"
+            texts.append(" ".join(w))
+    texts += [text(r, 60) for _ in range(20)] + ["two words", "two words", "Two, WORDS!"]
+    got = rows(near_dedup.near_duplicates(docs(spark, texts)))
+    want = brute_classes(texts)
+    assert {i: g["class_id"] for i, g in got.items()} == want
+    assert all(g["kept"] == (i == g["class_id"]) for i, g in got.items())
+
+
+def test_near_dedup_hot_family_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "TILE", 16)
+    r = random.Random(6)
+    b = text(r, 150).split()
+    texts = []
+    for k in range(120):
+        w = list(b)
+        for _ in range(k % 8):
+            w[r.randrange(len(w))] = f"edit{r.randint(0, 30)}"
+        texts.append(" ".join(w))
+    got = rows(near_dedup.near_duplicates(docs(spark, texts)))
+    assert {i: g["class_id"] for i, g in got.items()} == brute_classes(texts)
+
+
+def test_near_dedup_empty_and_repeated(spark):
+    assert near_dedup.near_duplicates(docs(spark, [])).count() == 0
+    d = docs(spark, ["a b c d e f"])
+    assert [r["class_id"] for r in near_dedup.near_duplicates(d.union(d)).collect()] == [0, 0]
+
+
+def test_probminhash_estimates_probability_jaccard():
+    rng = np.random.default_rng(0)
+    e = rng.integers(0, 2**63, 120, dtype=np.uint64)
+    x, y = {int(k): 1 + i % 3 for i, k in enumerate(e[:80])}, {int(k): 1 + i % 3 for i, k in enumerate(e[20:], 20)}
+    want = sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in set(x) | set(y)) for i in set(x) & set(y))
+    z = near_dedup.sketch([(np.array(list(d), np.uint64), np.array(list(d.values()))) for d in (x, y)], 8000)
+    assert (z[0] == z[1]).mean() == pytest.approx(want, abs=0.02)
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), max_size=30))
+def test_components(spark, links):
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long"), Stage(spark, "t")).collect()}
+    parent = {x: x for p in links for x in p}
+    for a, b in links * 30:
+        parent[a] = parent[b] = min(parent[a], parent[b])
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    assert got == {x: parent[x] for x in linked}
+
+
+# --- 6 decontamination ------------------------------------------------------------------------
+
+def test_decontamination_brute_force(spark):
+    bound_arrow(spark)
+    r = random.Random(7)
+    items = [(k, f"{text(r, 20)}. {text(r, 12)}.") for k in range(30)] + [(30, None), (31, ""), (32, "one two three"), (33, "Same text here now. Yes it is."), (34, "Same text here now. Yes it is.")]
+    leak = lambda k: f"{text(r, 90)} {items[k][1]} {text(r, 200)}"
+    texts = [leak(k % 30) for k in range(20)] + [text(r, 300) for _ in range(30)] + ODD + ["so one two three end", f"x {items[33][1]} y"]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(g["doc_id"], g["item_id"]) for g in decontaminate.find_leaks(docs(spark, texts), bench).collect()}
+    want = {(k, k % 30) for k in range(20)} | {(60, 32), (61, 33), (61, 34)}
+    assert got == want
+    assert decontaminate.find_leaks(docs(spark, texts), bench.limit(0)).count() == 0
+
+
+def test_bm25_retrieval_is_exact():
+    """Every (passage, item) at or above its threshold, by the plain formula."""
+    r = random.Random(8)
+    items = [(k, text(r, 25)) for k in range(40)]
+    index = decontaminate.Index(items)
+    texts = [text(r, 150) + " " + items[k][1] + " " + text(r, 80) for k in range(15)] + [text(r, 400) for _ in range(10)]
+    words = [decontaminate.words(t) for t in texts]
+    got = {(k, first, index.items[i][0]): s for k, first, i, s in index.retrieve([np.array([index.vocab.get(w, -1) for w in ws]) for ws in words])}
+    n, lists = len(items), [decontaminate.words(t) for _, t in items]
+    mean = sum(map(len, lists)) / n
+    df = collections.Counter(w for ws in lists for w in set(ws))
+    impact = lambda w, ws: np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * ws.count(w) * 2.2 / (ws.count(w) + 1.2 * (0.25 + 0.75 * len(ws) / mean))
+    want = {}
+    half = index.window // 2
+    for k, ws in enumerate(words):
+        for first in range(0, max(1, (len(ws) - 1) // half) * half, half):
+            passage = set(ws[first : first + index.window])
+            if first + index.window >= len(ws) - 1:
+                passage = set(ws[first:])
+            for (item, _), iw in zip(items, lists, strict=True):
+                s = sum(impact(w, iw) for w in set(iw) & passage)
+                if s >= 0.5 * sum(impact(w, iw) for w in set(iw)) - 1e-9:
+                    want[k, first, item] = s
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+# --- 7 token counts, 10 BPE ---------------------------------------------------------------------
+
+PIECES = ["the ", "thing's ", "Été", "x" * 50, " <|endoftext|> ", "<|startoftext|>", "12345 ", "\n\n", "%%%### ", "don't ", "́", "  ", "ñandú ", "日本語 ", "'s", "İ", "\x1c", "\x85", " ", "²", "_a_", "×", "ª", " ", "\t"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=80), st.sampled_from([(20, 3), (40, 8), (100, 16)]))
+def test_token_counts_equal_the_library(parts, sizes):
+    tok, t = token_counts.load(tokenizer("word_bpe_49k.json")), "".join(parts)
+    want = tok.encode(t, add_special_tokens=False).ids
+    assert token_counts.encode_long(tok, t, *sizes) == want
+    assert token_counts.PieceCounts(tok).counts([t]) == [len(want)]
+
+
+def test_token_counts_query_shape(spark):
+    bound_arrow(spark)
+    got = rows(token_counts.count_tokens(docs(spark, ODD), tokenizer("word_bpe_49k.json")))
+    tok = token_counts.load(tokenizer("word_bpe_49k.json"))
+    for i, t in enumerate(ODD):
+        n = len(tok.encode(t or "", add_special_tokens=False).ids)
+        assert (got[i]["n_bytes"], got[i]["n_tokens"], got[i]["over_limit"]) == (len((t or "").encode()), n, n > 2048)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=60))
+def test_bpe_equals_the_library(parts):
+    from tokenizers import Tokenizer
+
+    path, t = tokenizer("byte_bpe_50k.json"), "".join(parts)
+    coder = bpe._bpe(path)
+    ids = [i for w in coder.words(t) for i in coder.merge(w)]
+    assert ids == Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids
+    assert all(coder._merge_heap(w) == coder._merge_scan(w) for w in coder.words(t) if w not in coder.special)
+
+
+@given(st.dictionaries(st.binary(min_size=1, max_size=6), st.lists(st.integers(0, 2**31 - 1), min_size=1, max_size=4), max_size=40))
+def test_lexicon_keeps_its_words(entries):
+    blob = bpe.compile_lexicon(entries)
+    lexicon = bpe.Lexicon(blob)
+    assert all(lexicon.get(w) == ids for w, ids in entries.items())
+    assert all(lexicon.get(w + b"!") == entries.get(w + b"!") for w in entries)
+    assert lexicon.get(b"") is None
+    mapped = bpe.mapped(blob)
+    assert all(mapped.get(w) == ids for w, ids in entries.items())
+
+
+def test_lexicon_is_minimal():
+    words = [a + b for a in (b"un", b"re") for b in (b"do", b"doing", b"done")]
+    blob = bpe.compile_lexicon({w: [1] for w in words})
+    assert len(bpe.Lexicon(blob).first) - 1 == 10  # the two halves share all states after their heads
+
+
+def test_encode_decode_round_trip(spark):
+    bound_arrow(spark)
+    from tokenizers import Tokenizer
+
+    path = tokenizer("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    d = docs(spark, [*ODD, "the the the", " <|endoftext|> x"])
+    lexicon = bpe.build_lexicon(d, path)
+    got = rows(bpe.encode_decode(d, path, lexicon, digests=True))
+    plain = rows(bpe.encode_decode(d, path, lexicon))
+    for i, t in enumerate([*ODD, "the the the", " <|endoftext|> x"]):
+        ids = tok.encode(t or "", add_special_tokens=False).ids
+        assert plain[i]["ids"] == ids and plain[i]["decoded"] == (t or "") and got[i]["n_tokens"] == len(ids)
+        assert got[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert got[i]["decoded_sha256"] == hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    empty = d.limit(0)
+    assert bpe.encode_decode(empty, path, bpe.build_lexicon(empty, path)).count() == 0
+
+
+# --- 8 personal data ---------------------------------------------------------------------------------
+
+EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute_pii(t):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    out = [("email", *m.span()) for m in EMAIL.finditer(t)]
+    out += [("ip", *m.span()) for m in IP.finditer(t) if all(int(x) <= 255 for x in m.group().split("."))]
+    out += [("card", *m.span()) for m in CARD.finditer(t) if 12 <= len(digits(m.group())) <= 19 and pii.luhn(digits(m.group()))]
+    out += [("phone", *m.span()) for m in PHONE.finditer(t) if 9 <= len(digits(m.group())) <= 15]
+    return sorted(out, key=lambda x: (x[1], pii.KINDS.index(x[0])))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b.c", "@", "x@y.z", ".", "1", "12", "255", "300", "0255", "4111111111111111", " ", "-", "+", "(", ")", "+1 (644) 555-7859", "1.2.3.4", "%", "é", "-.", "٣"]), max_size=14))
+def test_base_spans_equal_the_patterns(parts):
+    t = "".join(parts)
+    assert pii.base_spans(t) == brute_pii(t)
+
+
+@pytest.fixture(scope="module")
+def trained():
+    return pii.train()
+
+
+def test_boosting_tells_formats_apart(trained):
+    find = lambda t: [k for k, _, _ in pii.find(t, trained)[1]]
+    assert find("call (644) 555-7859 now") == ["phone"] and find("ssn: 123-45-6789 x") == ["ssn"]
+    assert find("IBAN DE89 3704 0044 0532 0130 00 ok") == ["iban"] and find("joe (at) mail.com hi") == ["email"]
+    assert find("tel +1 (269) 555-3296 4524132264652876 and") == ["phone", "card"]
+    assert find("order 123-45-6789") == [] and find("2024-01-02 11:22:33") == [] and find("Version 2.0.\nversion 3.") == []
+
+
+def test_pii_rows(spark, trained):
+    bound_arrow(spark)
+    texts = [*ODD, "a@b.co 1.2.3.4 +1 (644) 555-7859 4111 1111 1111 1111", "1" * 50_000, "@" * 5000]
+    got = rows(pii.find_pii(docs(spark, texts), trained, with_text=True))
+    for i, t in enumerate(texts):
+        base = brute_pii(t or "") if len(t or "") < 9000 else []
+        joined = ",".join(f"{k}:{s}:{e}" for k, s, e in base)
+        assert got[i]["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k in pii.BASE_KINDS] == [sum(b[0] == k for b in base) for k in pii.BASE_KINDS]
+        assert set(joined.split(",")) <= set(got[i]["spans"].split(","))
+    assert got[len(ODD)]["redacted"] == "[email] [ip] [phone] [card]"
+
+
+# --- 9 embeddings --------------------------------------------------------------------------------------
+
+def brute_links(vectors):
+    ok = {i: np.array(v, float) for i, v, k in vectors if k is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    label, n, parent = {i: k for i, _, k in vectors}, collections.Counter(), {i: i for i, _, _ in vectors}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in ok:
+        for b in ok:
+            if a < b and label[a] == label[b] and len(ok[a]) == len(ok[b]) and ok[a] @ ok[b] / np.linalg.norm(ok[a]) / np.linalg.norm(ok[b]) >= 0.98:
+                n[a] += 1
+                n[b] += 1
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: (n[i], find(i), find(i) == i) for i, _, _ in vectors}
+
+
+@pytest.mark.parametrize(("dim", "rows_a_cell"), [(64, 2000), (5, 2000), (16, 12)])
+def test_embedding_links_brute_force(spark, monkeypatch, dim, rows_a_cell):
+    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", rows_a_cell)
+    rng = np.random.default_rng(dim)
+    heads = rng.normal(size=(12, dim))
+    near = [(h + rng.normal(size=dim) * s * np.linalg.norm(h) / dim**0.5) for h in heads for s in (0.02, 0.1, 0.14, 0.18, 0.2, 0.25)]
+    values = [v.astype(np.float32).tolist() for v in [*heads, *near, *heads[:3], 2 * heads[0]]]
+    vectors = [(3 * i, v, int(i % 2)) for i, v in enumerate(values)] + [(3 * i + 1, v, 0) for i, v in enumerate(values[:40])]
+    vectors += [(1001, None, 0), (1002, [0.0] * dim, 0), (1003, [float("nan")] * dim, 0), (1004, [None] * dim, 0), (1005, values[0], None), (1006, [], 0), (1007, [1.0], 0), (1008, [float("inf")] + [0.0] * (dim - 1), 0)]
+    d = spark.createDataFrame([(*v, "clash", 1) for v in vectors], "vec_id long, embedding array<float>, label int, rep string, size int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_vectors(d).collect()}
+    assert got == brute_links(vectors)
+
+
+def test_embedding_empty_table(spark):
+    assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+# --- queries ---------------------------------------------------------------------------------------------
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(spark, name):
+    assert agrees(QUERIES[name](spark, SF), connect(SF), ORACLES[name])
+
+
+def test_held_out_accuracy(spark):
+    con = connect(SF)
+    lang = dict(con.execute("SELECT doc_id, lang FROM documents").fetchall())
+    got = [r for r in QUERIES["op2_language_id"](spark, SF).collect() if r["held_out"]]
+    assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in got) >= 0.95 * len(got)
+    label = dict(con.execute("SELECT doc_id, quality FROM labels").fetchall())
+    got = [r for r in QUERIES["op4_quality"](spark, SF).collect() if r["held_out"] and r["doc_id"] in label]
+    assert sum(r["predicted"] == label[r["doc_id"]] for r in got) >= 0.9 * len(got)
+
+
+def test_ten_queries_are_there():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
