@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What no word has: ASCII but for digits and letters.
+MARKS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 
 #: (label, phrase) of the base.
 BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
@@ -126,9 +127,9 @@ def lowered(text: str = "text") -> Column:
 
 def _detections(low: Column) -> Column:
     table = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(p).alias("priority"),
-                               F.lit(k[0]).alias("keyword"), F.lit(k[-1]).alias("other"), F.lit(r"\G(?s)(.*?)(" + rx + ")").alias("rx"))
+                               F.lit(k[0]).alias("keyword"), F.lit(k[-1]).alias("other"), F.lit(rx).alias("plain"), F.lit(r"\G(?s)(.*?)(" + rx + ")").alias("rx"))
                       for i, (label, p, k, rx) in enumerate(rules())])
-    tried = F.filter(table, lambda r: F.contains(low, r["keyword"]) | F.contains(low, r["other"]))
+    tried = F.filter(table, lambda r: (F.contains(low, r["keyword"]) | F.contains(low, r["other"])) & F.regexp_like(low, r["plain"]))
 
     def places(r):
         gaps = F.regexp_extract_all(low, r["rx"], F.lit(1))
@@ -162,16 +163,16 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A null text counts as empty: no words, no labels (empty strings), score 0. Other
     columns of ``docs`` are not read, so clashing names do no harm.
     """
-    rows = docs.select(F.col(id_col), lowered(text_col).alias("low"))
+    spaced = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER + MARKS, LOWER + " " * len(MARKS))
+    rows = docs.select(F.col(id_col), lowered(text_col).alias("low"), F.array_remove(F.split(spaced, " "), "").alias("words"))
     low = F.col("low")
     gate = F.lit(False)
     for word in GATE:
         gate = gate | F.contains(low, F.lit(word))
     # Every word as " word ": phrases are then plain substrings.
-    normal = F.when(gate, F.concat(F.lit(" "), F.replace(
-        F.trim(F.regexp_replace(low, NON_WORD, " ")), F.lit(" "), F.lit("  ")), F.lit(" ")))
+    normal = F.when(gate, F.concat(F.lit(" "), F.array_join("words", "  "), F.lit(" ")))
     rows = rows.withColumns({
-        "n_words": F.regexp_count(low, F.lit(WORD)).cast("long"),
+        "n_words": F.size("words").cast("long"),
         "normal": normal,
         "found": F.when(gate, _detections(low)),
     })
