@@ -6,17 +6,22 @@ all pages of the site, exceed ``max_ratio``. Only DataFrame expressions are used
 Plan: (1) explode the distinct lines of each page to (site, 128-bit line hash) and
 count, with partial sums before the shuffle, so a hot site or line costs no more than
 one row a task; (2) keep the lines over the ratio: at most (lines a page) / ratio for
-each site; (3) join that set to the pages by site - broadcast if Spark finds it small,
-else a sort-merge join that AQE splits where a site is hot - and filter each page's
-lines in its own row. Texts are never regrouped.
+each site, written to the shared folder; (3) join that set to the pages by site and filter
+each page's lines in its own row. The set is broadcast if its counted size is under
+``BROADCAST_LINES``, and texts then move nowhere; beyond it the join is a sort-merge join
+that AQE splits where a site is hot. Texts are never regrouped.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Stage
+
 MAX_RATIO = 0.1
 MIN_PAGES = 3
+#: Boilerplate lines of all sites together (about 50 bytes each) that may be broadcast.
+BROADCAST_LINES = 200_000
 
 
 def _key(line: Column) -> Column:
@@ -54,7 +59,10 @@ def drop_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str =
     """
     marks = site_boilerplate(docs, site_col, text_col, max_ratio, min_pages).select(
         F.col("site").alias("__site"), F.col("boilerplate").alias("__marks"))
-    joined = docs.join(marks, docs[site_col].eqNullSafe(marks["__site"]), "left")
+    marks = Stage(docs.sparkSession, "boilerplate").write(marks, "lines")
+    n = marks.agg(F.coalesce(F.sum(F.size("__marks")), F.lit(0))).first()[0]
+    side = F.broadcast(marks) if n <= BROADCAST_LINES else marks
+    joined = docs.join(side, docs[site_col].eqNullSafe(marks["__site"]), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     marked = F.coalesce(F.col("__marks"), F.array().cast(marks.schema["__marks"].dataType))
     kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(marked, _key(x)))
