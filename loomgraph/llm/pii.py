@@ -85,6 +85,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # --- candidates ----------------------------------------------------------------------
 
 _GENERATORS = (
+    ("phone", re.compile(r"\+[0-9]{1,3}[ .-]{0,2}\(?[0-9]{2,4}\)?[ .-]{0,2}[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])")),
     ("phone", re.compile(r"(?<![0-9A-Za-z+])\(?[0-9]{2,4}\)?[ ./-]{0,2}[0-9]{2,4}(?:[ ./-]{1,2}[0-9]{2,5}){1,4}(?![0-9A-Za-z])")),
     ("phone", re.compile(r"(?<![0-9A-Za-z+])[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])")),
     ("card", re.compile(r"(?<![0-9A-Za-z])[0-9]{4}(?:[ ./_-]?[0-9]{4}){2}[ ./_-]?[0-9]{1,7}(?![0-9A-Za-z])")),
@@ -94,6 +95,7 @@ _GENERATORS = (
     ("mac", re.compile(r"(?<![0-9A-Za-z:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![0-9A-Za-z:-])")),
     ("ipv6", re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")),
 )
+_OVERLAPPING = tuple((kind, re.compile(f"(?=({rx.pattern}))")) for kind, rx in _GENERATORS)
 #: Words before a span that speak for a kind, and words that speak against all.
 _FOR = {
     "phone": ("phone", "tel", "call", "fax", "mobile", "cell", "whatsapp", "hotline"), "card": ("card", "visa", "mastercard", "amex", "credit", "debit"),
@@ -105,7 +107,9 @@ CONTEXT = 30
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    return [(kind, *m.span()) for kind, rx in _GENERATORS for m in rx.finditer(text)]
+    """Spans that may be personal data, overlaps included: a generator may propose one at
+    every place where a number or word begins."""
+    return [(kind, *m.span(1)) for kind, rx in _OVERLAPPING for m in rx.finditer(text)]
 
 
 def _mod97(s: str) -> bool:
@@ -124,7 +128,7 @@ def features(text: str, kind: str, s: int, e: int) -> list[float]:
     return [
         *(float(kind == k) for k in KINDS), float(len(span)), float(len(d)), float(len(groups)), float(max(map(len, groups), default=0)),
         float(min(map(len, groups), default=0)), float(span.count(" ")), float(span.count("-")), float(span.count(".")), float(span.count("/")),
-        float("(" in span), float(len(set(d))), float(12 <= len(d) <= 19 and luhn(d)), float(kind == "iban" and _mod97(plain)),
+        float("(" in span), float("+" in span), float(len(set(d))), float(12 <= len(d) <= 19 and luhn(d)), float(kind == "iban" and _mod97(plain)),
         float(pos >= 0), float(pos - neg), float(neg >= 0), float(d[:1] == "0"), float(d[:3] in ("000", "666") or d[:1] == "9"),
         float(1900 <= int(groups[0]) <= 2100 if groups and len(groups[0]) == 4 and groups[0].isdigit() else 0),
         float(1900 <= int(groups[-1]) <= 2100 if groups and len(groups[-1]) == 4 and groups[-1].isdigit() else 0),
@@ -217,14 +221,15 @@ def _example(r: random.Random) -> tuple[str, str, str, bool]:
     off = r.choice(_AGAINST) + r.choice([": ", " ", "="]) if r.random() < (0.02 if good else 0.7) else ""
     if kind == "phone":
         a, b, c = str(r.randint(200, 989)), n(3), n(4)
-        span = r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"0{n(2)} {n(4)} {n(4)}", f"0{n(3)}/{n(3)}-{n(4)}"])
+        span = r.choice([f"+{r.randint(1, 99)} ({a}) {b}-{c}", f"+{r.randint(1, 99)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"0{n(2)} {n(4)} {n(4)}", f"0{n(3)}/{n(3)}-{n(4)}"])
         if not good:
             span = r.choice([f"{r.randint(1950, 2030)}-{n(2)}-{n(2)}", f"{n(2)}.{n(2)}.{r.randint(1950, 2030)}", f"{n(3)} {n(3)} {n(3)}", f"{n(4)}-{n(4)}", f"{n(10)}", f"{n(2)}/{n(2)}/{n(4)}", f"{n(3)}-{n(2)}-{n(5)}-{n(3)}", f"{n(3)}-{n(2)}-{n(4)}",
-                             f"{r.randint(1950, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d} {n(2)}", f"{n(2)}.{n(2)}.{n(2)}.{n(4)}", f"{n(1)}{n(1)} {n(3)} {n(3)}"])
+                             f"{r.randint(1950, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d} {n(2)}", f"{n(2)}.{n(2)}.{n(2)}.{n(4)}", f"{n(1)}{n(1)} {n(3)} {n(3)}",
+                             f"({a}) {b}-{c} {n(4)}", f"{b}-{c} {n(4)}", f"{c} {n(4)} {n(4)} {n(4)}"])
     elif kind == "card":
         body = r.choice("3456") + n(14)
         span = next(body + str(k) for k in range(10) if luhn(body + str(k)) == good)
-        sep = r.choice([".", "/", "_"]) if good else r.choice([" ", "", "-", "."])
+        sep = r.choice(["", "", " ", "-", ".", "/", "_"])  # base matches fail where other digits are next to a card
         span = sep.join(span[i : i + 4] for i in range(0, 16, 4))
     elif kind == "ssn":
         span = f"{r.randint(100, 665):03d}-{n(2)}-{n(4)}" if good else r.choice([n(9), f"{n(3)}.{n(2)}.{n(4)}", f"9{n(2)}-{n(2)}-{n(4)}", f"000-{n(2)}-{n(4)}"])
