@@ -48,9 +48,12 @@ def _unit(values: pd.Series) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _placed(reps: DataFrame, threshold: float) -> DataFrame:
+def _placed(reps: DataFrame, threshold: float, cells_only: bool = False) -> DataFrame:
     """(label, dim, block, cx, cy, home, rep, size, vec): a row for each block's home cell
-    and each cell visited."""
+    and each cell visited; with ``cells_only`` no rep, size and vec."""
+    kind = reps.schema["vec"].dataType.simpleString()
+    more = "" if cells_only else f", rep long, size long, vec {kind}"
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for dim, part in pdf.groupby(pdf["vec"].map(len)):
@@ -67,10 +70,9 @@ def _placed(reps: DataFrame, threshold: float) -> DataFrame:
                             sel = np.flatnonzero((at <= high).all(axis=1))
                             rows.append((at[sel], sel, False))
                     for cell, sel, home in rows:
-                        yield pd.DataFrame({"label": part["label"].to_numpy()[sel], "dim": dim, "block": b, "cx": cell[:, 0], "cy": cell[:, 1],
-                                            "home": home, "rep": part["rep"].to_numpy()[sel], "size": part["size"].to_numpy()[sel],
-                                            "vec": part["vec"].to_numpy()[sel]})
-    return reps.mapInPandas(run, f"label {reps.schema['label'].dataType.simpleString()}, dim int, block int, cx long, cy long, home boolean, rep long, size long, vec array<double>")
+                        out = pd.DataFrame({"label": part["label"].to_numpy()[sel], "dim": dim, "block": b, "cx": cell[:, 0], "cy": cell[:, 1], "home": home})
+                        yield out if cells_only else out.assign(**{c: part[c].to_numpy()[sel] for c in ("rep", "size", "vec")})
+    return reps.mapInPandas(run, f"label {reps.schema['label'].dataType.simpleString()}, dim int, block int, cx long, cy long, home boolean{more}")
 
 
 def _group(threshold: float):
@@ -128,22 +130,22 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     spark = vectors.sparkSession
     bound_arrow(spark)
     stage = Stage(spark, "near-vectors")
-    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
+    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vec_col).alias("vec"))
     fine = (F.col("label").isNotNull() & F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
             & F.exists("vec", lambda x: x != 0))
-    key = F.when(fine, F.sha2(F.concat_ws(",", F.transform("vec", lambda x: (x + F.lit(0.0)).cast("string"))), 256))
+    key = F.when(fine, F.sha2(F.concat_ws(",", F.transform("vec", lambda x: (x.cast("double") + F.lit(0.0)).cast("string"))), 256))
     keyed = stage.write(base.select("id", "label", key.alias("key"), F.when(fine, F.col("vec")).alias("vec")), "keyed")
     # classes of equal vectors; the vector of a class is that of its smallest id
     classes = (keyed.where("key is not null").groupBy("label", "key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")))
     classes = stage.write(classes, "classes")
     reps = (classes.alias("c").join(keyed.alias("k"), (F.col("c.rep") == F.col("k.id")) & (F.col("c.key") == F.col("k.key")) & (F.col("c.label") == F.col("k.label")))
             .select(F.col("k.label").alias("label"), "rep", "size", "vec").dropDuplicates(["rep", "label"]))
-    placed = stage.write(_placed(reps, threshold), "placed")
+    reps = stage.write(reps, "reps")
     cell = ["label", "dim", "block", "cx", "cy"]
     # a cell without a visitor from elsewhere or a second home has no pair
-    sizes = placed.groupBy(*cell).agg(F.sum(F.col("home").cast("int")).alias("homes"), F.sum((~F.col("home")).cast("int")).alias("visits")).where(
+    sizes = _placed(reps, threshold, True).groupBy(*cell).agg(F.sum(F.col("home").cast("int")).alias("homes"), F.sum((~F.col("home")).cast("int")).alias("visits")).where(
         "homes > 0 and visits > 1").withColumns({"th": F.ceil(F.col("homes") / CELL_ROWS).cast("int"), "tv": F.ceil(F.col("visits") / CELL_ROWS).cast("int")})
-    tiles = placed.join(sizes.drop("homes", "visits"), cell)
+    tiles = _placed(reps, threshold).join(sizes.drop("homes", "visits"), cell)
     mix = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     tiles = tiles.withColumn("pair", F.explode(F.when(F.col("home"), F.transform(
         F.sequence(F.lit(0), F.col("tv") - 1), lambda x: F.struct(mix(F.col("th")).alias("i"), x.alias("j")))).otherwise(
