@@ -1,12 +1,13 @@
 """Shared plumbing of the training-data operators."""
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..stage import Stage
+
+__all__ = ["Stage", "bound_arrow", "crc_mod", "read", "whole"]
+
 #: Arrow batches stay under this size, so that a few very long texts cannot
 #: fill a Python worker.
 ARROW_BATCH_BYTES = 16 << 20
@@ -25,36 +26,6 @@ def bound_arrow(spark: SparkSession) -> None:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where
-    that is unset (tests on one machine), a temporary folder set for the session."""
-    sc = spark.sparkContext
-    found = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomgraph-"))
-    return sc.getCheckpointDir()
-
-
-class Stage:
-    """Tables written to the shared folder to cut lineage. They are ordinary files,
-    so a lost executor costs no recomputation beyond its running tasks."""
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
-        self.root = f"{shared_dir(spark).rstrip('/')}/loomgraph/{name}-{uuid.uuid4().hex[:12]}"
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def whole(col: str = "text"):
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(col), F.lit(""))
@@ -64,8 +35,3 @@ def crc_mod(col: str, m: int):
     """crc32 of an id written as text, modulo m."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % m
 
-
-def spread(spark: SparkSession) -> int:
-    """Partitions for a step that computes on few bytes: as many as the session
-    uses for shuffles, at least the cores at hand."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

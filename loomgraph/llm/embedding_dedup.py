@@ -23,8 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components, spanning
 from .common import Stage, bound_arrow
-from .components import components, spanning
 
 THRESHOLD = 0.98
 BLOCK_DIMS = 8
@@ -124,14 +124,14 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
 
     Vectors link only within a label. Null, empty and zero vectors, those with null or
     non-finite values and those without a label link with nothing and are their own
-    component. Vectors of different lengths never link. Ids are expected to be distinct;
+    component; so are rows without an id (component_id is null). Vectors of different lengths never link. Ids are expected to be distinct;
     rows that share one get the same component.
     """
     spark = vectors.sparkSession
     bound_arrow(spark)
     stage = Stage(spark, "near-vectors")
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vec_col).alias("vec"))
-    fine = (F.col("label").isNotNull() & F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    fine = (F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
             & F.exists("vec", lambda x: x != 0))
     key = F.when(fine, F.sha2(F.concat_ws(",", F.transform("vec", lambda x: (x.cast("double") + F.lit(0.0)).cast("string"))), 256))
     keyed = stage.write(base.select("id", "label", key.alias("key"), F.when(fine, F.col("vec")).alias("vec")), "keyed")
@@ -153,10 +153,11 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     tiles = tiles.select(*cell, "home", "rep", "size", "vec", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"))
     found = stage.write(tiles.groupBy(*cell, "i", "j").applyInPandas(_group(threshold), "kind int, a long, b long"), "found")
     counts = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("others"))
-    comps = components(found.where("kind = 1").select("a", "b"), stage)
+    comps = stage.write(components(found.where("kind = 1").select("a", "b"), stage), "components")
+    stage.drop("reps")
     of_class = (classes.join(counts, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
                 .select(F.col("label").alias("cl"), F.col("key").alias("ck"), (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
                         F.coalesce("component", "rep").alias("component_id")))
     out = keyed.join(of_class, (keyed["label"] == of_class["cl"]) & (keyed["key"] == of_class["ck"]), "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-                      F.coalesce("component_id", "id").alias("component_id"), (F.col("id") == F.coalesce("component_id", "id")).alias("kept"))
+                      F.coalesce("component_id", "id").alias("component_id"), F.coalesce(F.col("id") == F.coalesce("component_id", "id"), F.lit(True)).alias("kept"))

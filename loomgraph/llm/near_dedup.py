@@ -28,8 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components, spanning
 from .common import Stage, bound_arrow
-from .components import components, spanning
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -180,7 +180,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     class_id is the smallest id of the documents linked to this one by Jaccard similarity
     of five-word shingles (lower-cased words of letters and digits) of ``threshold`` or
     more, directly or through others; kept is true for that document alone. Null and blank
-    texts are classes of their own. Rows that repeat an id share a class; if it is theirs,
+    texts are classes of their own, and so are rows without an id (class_id is null). Rows that repeat an id share a class; if it is theirs,
     all are kept. Other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
@@ -189,7 +189,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketched = stage.write(base.mapInArrow(_sketches, "id long, key binary, bands array<long>"), "sketches")
     # classes of equal words, each with the bands of its smallest id
-    classes = stage.write(sketched.where("key is not null").groupBy("key").agg(F.min(F.struct("id", "bands")).alias("first"))
+    classes = stage.write(sketched.where("key is not null and id is not null").groupBy("key").agg(F.min(F.struct("id", "bands")).alias("first"))
                           .select("key", F.col("first.id").alias("rep"), F.col("first.bands").alias("bands")), "classes")
     rows = classes.select("rep", F.explode("bands").alias("bucket"))
     buckets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("leader")).where("n > 1")
@@ -221,6 +221,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     final = stage.write(components(links.unionByName(more), stage), "components-2")
     of_class = classes.select("key", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("key").alias("ck"), F.coalesce("component", "rep").alias("class_id"))
-    out = sketched.select("id", "key").join(of_class, F.col("key") == F.col("ck"), "left")
+    for name in ("needed", "sets", "stars", "links-of-leaders", "components-1", "groups", "told", "links-across"):
+        stage.drop(name)  # the result reads sketches, classes and components-2
+    out = sketched.select("id", "key").join(of_class, (F.col("key") == F.col("ck")) & F.col("id").isNotNull(), "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"),
-                      (F.col("id") == F.coalesce("class_id", "id")).alias("kept"))
+                      F.coalesce(F.col("id") == F.coalesce("class_id", "id"), F.lit(True)).alias("kept"))

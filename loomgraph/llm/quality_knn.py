@@ -23,6 +23,9 @@ PER_CLASS = 600
 LATENT = 48
 NEIGHBOURS = 15
 LAYOUT_WEIGHT = 1.5
+#: How far votes are reweighted from the sample's balance to the odds of the labels: 0 not at
+#: all, 1 fully. Full odds let close rows of the rarer class pass.
+PRIOR_POWER = 0.3
 
 
 def _symbols() -> np.ndarray:
@@ -56,8 +59,7 @@ def raw_vector(text: str | None) -> np.ndarray:
     n = len(s)
     one = np.bincount(s, minlength=N)
     words = text.split()
-    m = max(1, len(words))
-    same = sum(map(operator.eq, words, words[1:])) / m
+    same = sum(map(operator.eq, words, words[1:])) / (len(words) + 10)  # few words tell little
     out[TERMS:] = (same**0.5, (one[28] / n) ** 0.5, (one[32:63].sum() / n) ** 0.5, one[30] / n, one[29] / n, (one[27] + one[1:27].sum()) / n)
     return out
 
@@ -72,8 +74,10 @@ def _weighted(x: np.ndarray, idf: np.ndarray, mean: np.ndarray) -> np.ndarray:
     return x
 
 
-def fit(rows: list[tuple[int, np.ndarray]], latent: int = LATENT) -> dict:
-    """The model of (label, raw vector) rows. Without rows every text scores 0.5."""
+def fit(rows: list[tuple[int, np.ndarray]], share: float | None = None, latent: int = LATENT) -> dict:
+    """The model of (label, raw vector) rows. ``share`` is that of label 1 among all labelled
+    rows: votes of a class that the sample holds too much of count less. Without rows
+    every text scores 0.5."""
     if not rows:
         return {"y": np.zeros(0, np.float32), "prior": 0.5}
     x = np.empty((len(rows), TERMS + LAYOUT), np.float32)
@@ -91,7 +95,10 @@ def fit(rows: list[tuple[int, np.ndarray]], latent: int = LATENT) -> dict:
     basis = w.T @ (vectors[:, order] / np.sqrt(values[order])).astype(np.float32)
     z = w @ basis
     z /= np.maximum(1e-9, np.linalg.norm(z, axis=1, keepdims=True))
-    return {"y": y, "prior": float(y.mean()), "idf": idf, "mean": mean, "centre": centre, "basis": basis, "z": z}
+    mean_y = float(y.mean())
+    share = mean_y if share is None else share
+    value = np.where(y == 1, share / max(mean_y, 1e-9), (1 - share) / max(1 - mean_y, 1e-9)).astype(np.float32) ** PRIOR_POWER
+    return {"y": y, "value": value, "prior": share, "idf": idf, "mean": mean, "centre": centre, "basis": basis, "z": z}
 
 
 def score(model: dict, texts: list[str | None], neighbours: int = NEIGHBOURS) -> list[float]:
@@ -111,7 +118,7 @@ def score(model: dict, texts: list[str | None], neighbours: int = NEIGHBOURS) ->
         z /= np.maximum(1e-9, np.linalg.norm(z, axis=1, keepdims=True))
         sims = z @ model["z"].T
         near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        weight = np.maximum(0, np.take_along_axis(sims, near, axis=1)).astype(np.float64) ** 2
+        weight = np.maximum(0, np.take_along_axis(sims, near, axis=1)).astype(np.float64) ** 2 * model["value"][near]
         total = weight.sum(axis=1)
         vote = (weight * y[near]).sum(axis=1)
         for r, i in enumerate(ids):
@@ -121,13 +128,14 @@ def score(model: dict, texts: list[str | None], neighbours: int = NEIGHBOURS) ->
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, use: Column,
-                  per_class: int = PER_CLASS) -> list[tuple[int, np.ndarray]]:
-    """About ``per_class`` labelled rows of each class by a hash of the id; their ids are
-    few, so the join that fetches their texts broadcasts them."""
+                  per_class: int = PER_CLASS) -> tuple[list[tuple[int, np.ndarray]], float | None]:
+    """About ``per_class`` labelled rows of each class by a hash of the id, and the share of
+    label 1 among all of them; the chosen ids are few, so the join that fetches their texts
+    broadcasts them."""
     known = labels.where(use & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
-        return []
+        return [], None
     place = F.pmod(F.xxhash64(F.col("id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     bound = F.lit(0.0)
     for k, n in counts.items():
@@ -145,7 +153,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: st
     found = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
              .join(F.broadcast(few), "id").select("id", "y", "text").mapInArrow(vectors, f"id {kind}, y int, v binary")
              .orderBy("id", "v").limit(3 * per_class).collect())
-    return [(r["y"], np.frombuffer(r["v"], np.float32)) for r in found]
+    return [(r["y"], np.frombuffer(r["v"], np.float32)) for r in found], counts.get(1, 0) / sum(counts.values())
 
 
 def classify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text",

@@ -32,15 +32,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     rows = language_id.training_rows(docs, "doc_id", "text", "lang", crc_mod("doc_id", 5) != 0)
     out = language_id.identify(docs, language_id.fit(rows))
-    return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound_arrow(spark)
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     rows = quality_knn.training_rows(docs, labels, "quality", "doc_id", "text", crc_mod("doc_id", 3) != 1)
-    out = quality_knn.classify(docs.select("doc_id", "text"), quality_knn.fit(rows))
-    return out.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+    out = quality_knn.classify(docs.select("doc_id", "text"), quality_knn.fit(*rows))
+    return out.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

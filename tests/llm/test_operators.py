@@ -10,9 +10,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomgraph.llm import bpe, components, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, near_dedup, pii, quality_knn, token_counts
+from loomgraph.llm import bpe, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, near_dedup, pii, quality_knn, token_counts
 from loomgraph.llm.common import Stage, bound_arrow, crc_mod
 from loomgraph.llm.queries import ORACLES, QUERIES, tokenizer
+from loomgraph.operators import components
 from tests.conftest import SF
 from tests.helpers import agrees, connect
 
@@ -94,7 +95,7 @@ def test_quality_learns_and_handles_odd_texts(spark):
     d = docs(spark, texts + ODD)
     labels = spark.createDataFrame([(i, y, 0) for i, y in enumerate(label)] + [(95, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     found = quality_knn.training_rows(d, labels, "quality", "doc_id", "text", crc_mod("doc_id", 3) != 1)
-    model = quality_knn.fit(found)
+    model = quality_knn.fit(*found)
     got = rows(quality_knn.classify(d, model))
     held = [i for i in range(90) if zlib.crc32(str(i).encode()) % 3 == 1]
     assert sum(got[i]["predicted"] == label[i] for i in held) >= 0.95 * len(held)
@@ -198,6 +199,8 @@ def test_near_dedup_empty_and_repeated(spark):
     assert near_dedup.near_duplicates(docs(spark, [])).count() == 0
     d = docs(spark, ["a b c d e f"])
     assert [r["class_id"] for r in near_dedup.near_duplicates(d.union(d)).collect()] == [0, 0]
+    nameless = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (4, "a b c d e f")], "doc_id long, text string")
+    assert sorted((str(r["class_id"]), r["kept"]) for r in near_dedup.near_duplicates(nameless).collect()) == [("4", True), ("None", True), ("None", True)]
 
 
 def test_probminhash_estimates_probability_jaccard():
@@ -417,6 +420,8 @@ def test_embedding_links_brute_force(spark, monkeypatch, dim, rows_a_cell):
 
 
 def test_embedding_empty_table(spark):
+    nameless = spark.createDataFrame([(None, [1.0, 0.0], 0), (3, [1.0, 0.0], 0)], "vec_id long, embedding array<float>, label int")
+    assert sorted((str(r["component_id"]), r["n_links"], r["kept"]) for r in embedding_dedup.near_vectors(nameless).collect()) == [("3", 0, True), ("None", 0, True)]
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
