@@ -19,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bound_arrow(spark)
     docs = docs.select(*COLUMNS)
     rows = quality_knn.training_rows(docs, read(spark, sf_dir, "labels"), "quality", "doc_id", "text", crc_mod("doc_id", 3) != 1)
-    scored = quality_knn.classify(docs, quality_knn.fit(rows), passthrough=["text", "lang", "source", "n_chars"])
+    scored = quality_knn.classify(docs, quality_knn.fit(*rows), passthrough=["text", "lang", "source", "n_chars"])
     return scored.where("predicted = 1").select(*COLUMNS)
 
 
