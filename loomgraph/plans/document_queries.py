@@ -146,7 +146,7 @@ def chunk_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.chunk_documents(read(spark, sf_dir, "documents")).drop("text")
 
 
-@R.add("SELECT doc_id, length(text) AS total_chars, length(text) AS covered_chars, 0 AS n_gaps, true AS passed FROM documents")
+@R.add("SELECT doc_id, length(text) AS total_chars, length(text) AS covered_chars, 0::BIGINT AS n_gaps, true AS passed FROM documents")
 def chunk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
     return ch.coverage(ch.chunk_documents(d), d.select("doc_id", F.length("text").alias("total_chars"))).drop("coverage_pct")

@@ -106,7 +106,7 @@ def core_nodes_by_community(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(f"""WITH {_TRADE}, {_HUBS}, v AS (SELECT h.node_id, p.community_id, count(*) AS v FROM h JOIN u ON u.a = h.node_id JOIN p ON p.node_id = u.b WHERE p.node_id NOT IN (SELECT node_id FROM h) GROUP BY ALL),
 w AS (SELECT node_id, arg_max(community_id, v * 1000000 - community_id) AS community_id FROM v GROUP BY node_id)
-SELECT * FROM w UNION ALL SELECT node_id, (SELECT max(community_id) FROM p WHERE node_id NOT IN (SELECT node_id FROM h)) + row_number() OVER (ORDER BY node_id) FROM h WHERE node_id NOT IN (SELECT node_id FROM w)""")
+SELECT * FROM w UNION ALL SELECT node_id, (SELECT max(community_id) FROM p WHERE node_id NOT IN (SELECT node_id FROM h)) + (row_number() OVER (ORDER BY node_id))::INT FROM h WHERE node_id NOT IN (SELECT node_id FROM w)""")
 def reattach(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges, part = trade(spark, sf_dir)
     hubs = gx.percentile_core(gx.degrees(nodes, edges), 99.0).select("node_id")
