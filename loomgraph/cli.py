@@ -16,7 +16,7 @@ def parser() -> argparse.ArgumentParser:
     init.add_argument("--register-as")
     init.add_argument("--set-default", action="store_true")
     sub.add_parser("corpora")
-    for name in ("ingest", "watch", "triage", "status", "embed", "graph", "cluster", "render", "decay", "token-report", "eval-graph", "serve", "publish"):
+    for name in ("ingest", "watch", "triage", "status", "embed", "graph", "cluster", "render", "decay", "token-report", "eval-graph", "eval-cluster", "viz", "serve", "publish"):
         one = sub.add_parser(name)
         one.add_argument("--corpus")
         if name == "embed":
@@ -80,7 +80,8 @@ def main(argv: list[str] | None = None) -> int:
         rows(gx.partition_shape(out.partition))
         print("\n".join(out.notes), file=sys.stderr)
     elif args.command == "render":
-        print(engine.render().count())
+        engine.render()
+        print(engine.export_vault())
     elif args.command == "decay":
         rows(engine.decay(args.dry_run).where("decayed").select("doc_id", "relevance", "status"))
     elif args.command == "token-report":
@@ -89,6 +90,15 @@ def main(argv: list[str] | None = None) -> int:
         nodes, edges = engine.graph()
         rows(gx.graph_metrics(nodes, edges))
         rows(gx.by_relation(edges))
+    elif args.command == "eval-cluster":
+        part, proj = engine.read("partition"), engine.read("projection")
+        nodes = engine.graph()[0].where("node_type = 'document'").select("node_id")
+        for df in (gx.partition_shape(part), gx.modularity(proj, part), gx.surprise(nodes, proj, part)):
+            rows(df)
+    elif args.command == "viz":
+        out = corpus.root / "exports" / "graph.html"
+        out.write_text(engine.draw(), encoding="utf-8")
+        print(out)
     elif args.command == "serve":
         for line in sys.stdin:
             if line.strip():

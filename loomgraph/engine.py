@@ -13,11 +13,13 @@ from . import ids, schemas
 from .corpus import Corpus
 from .functions import chunking as ch
 from .operators import community as cm
+from .operators import concepts as cc
 from .operators import decay as dk
 from .operators import graph as gx
 from .operators import ingest as ig
 from .operators import publish as pb
 from .operators import render as rd
+from .operators import reports as rp
 from .operators import retrieve as rt
 from .operators import tokens as tk
 from .operators import vectors as vx
@@ -160,6 +162,44 @@ class Engine:
         cards = self.read("cards", schemas.CARDS)
         return self.write(pb.manifest(cards.select(F.concat(F.lit("cards/"), "doc_id", F.lit(".md")).alias("path"), F.col("markdown").alias("content"))), "published_manifest")
 
+    def export_vault(self) -> int:
+        """Cards and community pages as files below the corpus, pages of communities that are
+        gone removed, and dashboard, index and log at its root; the number of files."""
+        root, files = self.corpus.root, 0
+        parts = [("cards", self.read("cards", schemas.CARDS).select(F.col("doc_id").alias("name"), "markdown"))]
+        if self.has("communities"):
+            parts.append(("communities", self.community_pages().select("slug", "community_id", "markdown").select(F.concat_ws("-", "slug", F.col("community_id").cast("string")).alias("name"), "markdown")))
+        for folder, rows in parts:
+            (root / folder).mkdir(exist_ok=True)
+            wanted = set()
+            for r in rows.toLocalIterator():
+                (root / folder / f"{r['name']}.md").write_text(r["markdown"], encoding="utf-8")
+                wanted.add(f"{r['name']}.md")
+            if folder == "communities":
+                for old in (root / folder).glob("*.md"):
+                    if old.name not in wanted:
+                        old.unlink()
+            files += len(wanted)
+        (root / "dashboard.md").write_text(rp.dashboard(), encoding="utf-8")
+        (root / "index.md").write_text(rp.index(), encoding="utf-8")
+        log = root / "log.md"
+        entry = f"## {self.clock():%Y-%m-%d %H:%M}\n\n{files} pages written"
+        log.write_text(rp.prepended_log(log.read_text(encoding="utf-8") if log.exists() else "", entry), encoding="utf-8")
+        return files
+
+    def extract_concepts(self, answer: Callable[[str], str], force: bool = False) -> DataFrame:
+        """Counts by status; what was extracted joins the concepts table."""
+        known = self.read("concepts", "doc_id string, summary string, topics array<string>, methods array<string>, named_entities array<string>, domain string")
+        stage = Stage(self.spark, "concepts")
+        out = stage.write(cc.extract_concepts(self.read("docs"), answer, known, force), "new")
+        self.write(vx.upsert(known, out.where("status = 'extracted'").drop("status"), "doc_id"), "concepts")
+        return out.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+    def draw(self, max_nodes: int = 3000, types: list[str] | None = None) -> str:
+        nodes, edges = self.graph()
+        shown, inside = pb.graph_payload(nodes, edges, max_nodes, types)
+        return rp.drawing(shown, inside, self.corpus.root.name)
+
     # --- tools ------------------------------------------------------------------------
     def query_vector(self, query: str):
         row = self.spark.createDataFrame([(query,)], "q string").select(self.embedder("q").alias("v")).first()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import ids
 from ..functions import metadata as md
 from ..functions import text as tx
+from ..stage import Stage
 from . import profiles as px
 
 SUPPORTED = (".pdf", ".html", ".htm", ".txt", ".md")
@@ -132,9 +133,15 @@ def ingest(files: DataFrame, known: DataFrame, publisher: DataFrame | None = Non
         flat = flat.withColumn("author", F.try_element_at("authors", F.lit(1)))
     flat = flat.withColumn("contract", px.validate_routed(flat, profiles=profiles))
     fine = error.isNull() & F.col("known").isNull() & F.col("flight").isNull() & F.col("yield").isNull() & F.col("contract.passed")
-    first = F.min(F.when(fine, F.col("path"))).over(Window.partitionBy("content_hash"))
-    flat = flat.withColumn("first_path", first)
-    again = fine & (F.col("first_path") < F.col("path")) | ~F.coalesce(fine, F.lit(False)) & (F.col("first_path") < F.col("path"))
+    # Copies may be many: their first path comes from partial minima and meets the rows in a
+    # join that splits where one hash is hot. The rows, texts read and records made, are
+    # written once in between.
+    flat = Stage(files.sparkSession, "ingest").write(flat.withColumn("fine", F.coalesce(fine, F.lit(False))), "read")
+    fine = F.col("fine")
+    error = F.col("error") if "error" in flat.columns else F.lit(None).cast("string")
+    first = flat.where(fine).groupBy(F.col("content_hash").alias("h")).agg(F.min("path").alias("first_path"))
+    flat = flat.join(first, F.col("content_hash") == F.col("h"), "left").drop("h")
+    again = F.col("first_path") < F.col("path")
     status = (F.when(F.col("known").isNotNull() | again, "duplicate").when(F.col("flight").isNotNull(), "quarantined").when(error.isNotNull(), "failed")
               .when(F.col("yield").isNotNull() | ~F.col("contract.passed"), "quarantined").otherwise("ingested"))
     reason = (F.when(F.col("known").isNotNull() | again, F.concat(F.lit("existing_hash:"), F.substring("content_hash", 1, 12))).when(F.col("flight").isNotNull(), F.col("flight"))
@@ -142,7 +149,7 @@ def ingest(files: DataFrame, known: DataFrame, publisher: DataFrame | None = Non
     out = flat.withColumns({"status": status, "reason": reason, "ts": ts if ts is not None else F.current_timestamp(), "extractor_version": F.lit(EXTRACTOR)})
     taken = doc_ids(out.where("status = 'ingested'").select("path", "filename")).select("path", "doc_id")
     out = out.join(taken, "path", "left")
-    return hooks.run("post_ingest", out.drop("known", "body", "pub", "first_path", "contract", "flight", "yield"))
+    return hooks.run("post_ingest", out.drop("known", "body", "pub", "first_path", "contract", "flight", "yield", "fine"))
 
 
 def manifest_rows(outcomes: DataFrame) -> DataFrame:

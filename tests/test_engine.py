@@ -72,6 +72,16 @@ def test_chain(engine):
     assert len(engine.handle({"id": 2, "method": "tools/list"})["result"]["tools"]) == 9
     assert engine.handle({"method": "notifications/initialized"}) is None
     assert engine.decay().where("decayed").count() == 0
+    assert engine.export_vault() == 4 and engine.export_vault() == 4
+    log = (engine.corpus.root / "log.md").read_text()
+    assert log.count("pages written") == 2 and (engine.corpus.root / "cards" / f"{doc}.md").exists()
+    assert "<canvas" in engine.draw(max_nodes=5)
+    said = engine.extract_concepts(lambda p: '{"summary": "S", "topics": ["a", "A"], "domain": "d"}' if "number 0" in p else "I cannot" if "number 1" in p else "{}")
+    assert counts(said) == {"extracted": 1, "skipped": 1, "failed": 1}
+    concepts = engine.read("concepts")
+    assert concepts.first()["topics"] == ["a"]
+    nodes, _ = engine.build_graph(concepts)
+    assert nodes.where("node_id = 'topic::a'").count() == 1
 
 
 def test_graph_version_is_checked(spark, tmp_path):
@@ -108,6 +118,25 @@ def test_cards_round_trip(spark):
     assert yaml.safe_load(md.split("---")[1])["title"] == "A: title"
 
 
+def test_reports(spark):
+    from loomgraph.operators import concepts as cc
+    from loomgraph.operators import reports as rp
+    from loomgraph.operators import tokens as tk
+
+    log = spark.createDataFrame([("2024-01-01", "t", "s", 10, 20)], "ts string, tool string, surface_id string, served long, counterfactual long")
+    text = rp.token_report(tk.totals(log), tk.report(log))
+    assert "1 calls served 10 tokens against 20: 2.0x" in text and "| t | 1 | 10 | 20 | 2.0 |" in text
+    assert rp.prepended_log(rp.prepended_log("", "one"), "two").index("two") < rp.prepended_log(rp.prepended_log("", "one"), "two").index("one")
+    xy = rp.layout(["a", "b", "c"], [("a", "b"), ("b", "c")])
+    assert xy.shape == (3, 2) and abs(xy).max() == 1.0 and rp.layout([], []).shape == (0, 2)
+    hits = spark.createDataFrame([("q", 2, "second"), ("q", 1, "first")], "question string, rank int, text string")
+    turn = cc.rag_turn(hits, lambda p: p.split("Question: ")[1].upper()).first()
+    assert turn["contexts"] == ["first", "second"] and turn["answer"] == "Q"
+    chunks = spark.createDataFrame([("c", "d", "x"), ("e", "f", "bad")], "chunk_id string, doc_id string, text string")
+    made = cc.make_examples(chunks, lambda t: "no" if t == "bad" else '{"question": "Q?", "answer": "A"}').collect()
+    assert [(r["question"], r["seed_chunk"]) for r in made] == [("Q?", "c")]
+
+
 def test_hooks_run_in_order(spark):
     h = ig.Hooks()
     h.register("post_extract", lambda d: d.withColumn("x", F.col("x") * 2), 50)
