@@ -43,11 +43,41 @@ def top_k(vectors: DataFrame, query: Column, k: int, id_col: str, vec_col: str,
     return rows.withColumn("score", F.round(cosine(F.col(vec_col), query), 4)).orderBy(F.desc("score"), id_col).limit(k)
 
 
+def _unit(values: pd.Series) -> np.ndarray:
+    v = np.stack(values.to_numpy()).astype(float)
+    size = np.linalg.norm(v, axis=1, keepdims=True)
+    return v / np.where(size == 0, np.inf, size)
+
+
+def _tiles(left: DataFrame, left_id: str, right: DataFrame, right_id: str):
+    """Both sides grouped to tiles (i, j): every block of the left meets every block of the
+    right, and a task holds one of each, about BLOCK rows."""
+    m, n = max(1, -(-left.count() // BLOCK)), max(1, -(-right.count() // BLOCK))
+    lt = left.withColumn("i", F.pmod(F.xxhash64(left_id), F.lit(m)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    rt = right.withColumn("j", F.pmod(F.xxhash64(right_id), F.lit(n)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    return lt.groupBy("i", "j").cogroup(rt.groupBy("i", "j"))
+
+
 def top_k_joined(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str, query_col: str = "query_id", query_vec: str = "query_vec") -> DataFrame:
-    """The ``k`` nearest rows of each query of a (small, stated) table of queries."""
-    scored = vectors.crossJoin(F.broadcast(queries.select(query_col, query_vec))).withColumn("score", F.round(cosine(F.col(vec_col), F.col(query_vec)), 4))
-    w = Window.partitionBy(query_col).orderBy(F.desc("score"), id_col)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop(query_vec)
+    """(query, id, score, rank): the ``k`` nearest rows of each query of a table of queries.
+
+    Queries and rows meet in tiles, one matrix product each, and a tile keeps ``k`` rows a
+    query; neither side is broadcast."""
+    left = queries.select(F.col(query_col).alias("q"), F.col(query_vec).alias("v"))
+    right = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("w"))
+    kinds = f"q {left.schema['q'].dataType.simpleString()}, id {right.schema['id'].dataType.simpleString()}, score double"
+
+    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"q": a["q"][:0], "id": b["id"][:0], "score": pd.Series(dtype=float)})
+        b = b.sort_values("id")
+        sims = _unit(a["v"]) @ _unit(b["w"]).T
+        best = np.argsort(-np.round(sims, 4), axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({"q": np.repeat(a["q"].to_numpy(), best.shape[1]), "id": b["id"].to_numpy()[best.ravel()], "score": np.take_along_axis(sims, best, axis=1).ravel()})
+
+    found = _tiles(left, "q", right, "id").applyInPandas(nearest, kinds).withColumn("score", F.round("score", 4))
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(query_col), F.col("id").alias(id_col), "score", "rank")
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, id_col: str, vec_col: str, n_blocks: int | None = None) -> DataFrame:
@@ -70,9 +100,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, id_col: str, vec_col: st
         right = pdf if pdf["i"].iloc[0] == pdf["j"].iloc[0] else pdf[pdf["block"] == pdf["j"]]
         out = {"a": [], "b": [], "similarity": []}
         if len(left) and len(right):
-            unit = [np.stack(p["vec"].to_numpy()).astype(float) for p in (left, right)]
-            unit = [u / np.where((n := np.linalg.norm(u, axis=1, keepdims=True)) == 0, np.inf, n) for u in unit]
-            sims = unit[0] @ unit[1].T
+            sims = _unit(left["vec"]) @ _unit(right["vec"]).T
             r, c = np.nonzero(sims >= threshold)
             a, b, s = left["id"].to_numpy()[r], right["id"].to_numpy()[c], sims[r, c]
             keep = a < b if left is right else a != b
@@ -93,23 +121,16 @@ def classify_duplicates(candidates: DataFrame, existing: DataFrame, id_col: str,
     left = candidates.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
     right = existing.select(F.col(id_col).alias("neighbour"), F.col(vec_col).alias("w"))
     kinds = f"id {candidates.schema[id_col].dataType.simpleString()}, neighbour {existing.schema[id_col].dataType.simpleString()}, similarity double"
-    n = max(1, -(-right.count() // BLOCK))
-    m = max(1, -(-left.count() // BLOCK))
-    lt = left.withColumn("i", F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    rt = right.withColumn("j", F.pmod(F.xxhash64("neighbour"), F.lit(n)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-
     def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"id": a["id"][:0], "neighbour": b["neighbour"][:0], "similarity": pd.Series(dtype=float)})
         b = b.sort_values("neighbour")
-        unit = [np.stack(x.to_numpy()).astype(float) for x in (a["v"], b["w"])]
-        unit = [u / np.where((s := np.linalg.norm(u, axis=1, keepdims=True)) == 0, np.inf, s) for u in unit]
-        sims = np.round(unit[0] @ unit[1].T, 12)
+        sims = np.round(_unit(a["v"]) @ _unit(b["w"]).T, 12)
         sims[a["id"].to_numpy()[:, None] == b["neighbour"].to_numpy()[None]] = -np.inf
         at = sims.argmax(axis=1)
         return pd.DataFrame({"id": a["id"].to_numpy(), "neighbour": b["neighbour"].to_numpy()[at], "similarity": sims[np.arange(len(a)), at]}).replace(-np.inf, np.nan).dropna()
 
-    best = lt.groupBy("i", "j").cogroup(rt.groupBy("i", "j")).applyInPandas(nearest, kinds)
+    best = _tiles(left, "id", right, "neighbour").applyInPandas(nearest, kinds)
     best = best.groupBy("id").agg(F.max_by(F.struct("neighbour", "similarity"), F.struct("similarity", (-F.col("neighbour")).alias("n"))).alias("t")).select("id", "t.neighbour", "t.similarity")
     out = best.withColumn("outcome", band(F.col("similarity"), near, border))
     if rerank is not None:
