@@ -33,7 +33,7 @@ SHARE = 2e-6
 #: Words in the automaton at most: the most frequent. The others are merged, exactly.
 LEXICON_WORDS = 60_000
 #: Words a process remembers at most; beyond that it starts anew.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 
 NEVER = 1 << 62
 
@@ -63,12 +63,11 @@ class ByteBPE:
         self.ids = {raw(w): i for w, i in model["vocab"].items() if w not in self.special}
         self.bytes = {i: w for w, i in self.ids.items()} | {i: w.encode() for w, i in self.special.items()}
         self.single = [self.ids[bytes([b])] for b in range(256)]
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
+        self.code: dict[tuple[int, int], int] = {}  # of a pair of ids: its rank and the id that it gives, as one number
         for r, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             a, b = raw(a), raw(b)
-            self.rank[self.ids[a], self.ids[b]] = (r, self.ids[a + b])
-        self.code = {k: r << 32 | new for k, (r, new) in self.rank.items()}
+            self.code[self.ids[a], self.ids[b]] = r << 32 | self.ids[a + b]
         self._split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         from tokenizers import Tokenizer
 
@@ -97,7 +96,7 @@ class ByteBPE:
     def _merge_scan(self, word: str) -> list[int]:
         single, get = self.single, self.code.get
         ids = [single[b] for b in word.encode()]
-        codes = [get(p, NEVER) for p in zip(ids, ids[1:])]  # the rank and id of each pair, as one number
+        codes = [get(p, NEVER) for p in zip(ids, ids[1:])]
         while codes and (best := min(codes)) != NEVER:
             i = codes.index(best)
             ids[i : i + 2] = [new] = [best & 0xFFFFFFFF]
@@ -118,8 +117,8 @@ class ByteBPE:
 
         def offer(i: int) -> None:
             j = nxt[i]
-            if j >= 0 and (r := self.rank.get((ids[i], ids[j]))):
-                heapq.heappush(heap, (r[0], i, ids[i], ids[j], r[1]))
+            if j >= 0 and (code := self.code.get((ids[i], ids[j]))) is not None:
+                heapq.heappush(heap, (code >> 32, i, ids[i], ids[j], code & 0xFFFFFFFF))
 
         for i in range(n - 1):
             offer(i)
@@ -263,7 +262,7 @@ def frequent_words(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
                     words = bpe.words(t)
                     total += len(words)
                     seen.update(words)
-            if len(seen) > 2 * CACHE_WORDS:  # what cannot reach the share of what was read goes
+            if len(seen) > 3 * CACHE_WORDS:  # what cannot reach the share of what was read goes
                 seen = Counter({w: n for w, n in seen.items() if n > share * total})
         out = [(w, n) for w, n in seen.items() if n >= max(2, share * total)]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())],
