@@ -38,7 +38,7 @@ BANDS, ROWS = 24, 5
 TILE = 256
 #: Candidate ids are broadcast up to this many (8 bytes each), and shuffled beyond it.
 BROADCAST_IDS = 2_000_000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 
 _WORD = re.compile(r"[^\W_]+")
 _U = np.uint64
