@@ -24,6 +24,9 @@ N = 64
 GRAMS = N + N**2 + N**3
 PER_LANGUAGE = 200
 LANDMARKS = 32
+#: Training rows in all: with very many languages each has fewer.
+MOST_ROWS = 4000
+MOST_LANDMARKS = 1024
 RIDGE = 1e-3
 
 
@@ -64,18 +67,29 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def fit(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> dict:
-    """The model of (language, n-gram flags) rows."""
+def _flags(bits: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits, np.uint8))[:GRAMS].astype(bool)
+
+
+def fit(rows: list[tuple[str, bytes]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> dict:
+    """The model of (language, n-gram bits) rows. Only the landmarks' n-grams are unpacked
+    for all rows at once."""
     langs = sorted({lang for lang, _ in rows})
     if not langs:
         return {"langs": []}
-    x = np.array([f for _, f in rows])
+    landmarks = max(1, min(landmarks, MOST_LANDMARKS // len(langs)))
     y = np.array([[lang == k for k in langs] for lang, _ in rows], np.float64)
     picked = [i for k in langs for i in [j for j, (lang, _) in enumerate(rows) if lang == k][:landmarks]]
-    used = np.flatnonzero(x[picked].any(axis=0))
-    marks = x[picked][:, used].astype(np.float32)
-    size = np.sqrt(x.sum(axis=1).astype(np.float64))
-    kernel = (x[:, used].astype(np.float32) @ marks.T).astype(np.float64) / size[:, None] / size[picked][None]
+    used = np.zeros(GRAMS, bool)
+    for i in picked:
+        used |= _flags(rows[i][1])
+    used = np.flatnonzero(used)
+    x, size = np.empty((len(rows), len(used)), np.float32), np.empty(len(rows))
+    for i, (_, bits) in enumerate(rows):
+        flags = _flags(bits)
+        x[i], size[i] = flags[used], np.sqrt(flags.sum())
+    marks = x[picked]
+    kernel = (x @ marks.T).astype(np.float64) / size[:, None] / size[picked][None]
     values, vectors = np.linalg.eigh(kernel[picked])
     keep = values > 1e-8 * values.max()
     nystrom = vectors[:, keep] / np.sqrt(values[keep])
@@ -111,7 +125,7 @@ def predict(model: dict, texts: list[str | None]) -> tuple[list[str], list[float
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, use: Column,
-                  per_language: int = PER_LANGUAGE) -> list[tuple[str, np.ndarray]]:
+                  per_language: int = PER_LANGUAGE) -> list[tuple[str, bytes]]:
     """About ``per_language`` rows of each language, those with the smallest hashes of the
     id: the languages' counts give each a hash bound, so the sample needs no sort."""
     rows = docs.where(use & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -119,6 +133,7 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, us
               .orderBy(F.desc("n"), "lang").limit(1000).collect()}
     if not counts:
         return []
+    per_language = max(1, min(per_language, MOST_ROWS // len(counts)))
     place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     bound = F.lit(0.0)
     for lang, n in counts.items():
@@ -140,7 +155,7 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, us
     for r in found:
         if taken[r["lang"]] < per_language:
             taken[r["lang"]] += 1
-            out.append((r["lang"], np.unpackbits(np.frombuffer(r["bits"], np.uint8))[:GRAMS].astype(bool)))
+            out.append((r["lang"], bytes(r["bits"])))
     return out
 
 
