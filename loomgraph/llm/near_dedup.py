@@ -1,11 +1,12 @@
 """Near-duplicate documents: ProbMinHash sketches, banding, exact verification.
 
-A document is the set of its five-word shingles, weighted by how often each occurs.
-ProbMinHash lets every shingle start a Poisson process whose rate is its weight; each
-arrival falls on a random register, and a register keeps the shingle that reached it
-first. A shingle stops once its next arrival is later than every register, so few arrivals
-are drawn beyond the first. Two registers agree with the probability Jaccard similarity
-of the weighted sets. Registers are grouped to bands; documents that share a band are
+A document is the set of its five-word shingles. ProbMinHash lets every shingle start a
+Poisson process whose rate is its weight; each arrival falls on a random register, and a
+register keeps the shingle that reached it first. A shingle stops once its next arrival is
+later than every register, so few arrivals are drawn beyond the first. Two registers agree
+with the probability Jaccard similarity of the weighted sets. Every shingle has the weight
+1, however often a document repeats it, so this is the Jaccard similarity of the sets, the
+measure that decides. Registers are grouped to bands; documents that share a band are
 candidates, and the Jaccard similarity of their shingle sets is computed exactly.
 
 Copies with the same words are one class before banding, and the pairs of a bucket are not
@@ -123,7 +124,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(texts), 256):
             lists = [tokens(t) for t in texts[at : at + 256]]
             keys = [xxhash.xxh128_digest("\x1f".join(w)) if w else None for w in lists]
-            bands = band_keys(sketch([np.unique(shingles(w), return_counts=True) for w in lists]))
+            sets = [np.unique(shingles(w)) for w in lists]
+            bands = band_keys(sketch([(x, np.ones(len(x))) for x in sets]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(at, len(lists)), pa.array(keys, pa.binary()),
                  pa.array([row.tolist() if w else None for row, w in zip(bands, lists, strict=True)], pa.list_(pa.int64()))],

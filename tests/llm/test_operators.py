@@ -181,6 +181,20 @@ def test_near_dedup_brute_force(spark):
     assert all(g["kept"] == (i == g["class_id"]) for i, g in got.items())
 
 
+def test_near_dedup_unequal_repetition(spark):
+    """Links are of sets: repeating a passage does not move a pair away from the threshold."""
+    r = random.Random(15)
+    texts = []
+    for times in (1, 5, 20, 50, 100, 400):
+        for _ in range(4):
+            body, foot = text(r, 100), text(r, 10)
+            texts += [f"{body} {foot}", f"{body} {' '.join([foot] * times)}", f"{body} more {' '.join([foot] * 3)}"]
+    got = rows(near_dedup.near_duplicates(docs(spark, texts)))
+    want = brute_classes(texts)
+    assert {i: g["class_id"] for i, g in got.items()} == want
+    assert want == {i: i // 3 * 3 for i in range(len(texts))}
+
+
 def test_near_dedup_hot_family_in_tiles(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "TILE", 16)
     r = random.Random(6)
