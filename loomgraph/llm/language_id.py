@@ -1,18 +1,20 @@
 """Language identification with string kernels.
 
 The kernel of two texts is the number of character n-grams (n = 1 to 3, the blended
-spectrum) present in both, divided by the root of the product of their numbers of
+spectrum; letters of every script, case aside) present in both, divided by the root of the product of their numbers of
 n-grams. It is taken against a fixed set of landmark texts; the Nyström map makes these
 kernel values the coordinates of a kernel ridge regression, one against the rest for each
-language. A batch of texts is scored by two matrix products: presence flags by landmark
-flags, kernel values by weights.
+language. Both are linear in a text's n-grams, so a text is scored by the sum of its
+n-grams' weights.
 
 The fit uses at most ``per_language`` texts of a language, chosen by a hash of the id; the
-bound is a parameter, and each text comes to the driver as a bit set of fixed size.
+bound is a parameter, and each text comes to the driver as a compressed bit set.
 """
 from __future__ import annotations
 
 import pickle
+import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,35 +22,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-N = 64
-GRAMS = N + N**2 + N**3
+#: Places of the hashed n-grams; a text of 3000 n-grams loses about 4 to shared places.
+GRAMS = 1 << 20
 PER_LANGUAGE = 200
 LANDMARKS = 32
 #: Training rows in all: with very many languages each has fewer.
 MOST_ROWS = 4000
 MOST_LANDMARKS = 1024
 RIDGE = 1e-3
+#: Rows and n-grams unpacked at once in the fit.
+FIT_ROWS, FIT_GRAMS = 256, 1 << 15
+
+_U = np.uint64
 
 
 def _symbols() -> np.ndarray:
-    """Code point -> one of 64 symbols: letters of either case alike, a-z and Latin-1 each
-    on its own, other scripts by ranges of code points."""
-    cp = np.arange(0x110000)
-    out = (60 + (cp >> 7) % 4).astype(np.uint8)
-    out[:0xC0] = 59
-    out[[9, 10, 11, 12, 13, 32, 0xA0]] = 0
-    out[48:58] = 58
-    for low, high, shift in ((97, 65, 96), (0xDF, 0xDF, 0xDF - 27)):
-        out[low : low + (26 if low == 97 else 1)] = np.arange(low, low + (26 if low == 97 else 1)) - shift
-        out[high : high + (26 if high == 65 else 1)] = out[low : low + (26 if low == 97 else 1)]
-    for c in range(0xE0, 0x100):
-        if c not in (0xF7,):
-            out[c] = 28 + c - 0xE0 - (c > 0xF7)
-            if c != 0xFF:
-                out[c - 32] = out[c]
-    out[[0xD7, 0xF7]] = 59
-    latin = np.arange(0x100, 0x250)
-    out[latin] = 60 + (latin >> 1) % 4
+    """Code point -> symbol: a letter or mark of any script is its lower-case code point;
+    blanks, digits and everything else are a symbol each."""
+    out = np.arange(0x110000, dtype=np.uint64)
+    for cp in range(0x20000):  # ideographs and private characters beyond stay as they are
+        kind = unicodedata.category(chr(cp))
+        if kind[0] in "LM":
+            low = chr(cp).lower()
+            out[cp] = ord(low) if len(low) == 1 else cp
+        else:
+            out[cp] = 32 if kind[0] == "Z" or chr(cp).isspace() else 48 if kind[0] == "N" else 33
     return out
 
 
@@ -56,11 +54,15 @@ SYMBOLS = _symbols()
 
 
 def gram_codes(text: str) -> np.ndarray:
-    """The n-grams of a text as numbers below GRAMS, repeats included."""
-    s = SYMBOLS[np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")].astype(np.int32)
-    two = s[:-1] * N + s[1:]
-    three = two[:-1] * N + s[2:]
-    return np.concatenate((s, two + N, three + (N + N * N)))
+    """The n-grams of a text as numbers below GRAMS, repeats included. An n-gram is the
+    number of 63 bits that its symbols make, hashed to its place."""
+    s = SYMBOLS[np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")]
+    two = s[:-1] << _U(21) | s[1:]
+    three = two[:-1] << _U(21) | s[2:]
+    x = np.concatenate((s, two, three))
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return ((x ^ (x >> _U(31))) & _U(GRAMS - 1)).astype(np.int64)
 
 
 def has_letter(text: str | None) -> bool:
@@ -68,12 +70,12 @@ def has_letter(text: str | None) -> bool:
 
 
 def _flags(bits: bytes) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(bits, np.uint8))[:GRAMS].astype(bool)
+    return np.unpackbits(np.frombuffer(zlib.decompress(bits), np.uint8)).astype(bool)
 
 
 def fit(rows: list[tuple[str, bytes]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> dict:
-    """The model of (language, n-gram bits) rows. Only the landmarks' n-grams are unpacked
-    for all rows at once."""
+    """The model of (language, n-gram bits) rows: a weight for each language of each n-gram
+    that a landmark has. Rows are unpacked ``FIT_ROWS`` at a time."""
     langs = sorted({lang for lang, _ in rows})
     if not langs:
         return {"langs": []}
@@ -84,21 +86,28 @@ def fit(rows: list[tuple[str, bytes]], landmarks: int = LANDMARKS, ridge: float
     for i in picked:
         used |= _flags(rows[i][1])
     used = np.flatnonzero(used)
-    x, size = np.empty((len(rows), len(used)), np.float32), np.empty(len(rows))
-    for i, (_, bits) in enumerate(rows):
-        flags = _flags(bits)
-        x[i], size[i] = flags[used], np.sqrt(flags.sum())
-    marks = x[picked]
-    kernel = (x @ marks.T).astype(np.float64) / size[:, None] / size[picked][None]
+    marks = np.array([_flags(rows[i][1])[used] for i in picked])
+    parts = [slice(at, at + FIT_GRAMS) for at in range(0, len(used), FIT_GRAMS)]
+    kernel, size = np.zeros((len(rows), len(picked))), np.empty(len(rows))
+    for at in range(0, len(rows), FIT_ROWS):
+        x = np.empty((len(rows[at : at + FIT_ROWS]), len(used)), bool)
+        for i, (_, bits) in enumerate(rows[at : at + FIT_ROWS]):
+            flags = _flags(bits)
+            x[i], size[at + i] = flags[used], np.sqrt(flags.sum())
+        for p in parts:
+            kernel[at : at + FIT_ROWS] += x[:, p].astype(np.float32) @ marks[:, p].astype(np.float32).T
+    kernel = kernel / size[:, None] / size[picked][None]
     values, vectors = np.linalg.eigh(kernel[picked])
     keep = values > 1e-8 * values.max()
     nystrom = vectors[:, keep] / np.sqrt(values[keep])
     phi = kernel @ nystrom
     weights = np.linalg.solve(phi.T @ phi + ridge * len(x) * np.eye(phi.shape[1]), phi.T @ y)
+    # the kernel is linear in a text's flags, so landmarks and weights fold into one table
+    folded = ((nystrom @ weights) / size[picked][:, None]).astype(np.float32)
+    table = np.concatenate([*[marks[:, p].astype(np.float32).T @ folded for p in parts], np.zeros((1, len(langs)), np.float32)])
     column = np.full(GRAMS, len(used), np.int32)
     column[used] = np.arange(len(used))
-    return {"langs": langs, "column": column, "marks": (marks / size[picked][:, None]).T.astype(np.float32).copy(),
-            "weights": (nystrom @ weights).astype(np.float32)}
+    return {"langs": langs, "column": column, "table": table}
 
 
 def predict(model: dict, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -106,21 +115,17 @@ def predict(model: dict, texts: list[str | None]) -> tuple[list[str], list[float
     names, scores = ["und"] * len(texts), [0.0] * len(texts)
     if not model["langs"]:
         return names, scores
-    column, marks = model["column"], model["marks"]
-    width, seen = len(marks), np.zeros(GRAMS, bool)
-    for at in range(0, len(texts), 256):
-        ids = [i for i in range(at, min(at + 256, len(texts))) if has_letter(texts[i])]
-        flags, sizes = np.zeros((len(ids), width + 1), np.float32), np.ones(len(ids), np.float32)
-        for r, i in enumerate(ids):
-            codes = gram_codes(texts[i])
-            seen[codes] = True
-            sizes[r] = np.count_nonzero(seen)
-            seen[codes] = False
-            flags[r, column[codes]] = 1
-        f = (flags[:, :width] @ marks / np.sqrt(sizes)[:, None]) @ model["weights"]
-        best = f.argmax(axis=1)
-        for r, i in enumerate(ids):
-            names[i], scores[i] = model["langs"][best[r]], float(min(1.0, max(0.0, f[r, best[r]])))
+    column, table, seen = model["column"], model["table"], np.zeros(GRAMS, bool)
+    for i, t in enumerate(texts):
+        if not has_letter(t):
+            continue
+        codes = gram_codes(t)
+        seen[codes] = True
+        own = np.flatnonzero(seen)
+        seen[codes] = False
+        f = table[column[own]].sum(axis=0, dtype=np.float64) / np.sqrt(len(own))
+        best = f.argmax()
+        names[i], scores[i] = model["langs"][best], float(min(1.0, max(0.0, f[best])))
     return names, scores
 
 
@@ -145,7 +150,7 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, us
             for t in batch.column(1).to_pylist():
                 seen = np.zeros(GRAMS, bool)
                 seen[gram_codes(t)] = True
-                out.append(np.packbits(seen).tobytes() if has_letter(t) else None)
+                out.append(zlib.compress(np.packbits(seen).tobytes(), 1) if has_letter(t) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], names=["lang", "place", "bits"])
 
     found = (rows.where(place < bound).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), place.alias("place"))

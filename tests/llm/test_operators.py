@@ -80,6 +80,29 @@ def test_language_id_without_training_rows(spark):
     assert language_id.identify(d.limit(0), model).count() == 0
 
 
+def test_language_id_tells_scripts_apart(spark):
+    """Languages of one script differ by their letters: three Cyrillic, two Arabic, two Greek
+    alphabets by code points, and Latin ones by letters past Latin-1."""
+    bound_arrow(spark)
+    r = random.Random(16)
+    letters = {"c1": "авекмнор", "c2": "гдлпстуы", "c3": "іїєґжзич", "a1": "ابتثجحخد", "a2": "پچژگکیسش", "g1": "αβγδεζηθ", "g2": "ικλμνξοπ", "l1": "ąćęłńśźż", "l2": "ščřžěůťď"}
+    lang = [k for k in letters for _ in range(30)]
+    words = lambda k: " ".join("".join(r.choice(letters[k]) for _ in range(r.randint(2, 7))) for _ in range(40))
+    d = docs(spark, [words(k) for k in lang], lang=lang)
+    model = language_id.fit(language_id.training_rows(d, "doc_id", "text", "lang", crc_mod("doc_id", 5) != 0))
+    got = rows(language_id.identify(d, model))
+    held = [i for i in range(len(lang)) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert {lang[i] for i in held} == set(letters)
+    assert [got[i]["lang_pred"] for i in held] == [lang[i] for i in held]
+
+
+def test_string_kernel_equals_sets_of_other_scripts():
+    a, b = "Привет, як справи? مرحبا שלום Łódź", "привіт як מרחבא łódka"
+    grams = lambda s: {"".join(" " if c.isspace() else c if c.isalpha() else "!" for c in s.lower())[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1)}
+    x, y = set(language_id.gram_codes(a).tolist()), set(language_id.gram_codes(b).tolist())
+    assert len(x & y) == len(grams(a) & grams(b)) and len(x) == len(grams(a))
+
+
 def test_string_kernel_equals_sets():
     a, b = "banana bandana", "Ananas"
     grams = lambda s: {s.lower()[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1)}
