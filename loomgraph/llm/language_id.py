@@ -29,6 +29,8 @@ LANDMARKS = 32
 #: Training rows in all: with very many languages each has fewer.
 MOST_ROWS = 4000
 MOST_LANDMARKS = 1024
+#: More values of lang are an error.
+MOST_LANGUAGES = 1000
 RIDGE = 1e-3
 #: Rows and n-grams unpacked at once in the fit.
 FIT_ROWS, FIT_GRAMS = 256, 1 << 15
@@ -132,10 +134,13 @@ def predict(model: dict, texts: list[str | None]) -> tuple[list[str], list[float
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, use: Column,
                   per_language: int = PER_LANGUAGE) -> list[tuple[str, bytes]]:
     """About ``per_language`` rows of each language, those with the smallest hashes of the
-    id: the languages' counts give each a hash bound, so the sample needs no sort."""
+    id: the languages' counts give each a hash bound, so the sample needs no sort. Fewer
+    of each past ``MOST_ROWS`` in all; over ``MOST_LANGUAGES`` languages are an error."""
     rows = docs.where(use & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
-              .orderBy(F.desc("n"), "lang").limit(1000).collect()}
+              .limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} values of {lang_col}: a model of so many languages is not supported")
     if not counts:
         return []
     per_language = max(1, min(per_language, MOST_ROWS // len(counts)))

@@ -96,6 +96,16 @@ def test_language_id_tells_scripts_apart(spark):
     assert [got[i]["lang_pred"] for i in held] == [lang[i] for i in held]
 
 
+def test_language_id_drops_no_language_silently(spark, monkeypatch):
+    bound_arrow(spark)
+    d = docs(spark, ["abc"] * 4, lang=["k0", "k1", "k2", "k3"])
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 4, raising=False)
+    assert {k for k, _ in language_id.training_rows(d, "doc_id", "text", "lang", crc_mod("doc_id", 1) == 0)} == {"k0", "k1", "k2", "k3"}
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 3, raising=False)
+    with pytest.raises(ValueError, match="over 3"):
+        language_id.training_rows(d, "doc_id", "text", "lang", crc_mod("doc_id", 1) == 0)
+
+
 def test_string_kernel_equals_sets_of_other_scripts():
     a, b = "Привет, як справи? مرحبا שלום Łódź", "привіт як מרחבא łódka"
     grams = lambda s: {"".join(" " if c.isspace() else c if c.isalpha() else "!" for c in s.lower())[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1)}
