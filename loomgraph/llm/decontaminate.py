@@ -12,19 +12,23 @@ n-grams to the shares asked for.
 
 The index is broadcast in shards of ``SHARD_ITEMS`` items, each cut to ``SHARD_WORDS``
 words at most by starting a new shard, so no broadcast grows with the benchmark; each
-shard is one map over the texts.
+shard is one map over the texts. Document frequencies, mean length and the window are those
+of the whole benchmark, so no score depends on which items share a shard.
 """
 from __future__ import annotations
 
 import pickle
 import re
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Stage
+
 K1, B = 1.2, 0.75
 SHARE = 0.5
 QUESTION, ANSWER = 0.6, 0.6
@@ -55,11 +59,14 @@ def _ngrams(w: list[str], n: int) -> set[tuple[str, ...]]:
 
 
 class Index:
-    """BM25 impacts of one shard of items: (id, text) rows. Items without words are left out."""
+    """BM25 impacts of one shard of items: (id, text) rows. Items without words are left out.
+    ``of_all``: the benchmark's number of items, words and words of the longest item, and the
+    document frequency of each of the shard's terms; without it the shard is the benchmark."""
 
-    def __init__(self, items: list[tuple[int, str | None]], share: float = SHARE) -> None:
+    def __init__(self, items: list[tuple[int, str | None]], share: float = SHARE, of_all: tuple[int, int, int, dict[str, int]] | None = None) -> None:
         rows = [(i, t, w) for i, t in items if (w := words(t))]
-        mean = sum(len(w) for _, _, w in rows) / max(1, len(rows))
+        n_items, n_words, longest = of_all[:3] if of_all else (len(rows), sum(len(w) for _, _, w in rows), max([0, *(len(w) for _, _, w in rows)]))
+        mean = n_words / max(1, n_items)
         self.vocab: dict[str, int] = {}
         counts = []
         for _, _, w in rows:
@@ -71,7 +78,9 @@ class Index:
         df = np.zeros(max(1, len(self.vocab)))
         for tf in counts:
             df[list(tf)] += 1
-        idf = np.log(1 + (len(rows) - df + 0.5) / (df + 0.5))
+        if of_all:
+            df[: len(self.vocab)] = [of_all[3][x] for x in self.vocab]
+        idf = np.log(1 + (n_items - df + 0.5) / (df + 0.5))
         impact = [{t: idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(rows[k][2]) / mean)) for t, n in tf.items()} for k, tf in enumerate(counts)]
         own = np.array([sum(x.values()) for x in impact])
         order = np.argsort(own, kind="stable")  # blocks of items with like thresholds
@@ -90,7 +99,7 @@ class Index:
             np.maximum.at(self.upper, (term, self.block[self.post_item]), self.post_impact.astype(np.float32) * np.float32(1.000001))
             self.start = np.searchsorted(term * self.n_blocks + self.block[self.post_item], np.arange(len(self.vocab) * self.n_blocks + 1))
         self.best = self.upper.max(axis=1, initial=0)
-        self.window = 2 * max([32, *(len(w) for _, _, w in rows)])
+        self.window = 2 * max(32, longest)
         self.parts = [tuple(_ngrams(w, n) for w, n in zip(question_answer(t), (QUESTION_N, ANSWER_N), strict=True)) for _, t, _ in self.items]
         self.row_words = len(rows)
 
@@ -181,6 +190,21 @@ def shards(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
         yield part
 
 
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = [words(t) for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(map(len, lists), pa.int64()), pa.array([sorted(set(w)) for w in lists], pa.list_(pa.string()))], names=["n", "terms"])
+
+
+def frequencies(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[tuple[int, int, int], DataFrame]:
+    """(items, words, words of the longest item) of the benchmark, and its (term, df)."""
+    items = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
+    items = items.mapInArrow(_terms, "n long, terms array<string>").where("n > 0")
+    n_items, n_words, longest = items.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    df = items.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return (n_items, n_words, longest), Stage(benchmark.sparkSession, "benchmark-terms").write(df, "df")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item_id, score, question_share, answer_share): one row per row of ``docs`` and
@@ -193,7 +217,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     def mapper(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(pickle.loads(shared.value))
+            items, of_all = pickle.loads(shared.value)
+            index = Index(items, of_all=of_all)
             for batch in batches:
                 found = index.find(batch.column(1).to_pylist()) if index.items else []
                 rows = pa.array([f[0] for f in found], pa.int64())
@@ -203,9 +228,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                     names=["id", "item_id", "score", "question_share", "answer_share"])
         return run
 
-    out = None
-    for part in shards(benchmark, item_col, item_text_col):
-        one = own.mapInArrow(mapper(spark.sparkContext.broadcast(pickle.dumps(part))), schema)
+    out, parts = None, shards(benchmark, item_col, item_text_col)
+    first = list(islice(parts, 2))  # a benchmark of one shard has its own frequencies
+    total, table = frequencies(benchmark, item_col, item_text_col) if len(first) > 1 else (None, None)
+    for part in chain(first, parts):
+        of_all = None
+        if total:
+            held = spark.createDataFrame([(x,) for x in {x for _, t in part for x in words(t)}], "term string")
+            of_all = (*total, {r["term"]: r["df"] for r in table.join(F.broadcast(held), "term", "left_semi").collect()})
+        one = own.mapInArrow(mapper(spark.sparkContext.broadcast(pickle.dumps((part, of_all)))), schema)
         out = one if out is None else out.unionByName(one)
     if out is None:
         out = spark.createDataFrame([], schema)

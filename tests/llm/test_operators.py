@@ -285,6 +285,23 @@ def test_decontamination_brute_force(spark):
     assert decontaminate.find_leaks(docs(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_leaks_do_not_depend_on_shards(spark, monkeypatch):
+    bound_arrow(spark)
+    r = random.Random(17)
+    items = [(k, f"{text(r, 20 + k % 9)}. {text(r, 12)}.") for k in range(30)] + [(30, "!!"), (31, None), (32, f"{text(r, 70)}.")]
+    texts = []
+    for k in range(30):
+        w = items[k][1].split()
+        texts.append(f"{text(r, 90)} {' '.join(w[k % 8 :])} {text(r, 120)}")  # partial leaks too
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(4)
+    got = lambda: sorted((g["doc_id"], g["item_id"], round(g["score"], 6)) for g in decontaminate.find_leaks(docs(spark, texts), bench).collect())
+    whole = got()
+    assert len(whole) > 15
+    for size in (7, 20):
+        monkeypatch.setattr(decontaminate, "SHARD_ITEMS", size)
+        assert got() == whole
+
+
 def test_bm25_retrieval_is_exact():
     """Every (passage, item) at or above its threshold, by the plain formula."""
     r = random.Random(8)
