@@ -134,10 +134,12 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [np.unique(shingles(tokens(t))).view(np.int64) for t in batch.column(1).to_pylist()]
+        lists = [tokens(t) for t in batch.column(1).to_pylist()]
+        keys = [xxhash.xxh128_digest("\x1f".join(w)) if w else None for w in lists]
+        sets = [np.unique(shingles(w)).view(np.int64) for w in lists]
         offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets) if sets else [], pa.int64()))],
-                                         names=["id", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets) if sets else [], pa.int64()))],
+                                         names=["id", "key", "shingles"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -199,8 +201,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     needed = stage.write(members.select(F.col("rep").alias("id")).distinct(), "needed")
     few = needed.count() <= BROADCAST_IDS
     held = base.join(F.broadcast(needed) if few else needed, "id", "left_semi")
-    sets = stage.write(held.mapInArrow(_sets, "id long, shingles array<long>").dropDuplicates(["id"]) if not few else
-                       held.mapInArrow(_sets, "id long, shingles array<long>"), "sets")
+    # an id has a set for each of its texts; repeats of a set link nothing more
+    held = held.mapInArrow(_sets, "id long, key binary, shingles array<long>")
+    sets = stage.write((held if few else held.dropDuplicates(["id", "key"])).select("id", "shingles"), "sets")
     stars = stage.write(members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     stage.drop("members")
     links = stage.write(_verified(stars, sets, threshold), "links-of-leaders")

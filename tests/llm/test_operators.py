@@ -228,6 +228,19 @@ def test_near_dedup_unequal_repetition(spark):
     assert want == {i: i // 3 * 3 for i in range(len(texts))}
 
 
+@pytest.mark.parametrize("broadcast_ids", [0, 2_000_000])
+def test_near_dedup_id_with_two_texts(spark, monkeypatch, broadcast_ids):
+    """Each text of a repeated id links, above the broadcast bound and under it."""
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", broadcast_ids)
+    r = random.Random(18)
+    data = []
+    for k in range(0, 60, 3):
+        x, y = text(r, 100), text(r, 100)
+        data += [(k, x), (k, y), (k, y), (k + 1, x + " more"), (k + 2, y + " more")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()
+    assert {(g["doc_id"], g["class_id"]) for g in got} == {(k, k // 3 * 3) for k in range(60)} and len(got) == len(data)
+
+
 def test_near_dedup_hot_family_in_tiles(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "TILE", 16)
     r = random.Random(6)
