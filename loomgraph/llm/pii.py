@@ -31,7 +31,8 @@ _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ01234567
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_ANY = re.compile(r"[0-9@]|[(\[]at[)\]]|(?:[A-Fa-f0-9]{1,4}:){3}")
+#: What a text needs for any base pattern or generator to match.
+_ANY = re.compile(r"[0-9@]|[(\[]at[)\]]| at [ ]?[A-Za-z0-9-]{1,63}[ ]?(?:\(dot\)|\[dot\]| dot |\.)[ ]?[A-Za-z]{2}|(?:[A-Fa-f0-9]{2}[:-]){5}|(?:[A-Fa-f0-9]{1,4}:){3}")
 
 
 def luhn(digits: str) -> bool:

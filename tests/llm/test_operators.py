@@ -448,6 +448,14 @@ def test_boosting_tells_formats_apart(trained):
     assert find("order 123-45-6789") == [] and find("2024-01-02 11:22:33") == [] and find("Version 2.0.\nversion 3.") == []
 
 
+def test_pii_gate_lets_through_what_generators_propose(trained):
+    for t in ("write to jane at host dot com today", "mail jane at  host.com", "joe (at) mail.com", "joe [at] mail [dot] com", "device aa-bb-cc-dd-ee-ff is", "mac aa:bb:cc:dd:ee:ff",
+              "ip fe:ab:cd:ef:aa", "mail joe@ host.com", "jane at host (dot) org"):
+        assert pii.candidates(t) and pii._ANY.search(t), t
+        alone, beside = pii.find(t, trained)[1], pii.find(f"{t}{' ' * 60}7", trained)[1]
+        assert alone == [x for x in beside if x[2] <= len(t)], t
+
+
 def test_pii_rows(spark, trained):
     bound_arrow(spark)
     texts = [*ODD, "a@b.co 1.2.3.4 +1 (644) 555-7859 4111 1111 1111 1111", "1" * 50_000, "@" * 5000]
