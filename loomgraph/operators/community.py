@@ -59,7 +59,8 @@ class LouvainBackend:
     nested path. In a round every node finds its best neighbouring community; moves are
     made by one half of the nodes at a time (a hash of node and round), so neighbours do not
     swap for ever. Ties go to the lowest id. Every round is a few grouped joins and is
-    written to the shared folder; nothing but two counts a level comes to the driver."""
+    written to the shared folder; nothing but two counts a level comes to the driver. A
+    note of the result says where ``rounds`` or ``levels`` stopped it before its end."""
     name, rigor = "louvain", Rigor.HEURISTIC
 
     def __init__(self, resolution: float = 1.0, rounds: int = 8, levels: int = 3, weighted: bool = True) -> None:
@@ -68,7 +69,7 @@ class LouvainBackend:
     def available(self) -> bool:
         return True
 
-    def _level(self, stage: Stage, links: DataFrame, level: int) -> DataFrame:
+    def _level(self, stage: Stage, links: DataFrame, level: int, notes: list[str]) -> DataFrame:
         """(n, c) of the nodes of (a, b, w) links in both directions, loops included."""
         k = stage.write(links.groupBy(F.col("a").alias("n")).agg(F.sum("w").alias("k")), f"{level}-strength")
         total = k.agg(F.sum("k")).first()[0] or 0.0
@@ -91,6 +92,8 @@ class LouvainBackend:
             part = now.select("n", "c")
             if not willing:
                 break
+        else:
+            notes.append(f"louvain: level {level} stopped after {self.rounds} rounds with nodes still willing to move")
         return part
 
     def cluster(self, nodes: DataFrame, projection: DataFrame, vectors: DataFrame | None = None) -> Result:
@@ -99,8 +102,9 @@ class LouvainBackend:
         half = projection.where("a <> b").select("a", "b", w.alias("w"))
         links = stage.write(half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "links-0")
         paths = nodes.select("node_id", F.col("node_id").alias("at"), F.array().cast("array<string>").alias("names"))
+        notes: list[str] = []
         for level in range(self.levels):
-            part = self._level(stage, links, level)
+            part = self._level(stage, links, level, notes)
             before, after = part.count(), part.select("c").distinct().count()
             if before == after and level:
                 break
@@ -110,7 +114,9 @@ class LouvainBackend:
                                 .groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), f"links-{level + 1}")
             if before == after:
                 break
-        return Result(numbered(paths.select("node_id", "names")), self.name, self.rigor)
+        else:
+            notes.append(f"louvain: stopped after {self.levels} levels while communities still merged")
+        return Result(numbered(paths.select("node_id", "names")), self.name, self.rigor, notes)
 
 
 class BlockModelBackend:

@@ -104,6 +104,14 @@ def test_karate_club_louvain(spark):
     assert gx.modularity(proj, out.partition).first()[0] > 0.3
 
 
+def test_louvain_says_where_a_bound_stopped_it(spark):
+    nodes = table(spark, [(f"{i:02d}",) for i in range(1, 35)], "node_id string")
+    proj = table(spark, [(f"{a:02d}", f"{b:02d}", 1.0) for a, b in KARATE], "a string, b string, weight double")
+    notes = cm.LouvainBackend(rounds=1, levels=1).cluster(nodes, proj).notes
+    assert any("1 rounds" in n for n in notes) and any("1 levels" in n for n in notes)
+    assert cm.LouvainBackend(rounds=60, levels=20).cluster(nodes, proj).notes == []
+
+
 def test_kmeans_and_router(spark):
     v = table(spark, [(f"n{i}", [float(i // 3), 1.0, 0.0, float(i % 3) / 10]) for i in range(8)], "node_id string, vec array<double>")
     assert cm.KMeansBackend(3).cluster(v, v, v).partition.agg(F.max("community_id")).first()[0] < 3
