@@ -2,7 +2,7 @@
 
 Everything is one projection of built-in expressions: no shuffle, no join, no Python.
 For each text, (1) ``contains`` on a few gate words decides whether any rule can match;
-(2) the rules whose own keyword occurs are kept; (3) their regular expressions give
+(2) the rules whose own keyword occurs are tried; (3) their regular expressions, constants of the plan, give
 (start, end) intervals; (4) a detection inside the interval of a better one (higher
 priority, then longer, then earlier rule) is suppressed. The base phrases are counted
 as words in a normal form where every word has a space on either side of its own, so
@@ -10,6 +10,8 @@ consecutive places never share a separator.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What no word has: ASCII but for digits and letters.
 MARKS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 
+#: Hits whose places are summed in a row, and detections of a slice of the sweep.
+SUMMED, SWEPT = 256, 32
+
 #: (label, phrase) of the base.
 BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
 
@@ -77,13 +82,13 @@ _NAME_WORDS = {
 }
 
 #: (priority, rule template, words of which one occurs; None: those of the name).
-#: "{n}" is the name, "{i}" the ids, "{u}" the URL.
+#: "{n}" is the name, "{i}" the ids, "{u}" the URL, "{host}" its host.
 _TEMPLATES = (
     (95, r"spdx-licen[sc]e-identifier:_?(?:{i})(?![a-z0-9.-])", ("spdx",)),
     (90, r"(?:re)?licen[sc]ed_(?:to_you_)?under_(?:the_)?(?:terms_of_)?(?:the_)?{n}", None),
     (85, r"(?:released|distributed|available|provided|published|redistributed|covered)_under_(?:the_)?(?:terms_of_)?(?:the_)?{n}", None),
     (80, r"licen[sc]e:_?(?:the_)?(?:{i})(?![a-z0-9.-])", ("licence:", "license:")),
-    (60, r"https?://(?:www\.)?{u}", ("http",)),
+    (60, r"https?://(?:www\.)?{u}", ("{host}",)),
     (40, r"{n}", None),
 )
 
@@ -111,7 +116,8 @@ def rules() -> list[tuple[str, int, tuple[str, ...], str]]:
         for priority, template, kind in _TEMPLATES:
             if url or "{u}" not in template:
                 body = template.replace("{i}", ids).replace("{n}", f"(?:{name})").replace("{u}", f"(?:{url})")
-                out.append((label, priority, kind or words, body))
+                host = (url or "").split("/")[0].replace("\\", "")
+                out.append((label, priority, tuple(k.replace("{host}", host) for k in kind or words), body))
     return [(label, p, k, r"(?<![a-z0-9])" + rx.replace("_?", r"\s*").replace("_", r"\s+"))
             for label, p, k, rx in sorted(out, key=lambda r: -r[1])]
 
@@ -125,34 +131,80 @@ def lowered(text: str = "text") -> Column:
     return F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
 
 
-def _detections(low: Column) -> Column:
-    table = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(p).alias("priority"),
-                               F.lit(k[0]).alias("keyword"), F.lit(k[-1]).alias("other"), F.lit(rx).alias("plain"), F.lit(r"\G(?s)(.*?)(" + rx + ")").alias("rx"))
-                      for i, (label, p, k, rx) in enumerate(rules())])
-    tried = F.filter(table, lambda r: (F.contains(low, r["keyword"]) | F.contains(low, r["other"])) & F.regexp_like(low, r["plain"]))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _quoted(regex: str) -> str:
+    """A raw SQL literal."""
+    return f'r"{regex}"' if "'" in regex else f"r'{regex}'"
+
+
+def _tried() -> Column:
+    """An array of the rules that match the column ``low``: rule, label, priority, the matched
+    strings and the strings between them. Every regex is a constant, compiled once a task, and
+    rules are grouped by their keywords, so a text is searched for a keyword once."""
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for i, (label, priority, keys, rx) in enumerate(rules()):
+        r = _quoted(rx)
+        groups.setdefault(keys, []).append(
+            f"CASE WHEN rlike(low, {r}) THEN named_struct('rule', {i}, 'label', '{label}', 'priority', {priority}, "
+            f"'hits', regexp_extract_all(low, {r}, 0), 'gaps', split(low, {r}, -1)) END")
+    gated = (f"CASE WHEN {' OR '.join(f"contains(low, '{k}')" for k in keys)} THEN array_compact(array({', '.join(own)})) END"
+             for keys, own in groups.items())
+    return F.expr(f"flatten(array_compact(array({', '.join(gated)})))")
+
+
+def _walked(sizes: Column) -> Column:
+    """(at, out): the length of all gaps and hits, and the hits' places from the first gap's start."""
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
+    return F.aggregate(sizes, none, lambda a, s: F.struct(
+        (a["at"] + s["g"] + s["h"]).alias("at"),
+        F.concat(a["out"], F.array(F.struct((a["at"] + s["g"]).alias("start"), (a["at"] + s["g"] + s["h"]).alias("stop")))).alias("out")))
 
-    def places(r):
-        gaps = F.regexp_extract_all(low, r["rx"], F.lit(1))
-        hits = F.regexp_extract_all(low, r["rx"], F.lit(2))
-        sizes = F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h")))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
-        walked = F.aggregate(sizes, start, lambda a, s: F.struct(
-            (a["at"] + s["g"] + s["h"]).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + s["g"]).alias("start"), (a["at"] + s["g"] + s["h"]).alias("stop")))).alias("out")))
-        return F.transform(walked["out"], lambda x: F.struct(
-            x["start"].alias("start"), x["stop"].alias("stop"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label")))
 
-    return F.flatten(F.transform(tried, places))
+def _cut(items: Column, size: int) -> Column:
+    """A non-empty array as an array of slices of ``size``."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / size).cast("int")), lambda b: F.slice(items, b * size + 1, size))
+
+
+def _places(r: Column) -> Column:
+    """The detections of a tried rule. Places are sums over slices and then over the slices'
+    totals, so the work grows with the hits and not with their square."""
+    sizes = F.zip_with(r["hits"], F.slice(r["gaps"], 1, F.size(r["hits"])), lambda h, g: F.struct(F.length(g).alias("g"), F.length(h).alias("h")))
+
+    def joined(parts: Column) -> Column:
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        before = F.aggregate(parts, none, lambda a, w: F.struct((a["at"] + w["at"]).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+        return F.flatten(F.zip_with(parts, before, lambda w, at: F.transform(w["out"], lambda x: F.struct(
+            (x["start"] + at).alias("start"), (x["stop"] + at).alias("stop"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label")))))
+
+    return _let(sizes, lambda s: _let(F.transform(_cut(s, SUMMED), _walked), joined))
 
 
 def _surviving(found: Column) -> Column:
+    """The detections inside no better one, by start. Sorted by start they are cut to slices; a
+    slice is compared with those that reach over it, not with all."""
     def beaten(d, o):
         size = o["stop"] - o["start"]
         own = d["stop"] - d["start"]
         better = (o["priority"] > d["priority"]) | ((o["priority"] == d["priority"]) & (
             (size > own) | ((size == own) & (o["rule"] < d["rule"]))))
         return (o["start"] <= d["start"]) & (o["stop"] >= d["stop"]) & better
-    return F.filter(found, lambda d: ~F.exists(found, lambda o: beaten(d, o)))
+
+    def reach(own: Column) -> Column:
+        stops = F.transform(own, lambda d: d["stop"])
+        return F.struct(own[0]["start"].alias("first"), F.element_at(own, -1)["start"].alias("last"),
+                        F.array_min(stops).alias("least"), F.array_max(stops).alias("most"), own.alias("own"))
+
+    def swept(parts: Column) -> Column:
+        def slice_of(b: Column) -> Column:
+            over = F.filter(parts, lambda o: (o["first"] <= b["last"]) & (o["most"] >= b["least"]))
+            return _let(F.flatten(F.transform(over, lambda o: o["own"])), lambda near: F.filter(b["own"], lambda d: ~F.exists(near, lambda o: beaten(d, o))))
+        return F.flatten(F.transform(parts, slice_of))
+
+    return F.when(F.size(found) > 0, _let(F.array_sort(found), lambda s: _let(F.transform(_cut(s, SWEPT), reach), swept)))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,8 +212,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base_labels, labels, score and ``detections`` (start, stop, priority, rule, label;
     code points of the text).
 
-    A null text counts as empty: no words, no labels (empty strings), score 0. Other
-    columns of ``docs`` are not read, so clashing names do no harm.
+    A null text counts as empty: no words, no labels (empty strings), score 0. Equal
+    detections of two rules leave the earlier rule's, repeated rows are scanned each, and
+    an empty table gives an empty table. Texts of any length are scanned whole; the work
+    grows with the detections, not with their square. Other columns of ``docs`` are not
+    read, so clashing names do no harm.
     """
     spaced = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER + MARKS, LOWER + " " * len(MARKS))
     rows = docs.select(F.col(id_col), lowered(text_col).alias("low"), F.array_remove(F.split(spaced, " "), "").alias("words"))
@@ -174,7 +229,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = rows.withColumns({
         "n_words": F.size("words").cast("long"),
         "normal": normal,
-        "found": F.when(gate, _detections(low)),
+        "found": F.when(gate, F.transform(_tried(), _places)),
     })
     spaces = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
     counts, firsts, lasts, labels = [], [], [], []
@@ -190,7 +245,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         firsts.append(F.when(has, (spaces(before) / 2).cast("long")))
         lasts.append(F.when(has, (spaces(F.col("normal")) / 2).cast("long") - (spaces(after) / 2).cast("long") - F.lit(size)))
     base = F.array_compact(F.array(*labels))
-    rows = rows.withColumn("detections", F.coalesce(_surviving(F.col("found")), F.array().cast(
+    rows = rows.withColumn("found", F.flatten("found")).withColumn("detections", F.coalesce(_surviving(F.col("found")), F.array().cast(
         "array<struct<start:int,stop:int,priority:int,rule:int,label:string>>")))
     best = F.coalesce(F.array_max(F.transform("detections", lambda d: d["priority"])), F.lit(0))
     n_base = counts[0] + counts[1] + counts[2]

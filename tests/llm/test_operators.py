@@ -166,6 +166,27 @@ def test_license_scan_brute_force(spark):
         assert 0 <= g["score"] <= 1 and (g["score"] > 0) == bool(g["labels"])
 
 
+def test_license_scan_of_texts_with_many_hits(spark):
+    r = random.Random(3)
+    long = " ".join(r.choice(LICENSES + WORDS) for _ in range(3000))
+    texts = [long, "licensed under the mit license. " * 700, "GPL  version\n 2 " * 300 + long, long]
+    got = rows(license_scan.scan_licenses(docs(spark, texts)))
+    for i, t in enumerate(texts):
+        g = got[i]
+        assert (g["n_words"], g["n_base"], g["first_word"], g["last_word"], g["base_labels"], g["labels"]) == brute_license(t)
+        assert [d["start"] for d in g["detections"]] == sorted(d["start"] for d in g["detections"])
+    assert got[0]["detections"] == got[3]["detections"]
+    low = long.translate(str.maketrans(license_scan.UPPER, license_scan.LOWER))
+    found = [(m.start(), m.end(), p, i) for i, (_, p, _, rx) in enumerate(license_scan.rules()) for m in re.finditer(rx, low)]
+    worse = lambda d, o: o[0] <= d[0] and o[1] >= d[1] and (o[2], o[1] - o[0], -o[3]) > (d[2], d[1] - d[0], -d[3])
+    spans = sorted(d for d in found if not any(worse(d, o) for o in found))
+    assert [(d["start"], d["stop"], d["priority"], d["rule"]) for d in got[0]["detections"]] == spans
+
+
+def test_license_scan_of_an_empty_table(spark):
+    assert license_scan.scan_licenses(docs(spark, ["x"]).limit(0)).collect() == []
+
+
 def test_license_rules_are_sound():
     table = license_scan.rules()
     assert len(table) > 200
