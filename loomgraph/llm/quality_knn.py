@@ -15,13 +15,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 N = 64
 PER_CLASS = 600
 LATENT = 48
 NEIGHBOURS = 15
+#: Cosines that differ by less are equal.
+TIE = 1e-6
 LAYOUT_WEIGHT = 1.5
 #: How far votes are reweighted from the sample's balance to the odds of the labels: 0 not at
 #: all, 1 fully. Full odds let close rows of the rarer class pass.
@@ -102,8 +104,9 @@ def fit(rows: list[tuple[int, np.ndarray]], share: float | None = None, latent:
 
 
 def score(model: dict, texts: list[str | None], neighbours: int = NEIGHBOURS) -> list[float]:
-    """Share of label 1 among the nearest labelled vectors, weighted by cosine. An empty
-    text, or one like none of them, gets the sample's share."""
+    """Share of label 1 among the nearest labelled vectors, weighted by squared cosine. Those as
+    near as the last of them (within TIE) share the places left, so ties hang on no order. An
+    empty text, or one like none of them, gets the sample's share."""
     out = [model["prior"]] * len(texts)
     y = model["y"]
     if not len(y):
@@ -117,10 +120,12 @@ def score(model: dict, texts: list[str | None], neighbours: int = NEIGHBOURS) ->
         z = x.astype(np.float32) @ model["basis"]
         z /= np.maximum(1e-9, np.linalg.norm(z, axis=1, keepdims=True))
         sims = z @ model["z"].T
-        near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        weight = np.maximum(0, np.take_along_axis(sims, near, axis=1)).astype(np.float64) ** 2 * model["value"][near]
+        last = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k]
+        above, tied = sims > last + TIE, np.abs(sims - last) <= TIE
+        places = above + tied * ((k - above.sum(axis=1)) / tied.sum(axis=1))[:, None]
+        weight = np.maximum(0, sims).astype(np.float64) ** 2 * model["value"] * places
         total = weight.sum(axis=1)
-        vote = (weight * y[near]).sum(axis=1)
+        vote = weight @ y.astype(np.float64)
         for r, i in enumerate(ids):
             if total[r] > 1e-9:
                 out[i] = float(vote[r] / total[r])
@@ -152,26 +157,30 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: st
     kind = docs.schema[id_col].dataType.simpleString()
     found = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
              .join(F.broadcast(few), "id").select("id", "y", "text").mapInArrow(vectors, f"id {kind}, y int, v binary")
-             .orderBy("id", "v").limit(3 * per_class).collect())
+             .orderBy(F.xxhash64("id", "v"), "id", "v").limit(3 * per_class).collect())
     return [(r["y"], np.frombuffer(r["v"], np.float32)) for r in found], counts.get(1, 0) / sum(counts.values())
 
 
-def classify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text",
-             passthrough: list[str] | None = None) -> DataFrame:
-    """(id, score, predicted), one row per row of ``docs``; ``passthrough`` columns come
-    along. Map only; scores read the text alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    more = list(passthrough or [])
-    schema = ", ".join(f"`c{i}` {docs.schema[c].dataType.simpleString()}" for i, c in enumerate([id_col, *more]))
+def score_column(spark: SparkSession, model: dict, text: Column) -> Column:
+    """The score of a text. Only texts go to Python and only scores come back; what else a
+    row holds stays where it is."""
+    shared = spark.sparkContext.broadcast(pickle.dumps(model))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = pickle.loads(shared.value)
         for batch in batches:
-            scores = score(own, batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())],
-                                             names=[*(f"c{i}" for i in range(len(more) + 1)), "score"])
-
-    out = docs.select(F.col(text_col).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate([id_col, *more])]).mapInArrow(
-        run, f"{schema}, score double")
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate([id_col, *more])], "score",
-                      (F.col("score") >= 0.5).cast("int").alias("predicted"))
+            yield pa.array(score(own, batch.to_pylist()), pa.float64())
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "double")(text)
+
+
+def classify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text",
+             passthrough: list[str] | None = None) -> DataFrame:
+    """(id, score, predicted), one row per row of ``docs``; ``passthrough`` columns come
+    along. Map only; scores read the text alone, so equal texts have equal scores, a null or
+    empty one the sample's share, and one of any length is read whole. A null id stays null; an
+    empty table gives an empty table. Other columns of ``docs`` are not read."""
+    kept = list(dict.fromkeys([id_col, *(passthrough or [])]))
+    scored = docs.select(*kept, score_column(docs.sparkSession, model, F.col(text_col)).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -120,6 +120,25 @@ def test_string_kernel_equals_sets():
     assert len(x & y) == len(grams(a) & grams(b)) and len(x) == len(grams(a))
 
 
+def test_quality_votes_equal_brute_force():
+    r = random.Random(11)
+    sample = [(i % 3 == 0, quality_knn.raw_vector(text(r, 25) + "%" * (i % 5))) for i in range(60)]
+    sample += [(not y, v) for y, v in sample[:20]] + sample[:10]  # ties, also between the classes
+    model = quality_knn.fit(sample, 0.4)
+    texts = [text(r, 25) for _ in range(40)]
+    got = quality_knn.score(model, texts)
+    for t, g in zip(texts, got, strict=True):
+        x = quality_knn._weighted(np.array([quality_knn.raw_vector(t)]), model["idf"], model["mean"]) - model["centre"]
+        z = (x @ model["basis"])[0].astype(float)
+        near = sorted(((float(z @ v) / np.linalg.norm(z), y, w) for v, y, w in zip(model["z"].astype(float), model["y"], model["value"], strict=True)), reverse=True)
+        last = near[quality_knn.NEIGHBOURS - 1][0]
+        above, tied = [n for n in near if n[0] > last + 1e-6], [n for n in near if abs(n[0] - last) <= 1e-6]
+        share = (quality_knn.NEIGHBOURS - len(above)) / len(tied)
+        votes = [(max(0, c) ** 2 * w * p, y) for part, p in ((above, 1), (tied, share)) for c, y, w in part]
+        assert g == pytest.approx(sum(v for v, y in votes if y) / sum(v for v, _ in votes), abs=1e-4)
+    assert quality_knn.score(model, texts[::-1] * 9)[:40] == pytest.approx(got[::-1], abs=1e-5)
+
+
 def test_quality_learns_and_handles_odd_texts(spark):
     bound_arrow(spark)
     r = random.Random(3)
