@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..stage import Stage
 
-__all__ = ["Stage", "bound_arrow", "crc_mod", "read", "whole"]
+__all__ = ["Stage", "bound_arrow", "crc_mod", "id_kind", "read", "whole"]
 
 #: Arrow batches stay under this size, so that a few very long texts cannot
 #: fill a Python worker.
@@ -35,3 +35,8 @@ def crc_mod(col: str, m: int):
     """crc32 of an id written as text, modulo m."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % m
 
+
+def id_kind(df: DataFrame, col: str) -> str:
+    """The type in which ids are compared: long for every whole number, else their own."""
+    kind = df.schema[col].dataType.simpleString()
+    return "bigint" if kind in ("tinyint", "smallint", "int") else kind

@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components, spanning
-from .common import Stage, bound_arrow
+from .common import Stage, bound_arrow, id_kind
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 5
-#: Documents on a side of a tile.
-TILE = 256
+#: Documents and, about, shingles on a side of a tile.
+TILE, TILE_SHINGLES = 256, 1 << 20
 #: Candidate ids are broadcast up to this many (8 bytes each), and shuffled beyond it.
 BROADCAST_IDS = 2_000_000
 CACHE_WORDS = 300_000
@@ -153,11 +153,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             .where(F.col("common") >= F.lit(threshold) * (F.size("x") + F.size("y") - F.col("common")) - 1e-9).select("a", "b"))
 
 
-def _tile(threshold: float):
+def _tile(threshold: float, kind: str):
+    made = lambda a, b: pd.DataFrame({"a": a, "b": b}, dtype="int64" if kind == "bigint" else "object")
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         outside, every = pdf[pdf["outside"]], pdf[~pdf["outside"]]
         if outside.empty or every.empty:
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+            return made([], [])
         sizes = every["shingles"].map(len).to_numpy()
         vocab, where = np.unique(np.concatenate(every["shingles"].to_numpy()), return_inverse=True)
         starts = np.r_[0, np.cumsum(sizes)[:-1]]
@@ -174,7 +176,7 @@ def _tile(threshold: float):
             found[0].extend([rep] * int(near.sum()))
             found[1].extend(ids[near].tolist())
         kept = spanning(*found)
-        return pd.DataFrame({"a": [found[0][i] for i in kept], "b": [found[1][i] for i in kept]}, dtype="int64")
+        return made([found[0][i] for i in kept], [found[1][i] for i in kept])
     return run
 
 
@@ -184,14 +186,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     class_id is the smallest id of the documents linked to this one by Jaccard similarity
     of five-word shingles (lower-cased words of letters and digits) of ``threshold`` or
     more, directly or through others; kept is true for that document alone. Null and blank
-    texts are classes of their own, and so are rows without an id (class_id is null). Rows that repeat an id share a class; if it is theirs,
-    all are kept. Other columns of ``docs`` are not read.
+    texts are classes of their own, and so are rows without an id (class_id is null). Rows of equal
+    words share a class; rows that repeat an id with other texts have each text's class, and are
+    kept where it is their id. Ids may be whole numbers or strings. Texts of any length are
+    read whole; an empty table gives an empty table. Other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
     bound_arrow(spark)
     stage = Stage(spark, "near-documents")
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketched = stage.write(base.mapInArrow(_sketches, "id long, key binary, bands array<long>"), "sketches")
+    kind = id_kind(docs, id_col)
+    base = docs.select(F.col(id_col).cast(kind).alias("id"), F.col(text_col).alias("text"))
+    sketched = stage.write(base.mapInArrow(_sketches, f"id {kind}, key binary, bands array<long>"), "sketches")
     # classes of equal words, each with the bands of its smallest id
     classes = stage.write(sketched.where("key is not null and id is not null").groupBy("key").agg(F.min(F.struct("id", "bands")).alias("first"))
                           .select("key", F.col("first.id").alias("rep"), F.col("first.bands").alias("bands")), "classes")
@@ -202,7 +207,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     few = needed.count() <= BROADCAST_IDS
     held = base.join(F.broadcast(needed) if few else needed, "id", "left_semi")
     # an id has a set for each of its texts; repeats of a set link nothing more
-    held = held.mapInArrow(_sets, "id long, key binary, shingles array<long>")
+    held = held.mapInArrow(_sets, f"id {kind}, key binary, shingles array<long>")
     sets = stage.write((held if few else held.dropDuplicates(["id", "key"])).select("id", "shingles"), "sets")
     stars = stage.write(members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     stage.drop("members")
@@ -215,18 +220,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     group = stage.write(group, "groups")
     heads = group.where("a = rep").select(F.col("a").alias("h"), F.col("component").alias("own"))
     told = stage.write(group.join(heads, F.col("a") == F.col("h")).select("a", "rep", "component", (F.col("component") != F.col("own")).alias("outside")), "told")
-    sizes = told.groupBy("a").agg(F.sum(F.col("outside").cast("int")).alias("n_out"), F.count(F.lit(1)).alias("n")).where("n_out > 0 and n > 2").select(
-        F.col("a").alias("h"), F.ceil(F.col("n_out") / TILE).cast("int").alias("ti"), F.ceil(F.col("n") / TILE).cast("int").alias("tj"))
-    open_groups = told.join(sizes, F.col("a") == F.col("h")).drop("h").where("rep <> a")  # all are compared with the leader
+    open_groups = told.join(told.where("outside").select(F.col("a").alias("h")).distinct(), F.col("a") == F.col("h"), "left_semi")
+    weight = sets.groupBy("id").agg(F.sum(F.size("shingles")).alias("shingled"))
+    open_groups = stage.write(open_groups.join(weight, F.col("rep") == F.col("id")).drop("id"), "open")
+    parts = lambda n, w: F.ceil(F.greatest(n / TILE, w / TILE_SHINGLES)).cast("int")
+    sizes = open_groups.groupBy("a").agg(F.sum(F.col("outside").cast("int")).alias("n_out"), F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("outside"), F.col("shingled"))).alias("w_out"),
+                                         F.sum("shingled").alias("w")).where("n_out > 0 and n > 2").select(
+        F.col("a").alias("h"), parts(F.col("n_out"), F.col("w_out")).alias("ti"), parts(F.col("n"), F.col("w")).alias("tj"))
+    open_groups = open_groups.join(sizes, F.col("a") == F.col("h")).drop("h").where("rep <> a")  # all are compared with the leader
     spot = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     rows = open_groups.where("outside").select("a", "rep", "component", "outside", spot(F.col("ti")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("tj") - 1)).alias("j")).unionByName(
         open_groups.select("a", "rep", "component", F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("ti") - 1)).alias("i"), spot(F.col("tj")).alias("j")))
     tiles = rows.join(sets, F.col("rep") == F.col("id")).select("a", "i", "j", "rep", "component", "outside", "shingles")
-    more = stage.write(tiles.groupBy("a", "i", "j").applyInPandas(_tile(threshold), "a long, b long"), "links-across")
+    more = stage.write(tiles.groupBy("a", "i", "j").applyInPandas(_tile(threshold, kind), f"a {kind}, b {kind}"), "links-across")
     final = stage.write(components(links.unionByName(more), stage), "components-2")
     of_class = classes.select("key", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("key").alias("ck"), F.coalesce("component", "rep").alias("class_id"))
-    for name in ("needed", "sets", "stars", "links-of-leaders", "components-1", "groups", "told", "links-across"):
+    for name in ("needed", "sets", "stars", "links-of-leaders", "components-1", "groups", "told", "open", "links-across"):
         stage.drop(name)  # the result reads sketches, classes and components-2
     out = sketched.select("id", "key").join(of_class, (F.col("key") == F.col("ck")) & F.col("id").isNotNull(), "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"),
