@@ -54,7 +54,8 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound_arrow(spark)
-    return pii.find_pii(read(spark, sf_dir, "documents"), pii.train())
+    docs = read(spark, sf_dir, "documents")
+    return pii.find_pii(docs, pii.train(texts=pii.training_texts(docs)))
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
