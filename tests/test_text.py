@@ -151,8 +151,12 @@ arXiv: 2401.01234v2 in 2021, doi 10.1000/xyz.1 and US1234567B2
 """
 
 
-def test_heuristic_record():
-    got = md.heuristic(PAPER)
+def record(spark, text):
+    return spark.createDataFrame([(text,)], "t string").select(md.extract("t").alias("v")).first()["v"]
+
+
+def test_heuristic_record(spark):
+    got = record(spark, PAPER)
     assert got["title"] == "On the growth of lattices"
     assert got["authors"] == ["Ada Byron", "Carl Gauss", "Emmy Noether"]
     assert got["abstract"] == "We count things. Twice."
@@ -166,19 +170,62 @@ def test_heuristic_record():
     ("# T\n- Ann Lee1,2, Bo\nLi2 and Cy Fox\n", ["Ann Lee", "Bo Li", "Cy Fox"]),
     ("# T\nAnn Lee\nof some place\nmail a.lee@x.org\n", ["Ann Lee"]),
     ("# T\nNobody here\n", None)])
-def test_authors(front, authors):
-    assert md.heuristic(front)["authors"] == authors
+def test_authors(spark, front, authors):
+    assert record(spark, front)["authors"] == authors
 
 
-def test_abstract_without_heading():
+def test_abstract_without_heading(spark):
     long = "word " * 60
-    assert md.heuristic(f"# T\n\nbioRxiv preprint {long}\n\n{long}\n\n")["abstract"] == long.strip()
-
-
-def test_title_sources():
-    assert md.heuristic("Title: Plain one\n# Other")["title"] == "Plain one"
-    assert md.heuristic("| 1 | A title inside of a table cell |\n|---|---|\n")["title"] == "A title inside of a table cell"
-    assert md.heuristic("## Methods 10:\n## Real title")["title"] == "Real title"
+    assert record(spark, f"# T\n\nbioRxiv preprint {long}\n\n{long}\n\n")["abstract"] == long.strip()
+
+
+def test_title_sources(spark):
+    assert record(spark, "Title: Plain one\n# Other")["title"] == "Plain one"
+    assert record(spark, "| 1 | A title inside of a table cell |\n|---|---|\n")["title"] == "A title inside of a table cell"
+    assert record(spark, "## Methods 10:\n## Real title")["title"] == "Real title"
+
+
+LONG = "We count lattices that grow in a field of stones and ask how they do so, which nobody has asked before us, as far as is known to us today. " * 3
+
+
+@pytest.mark.parametrize(("text", "title", "authors"), [
+    ("## T: a study\n\n## [Ann Lee](https://orcid.org/0)\n\nann@x.org\n\n[Bo Li](https://orcid.org/1)\n\n## Abstract\n\nSee [Cy Fox](https://orcid.org/2)\n", "T: a study", ["Ann Lee", "Bo Li"]),
+    ("# Of names\n\nAuthors: Ann Lee, Bo Li\n\n[Cy Fox](https://orcid.org/0)\n", "Of names", ["Ann Lee", "Bo Li"]),
+    ("## Of mail\n\nAnn Lee ETHZ a@x.org\n\nBo Li MIT b.li@y.org\n\n## Abstract\n", "Of mail", ["Ann Lee", "Bo Li"]),
+    ("## On rows\n\nAnn Lee, Bo Li, Cy Fox, and Di Wu\n\nInstitute of things\n", "On rows", ["Ann Lee", "Bo Li", "Cy Fox", "Di Wu"]),
+    ("## On body\n\n## Abstract\n\nWe compare Adam, Bert, and Cora. Others are Dan, Eve, and so on.\n", "On body", None),
+    ("## Abstract 10\n\nx\n\n## The title proper\n\nAnn M. Lee, Hans-Peter Fox\n", "The title proper", None),
+    ("## digits\n\nAnn Lee1,2,3 , Bo Li2,3 , Cy Fox2,3,* , and Di Wu2,3,*\n", "digits", ["Ann Lee", "Bo Li", "Cy Fox", "Di Wu"]),
+    ("## daggers\n\nAnn S.A. Lee† 1 , Bo C. Li† 1 , and Cy F. DeFox1\n", "daggers", ["Ann S.A. Lee", "Bo C. Li", "Cy F. DeFox"]),
+    ("## On lists 1\n\n- Ann Lee, 1 Bo Li, 1 Cy Fox, 1 and Di-An Wu 1, * 2\n\n## SUMMARY\n", "On lists", ["Ann Lee", "Bo Li", "Cy Fox", "Di-An Wu"]),
+    ("## A line 1\n\n2 Ann Lee1, Bo Li1*\n\n## ABSTRACT\n", "A line", ["Ann Lee", "Bo Li"]),
+    ("## scripts\n\nAnn Lee$^{1}$, Bo Li$^{2}$, Cy Fox$^{3*}$\n", "scripts", ["Ann Lee", "Bo Li", "Cy Fox"]),
+    ("## 1 Loss of lines\n\nAnn Lee, Bo M. Li\n", "Loss of lines", ["Ann Lee", "Bo M. Li"]),
+    ("## Title: of labels\n\nAuthor A, Author B\n", "of labels", None),
+    ("## hashes\n\nAnn Lee 1#, Bo Li 1#, Cy Fox 1, Di Wu 2, Ed Xu 1,2\n", "hashes", ["Ann Lee", "Bo Li", "Cy Fox", "Di Wu", "Ed Xu"]),
+    ("## A wrap\n\nAnn Lee1,2,3*, Bo Li1,3*,\nCy Fox1,2*,\nDi Quan Wu1,2, Ed Xu1,\nFu Yi1,3\n", "A wrap", ["Ann Lee", "Bo Li", "Cy Fox", "Di Quan Wu", "Ed Xu", "Fu Yi"]),
+    ("## of one\n\nHana Seo\n\nInstitute of things\n\nwrite to H.S. (Hana.Seo@x.ca)\n\n## Abstract\n", "of one", ["Hana Seo"]),
+    ("## A paper\n\nSome Stray Header\n\n## Abstract\n", "A paper", None),
+    ("## heat in hosts\n\n2 Ann Lee1* (ORCID iD: 0009-0000-4698-6432) and Bo Li1 (ORCID iD: 0000-\n0002-0867-4953)\n", "heat in hosts", ["Ann Lee", "Bo Li"]),
+    ("| 1   | Using Deep Things of Stones to Guide Us |\n|-----|----|\n| 2   | Ann Lee 1 , Bo Li 1 *     |\n| 3   |     |\n\n## Abstract\n", "Using Deep Things of Stones to Guide Us", ["Ann Lee", "Bo Li"]),
+    ("My Paper\n\nBy Ann Lee & Bo Li\n", None, ["Ann Lee", "Bo Li"]),
+    ("## My Paper\nAnn Lee, Bo Li\n", "My Paper", ["Ann Lee", "Bo Li"]), ("", None, None), (None, None, None)])
+def test_front_matter(spark, text, title, authors):
+    got = record(spark, text)
+    assert (got["title"], got["authors"]) == (title, authors)
+
+
+def test_watermarks_are_no_abstract(spark):
+    mark = "bioRxiv preprint doi: https://doi.org/10.1101/2026.01.01.123456; this version posted. All rights reserved. No reuse allowed. " * 3
+    got = record(spark, f"{mark}\r\n\r\n## A title\r\n\r\nAnn, Bo\r\n\r\n{LONG}\r\n")
+    assert got["abstract"] == LONG.strip() and got["doi"] == "10.1101/2026.01.01.123456" and got["title"] == "A title"
+
+
+def test_long_fronts_are_read(spark):
+    many = ", ".join(f"Ann{chr(97 + i % 26)} Lee{chr(97 + i // 26)}" for i in range(150))
+    assert len(record(spark, f"# T\n\n{many}\n\n## Abstract\nx")["authors"]) == 150
+    got = record(spark, "word, and " * 200_000 + "in 2020")
+    assert got["year"] == 2020 and got["authors"] is None
 
 
 def test_publisher_records(spark):
