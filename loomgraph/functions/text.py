@@ -1,6 +1,7 @@
 """Scalar functions as column expressions; they stay in the JVM."""
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -33,6 +34,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def squeeze(c: Column) -> Column:
     """Runs of white space to one blank, ends stripped."""
     return strip(F.regexp_replace(c, r"\s+", " "))
@@ -122,8 +128,11 @@ def math_retry(real: Column, broken: Column, min_broken: int = 5, min_ratio: flo
 def clean_list(items: Column) -> Column:
     """Stripped items without empty ones; of those alike but for case the first stays."""
     stripped = F.filter(F.transform(items, lambda x: strip(x.cast("string"))), lambda x: x.isNotNull() & (x != ""))
-    keys = F.transform(stripped, F.lower)
-    return F.filter(stripped, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)
+    # alike items are neighbours once sorted by key and place: n log n, for lists of any length
+    placed = F.array_sort(F.transform(stripped, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("x"))))
+    first = lambda s: F.filter(s, lambda e, n: (n == 0) | (e["k"] != F.get(s, n - 1)["k"]))
+    kept = let(placed, first)
+    return F.transform(F.array_sort(F.transform(kept, lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x")))), lambda e: e["x"])
 
 
 def split_authors(c: Column) -> Column:
@@ -176,15 +185,27 @@ def escape_html(c: Column) -> Column:
 BLOCKED_HOSTS = ("localhost", "ip6-localhost", "ip6-loopback", "metadata", "metadata.google.internal")
 
 
-def _private_v4(host: Column) -> Column:
-    """Loopback, private, link-local, multicast, reserved and unspecified IPv4 literals."""
-    parts = F.split(host, r"\.")
+def _private_v4(parts: Column) -> Column:
+    """Loopback, private, link-local, multicast, reserved and unspecified IPv4 addresses."""
     a, b, c = (F.try_element_at(parts, F.lit(i)).try_cast("int") for i in (1, 2, 3))
-    return host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & (
+    return (
         a.isin(0, 10, 127) | (a >= 224) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254))
         | ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 198) & b.isin(18, 19)) | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113)))
 
 
+def _v4_of(host: Column) -> Column:
+    """The dotted IPv4 address that a host stands for: written so, mapped into IPv6, or as one
+    whole number; null for other hosts."""
+    mapped = r"^\[?::ffff:(\d{1,3}(?:\.\d{1,3}){3})\]?$"
+    pair = r"^\[?::ffff:([0-9a-f]{1,4}):([0-9a-f]{1,4})\]?$"
+    word = lambda g: F.conv(F.regexp_extract(host, pair, g), 16, 10).cast("long")
+    number = (F.when(host.rlike(r"^\d{1,10}$"), host.try_cast("long")).when(host.rlike("^0x[0-9a-f]{1,8}$"), F.conv(F.substring(host, 3, 8), 16, 10).cast("long"))
+              .when(host.rlike(pair), word(1) * 65536 + word(2)))
+    dotted = F.concat_ws(".", *[F.shiftrightunsigned(number, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)])
+    return (F.when(host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), host).when(host.rlike(mapped), F.regexp_extract(host, mapped, 1))
+            .when(number < 2**32, dotted))
+
+
 def _private_v6(host: Column) -> Column:
     return host.rlike(r"^\[?(::1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|ff[0-9a-f]{2}:.*|2001:db8:.*)\]?$")
 
@@ -194,7 +215,12 @@ def url_gate(url: Column, schemes: tuple[str, ...] = ("http", "https"), allowed_
     without it host literals alone decide, as nothing here resolves names."""
     scheme = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?(\[[^\]]*\]|[^:/?#]*)", 1))
-    bad = lambda h: _private_v4(h) | _private_v6(h)
+    return let(F.struct(url.alias("url"), scheme.alias("scheme"), host.alias("host")), lambda u: _judged(u, schemes, allowed_hosts, addresses))
+
+
+def _judged(u: Column, schemes: tuple[str, ...], allowed_hosts: tuple[str, ...], addresses: Column | None) -> Column:
+    url, scheme, host = u["url"], u["scheme"], u["host"]
+    bad = lambda h: let(_v4_of(h), lambda a: F.coalesce(let(F.split(a, r"\."), _private_v4), F.lit(False))) | _private_v6(h)
     blocked = F.when(bad(host), F.regexp_replace(host, r"[\[\]]", ""))
     if addresses is not None:
         blocked = F.coalesce(blocked, F.try_element_at(F.filter(addresses, bad), F.lit(1)))

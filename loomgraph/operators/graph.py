@@ -178,9 +178,11 @@ def without_nodes(edges: DataFrame, nodes: DataFrame, node_col: str = "node_id",
 
 def majority_reattach(hubs: DataFrame, edges: DataFrame, partition: DataFrame, node_col: str = "node_id", src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, community_id): each hub to the community of most of its neighbours that have
-    one; ties to the lowest id, none to fresh ids above all in order of the hub. One round:
-    hubs do not vote for each other."""
-    both = edges.select(F.col(src).alias(node_col), F.col(dst).alias("o")).unionByName(edges.select(F.col(dst).alias(node_col), F.col(src).alias("o"))).distinct()
+    one; ties to the lowest id, none to fresh ids above all in order of the hub. A neighbour
+    votes once as successor and once as predecessor, parallel edges apart. One round: hubs do
+    not vote for each other."""
+    once = edges.select(F.col(src).alias("x"), F.col(dst).alias("y")).distinct()
+    both = once.select(F.col("x").alias(node_col), F.col("y").alias("o")).unionByName(once.select(F.col("y").alias(node_col), F.col("x").alias("o")))
     votes = (both.join(hubs.select(node_col), node_col, "left_semi").join(partition.select(F.col(node_col).alias("o"), "community_id"), "o")
              .groupBy(node_col, "community_id").agg(F.count(F.lit(1)).alias("v")))
     won = votes.groupBy(node_col).agg(F.max_by("community_id", F.struct(F.col("v"), (-F.col("community_id")).alias("n"))).alias("community_id"))
@@ -233,6 +235,17 @@ def graph_metrics(nodes: DataFrame, edges: DataFrame, node_col: str = "node_id",
                                       F.round(F.when(n > 0, F.col("total") / n).otherwise(0.0), 6).alias("avg_degree"), "max_degree", "n_isolated")
 
 
+def component_metrics(nodes: DataFrame, edges: DataFrame, node_col: str = "node_id", src: str = "src", dst: str = "dst") -> DataFrame:
+    """One row: n_components and the share of the nodes in the largest."""
+    sizes = connected_components(nodes, edges, node_col, src, dst).groupBy("component").agg(F.count(F.lit(1)).alias("s"))
+    return sizes.agg(F.count(F.lit(1)).alias("n_components"), F.round(F.coalesce(F.max("s") / F.sum("s"), F.lit(0.0)), 6).alias("largest_fraction"))
+
+
+def by_type(nodes: DataFrame) -> DataFrame:
+    """(node_type, entity_type, n) of the nodes."""
+    return nodes.groupBy("node_type", "entity_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 def by_relation(edges: DataFrame) -> DataFrame:
     return edges.groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
 

@@ -116,8 +116,8 @@ def band(score: Column, near: float = NEAR, border: float = BORDER) -> Column:
 
 def classify_duplicates(candidates: DataFrame, existing: DataFrame, id_col: str, vec_col: str, near: float = NEAR, border: float = BORDER,
                         rerank: Column | None = None, promote: float = PROMOTE) -> DataFrame:
-    """(id, neighbour, similarity, outcome): each candidate's nearest other vector and its
-    band. ``rerank``, a score over (id, neighbour) columns, lifts borderline ones."""
+    """(id, neighbour, similarity, outcome): each candidate's nearest other vector - of equals
+    the one with the smallest id, whatever the ids' type - and its band. ``rerank``, a score over (id, neighbour) columns, lifts borderline ones."""
     left = candidates.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
     right = existing.select(F.col(id_col).alias("neighbour"), F.col(vec_col).alias("w"))
     kinds = f"id {candidates.schema[id_col].dataType.simpleString()}, neighbour {existing.schema[id_col].dataType.simpleString()}, similarity double"
@@ -131,7 +131,7 @@ def classify_duplicates(candidates: DataFrame, existing: DataFrame, id_col: str,
         return pd.DataFrame({"id": a["id"].to_numpy(), "neighbour": b["neighbour"].to_numpy()[at], "similarity": sims[np.arange(len(a)), at]}).replace(-np.inf, np.nan).dropna()
 
     best = _tiles(left, "id", right, "neighbour").applyInPandas(nearest, kinds)
-    best = best.groupBy("id").agg(F.max_by(F.struct("neighbour", "similarity"), F.struct("similarity", (-F.col("neighbour")).alias("n"))).alias("t")).select("id", "t.neighbour", "t.similarity")
+    best = best.groupBy("id").agg(F.min_by(F.struct("neighbour", "similarity"), F.struct((-F.col("similarity")).alias("s"), "neighbour")).alias("t")).select("id", "t.neighbour", "t.similarity")
     out = best.withColumn("outcome", band(F.col("similarity"), near, border))
     if rerank is not None:
         out = out.withColumn("outcome", F.when((F.col("outcome") == "borderline") & (rerank >= promote), F.lit("near_duplicate")).otherwise(F.col("outcome")))

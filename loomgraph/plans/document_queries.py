@@ -14,6 +14,7 @@ from ..operators import ingest as ig
 from ..operators import profiles as px
 from ..operators import retrieve as rt
 from ..operators import tokens as tk
+from ..sources import files as sf
 from .base import Registry, read
 
 R = Registry()
@@ -41,15 +42,20 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("SELECT sha256(text) AS content_hash, min(doc_id) AS first_doc, count(*) AS n FROM documents GROUP BY 1")
 def exact_dedup_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"))
+    """The documents as files of a folder: each content, its first file and its copies."""
+    raw = read(spark, sf_dir, "documents").select(F.format_string("/corpus/%s/%d.md", "source", "doc_id").alias("path"), F.octet_length("text").cast("long").alias("length"), F.col("text").cast("binary").alias("content"))
+    number = F.regexp_extract("filename", r"^(\d+)\.md$", 1).cast("long")
+    return sf.describe(raw, "/corpus").groupBy("content_hash").agg(F.min(number).alias("first_doc"), F.count(F.lit(1)).alias("n"))
 
 
-@R.add("""WITH d AS (SELECT length(text) >= 200 AS ok, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS r FROM documents)
-SELECT CASE WHEN NOT ok THEN 'quarantined' WHEN r = 1 THEN 'ingested' ELSE 'duplicate' END AS status, count(*) AS n FROM d GROUP BY 1""")
+@R.add("""WITH k AS (SELECT DISTINCT sha256(text) AS h FROM documents JOIN labels USING (doc_id) WHERE toxic = 1),
+d AS (SELECT sha256(text) IN (SELECT h FROM k) AS known, length(text) >= 200 AS ok, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS r FROM documents)
+SELECT CASE WHEN known THEN 'duplicate' WHEN NOT ok THEN 'quarantined' WHEN r = 1 THEN 'ingested' ELSE 'duplicate' END AS status, count(*) AS n FROM d GROUP BY 1""")
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes of ingest over all documents, under a contract that asks for nothing: the
-    cascade's order decides between duplicate and quarantined."""
-    known = spark.createDataFrame([], "hash string")
+    cascade's order decides between duplicate and quarantined. The toxic ones were there before."""
+    toxic = read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    known = read(spark, sf_dir, "documents").join(toxic, "doc_id", "left_semi").select(F.sha2("text", 256).alias("hash"))
     return ig.status_counts(ig.ingest(files(spark, sf_dir), known, profiles=NOTHING))
 
 
@@ -114,16 +120,16 @@ def triage_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", ig.triage(F.col("text"), skip_lines=1).alias("t")).select("doc_id", "t.class", "t.has_title", "t.has_abstract")
 
 
-@R.add("""SELECT doc_id, coalesce(nullif(trim(regexp_replace(left(text, 60), '[^A-Za-z0-9._-]+', '_', 'g'), '_'), ''), 'unknown') AS reason_slug FROM documents""")
+@R.add("""SELECT doc_id, coalesce(nullif(trim(regexp_replace(text, '[^A-Za-z0-9._-]+', '_', 'g'), '_'), ''), 'unknown') AS reason_slug FROM documents""")
 def quarantine_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", ids.reason_slug(F.substring("text", 1, 60)).alias("reason_slug"))
+    return read(spark, sf_dir, "documents").select("doc_id", ids.reason_slug(F.col("text")).alias("reason_slug"))
 
 
-@R.add(r"""WITH s AS (SELECT doc_id, left(text, 90) AS t FROM documents)
+@R.add(r"""WITH s AS (SELECT doc_id, text AS t FROM documents)
 SELECT doc_id, coalesce(nullif(left(trim(regexp_replace(lower(regexp_replace(t, '^\s+|\s+$', '', 'g')), '[^a-z0-9]+', '_', 'g'), '_'), 100), ''), 'unknown') AS graph_slug,
 coalesce(nullif(rtrim(left(trim(regexp_replace(lower(t), '[^a-z0-9]+', '-', 'g'), '-'), 64), '-'), ''), 'untitled') AS vault_slug FROM s""")
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.substring("text", 1, 90)
+    t = F.col("text")
     return read(spark, sf_dir, "documents").select("doc_id", ids.slug(t).alias("graph_slug"), ids.vault_slug(t).alias("vault_slug"))
 
 
@@ -221,14 +227,15 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 f AS (SELECT doc_id, lower(x) AS k, arg_min(x, p) AS x, min(p) AS p FROM u WHERE x <> '' GROUP BY ALL) SELECT doc_id, coalesce(list(x ORDER BY p), []) AS items FROM f GROUP BY doc_id""")
 def clean_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of each text, of those alike but for case the first."""
-    d = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "x")).withColumn("x", tx.strip(F.col("x"))).where("x <> ''")
-    first = d.groupBy("doc_id", F.lower("x").alias("k")).agg(F.min(F.struct("p", "x")).alias("m"))
-    return first.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list("m")), lambda m: m["x"]).alias("items"))
+    d = read(spark, sf_dir, "documents").select("doc_id", tx.clean_list(F.split("text", " ")).alias("items"))
+    return d.where(F.size("items") > 0)
 
 
 @R.add("SELECT tag, count(*) AS n FROM (SELECT unnest(string_split(o_orderpriority, '-')) AS tag FROM orders) GROUP BY tag")
 def tags_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").select(F.explode(F.split("o_orderpriority", "-")).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    from ..operators.render import tag_list
+
+    return tag_list(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.split("o_orderpriority", "-").alias("tags")))
 
 
 @R.add("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS ingested, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 25")
@@ -241,7 +248,34 @@ def dashboard_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("SELECT c_mktsegment AS community, count(*) AS n_members FROM customer GROUP BY 1 ORDER BY n_members DESC, community")
 def dashboard_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("community")).agg(F.count(F.lit(1)).alias("n_members")).orderBy(F.desc("n_members"), "community")
+    from ..operators.render import largest_communities
+
+    part = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node_id"), F.col("c_mktsegment").alias("community_id"))
+    out = largest_communities(cm.members(part).withColumn("label", F.col("community_id")))
+    return out.select(F.col("community_id").alias("community"), "n_members")
+
+
+@R.add("SELECT c_custkey AS doc_id, c_acctbal AS relevance FROM customer ORDER BY relevance DESC, doc_id LIMIT 25")
+def dashboard_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.render import top_relevance
+
+    return top_relevance(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_acctbal").alias("relevance")))
+
+
+@R.add("SELECT o_orderkey AS doc_id, strftime(o_orderdate, '%Y-%m-%d') AS ingested FROM orders WHERE o_orderstatus = 'O'")
+def dashboard_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.render import pending
+
+    status = F.when(F.col("o_orderstatus") == "O", F.lit("exploratory")).otherwise(F.lit("active"))
+    return pending(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), status.alias("status"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("ingested"))).drop("status")
+
+
+@R.add("SELECT c_custkey AS doc_id, c_nationkey AS community_id, 1990 + c_custkey % 30 AS year FROM customer WHERE c_nationkey < 20")
+def dashboard_by_community(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.render import by_community
+
+    c = read(spark, sf_dir, "customer")
+    return by_community(c.select(F.col("c_custkey").alias("doc_id"), F.when(F.col("c_nationkey") < 20, F.col("c_nationkey")).alias("community_id"), (F.col("c_custkey") % 30 + 1990).alias("year")))
 
 
 @R.add("SELECT p_partkey AS part_id, replace(replace(replace(replace(replace(p_name || ' <' || p_type || '>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;') AS html FROM part")

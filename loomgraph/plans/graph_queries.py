@@ -45,7 +45,8 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.select("src", "dst", "relation", "confidence")
 
 
-@R.add(f"WITH {_ENT} SELECT a.doc_id, a.key AS a, b.key AS b FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.key < b.key")
+@R.add(f"""WITH {_ENT}, k AS (SELECT doc_id, list_sort(list(key)) AS k FROM e GROUP BY doc_id), p AS (SELECT doc_id, k, unnest(range(1, len(k) + 1)) AS i FROM k)
+SELECT doc_id, k[i] AS a, unnest(k[i + 1:]) AS b FROM p""")
 def co_mention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gx.co_mentions(entities(spark, sf_dir))
 
@@ -127,6 +128,23 @@ def graph_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gx.graph_metrics(nodes, edges)
 
 
+@R.add("""WITH s AS (SELECT n_regionkey, 1 + count(DISTINCT n_nationkey) + count(c_custkey) AS s FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1)
+SELECT count(*) AS n_components, round(max(s) / sum(s), 6) AS largest_fraction FROM s""")
+def component_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gx.component_metrics(*places(spark, sf_dir))
+
+
+@R.add(f"""WITH {_ENT} SELECT 'document' AS node_type, NULL AS entity_type, count(*) AS n FROM orders UNION ALL SELECT 'entity', type, count(DISTINCT key) FROM e GROUP BY type""")
+def nodes_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gx.by_type(gx.build_graph(order_docs(spark, sf_dir), entities(spark, sf_dir))[0])
+
+
+@R.add(f"""WITH {_ENT}, x AS (SELECT doc_id, count(*) AS k FROM e GROUP BY doc_id) SELECT CASE type WHEN 'author' THEN 'authored_by' ELSE 'about' END AS relation, count(*) AS n FROM e GROUP BY type
+UNION ALL SELECT 'co_mentioned_in', sum(k * (k - 1) // 2)::BIGINT FROM x""")
+def edges_by_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gx.by_relation(gx.build_graph(order_docs(spark, sf_dir), entities(spark, sf_dir))[1])
+
+
 @R.add(f"""WITH {_TRADE}, m AS (SELECT sum(weight) AS m FROM g), k AS (SELECT community_id, sum(weight) AS k FROM u JOIN p ON node_id = a GROUP BY 1),
 i AS (SELECT a.community_id, sum(weight) AS i FROM g JOIN p a ON a.node_id = src JOIN p b ON b.node_id = dst WHERE a.community_id = b.community_id GROUP BY 1)
 SELECT round(sum(coalesce(i, 0) / m - (k / (2 * m)) ** 2), 6) AS modularity FROM k LEFT JOIN i USING (community_id), m""")
@@ -226,8 +244,17 @@ def order_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                 F.array(F.lag("o_orderkey").over(w).cast("string")).alias("supersedes"))
 
 
+def first_cited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of every order to the first of its customer."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return read(spark, sf_dir, "orders").select(gx.ids.doc_node(F.col("o_orderkey")).alias("src"), gx.ids.doc_node(F.first("o_orderkey").over(w)).alias("dst"))
+
+
 _CARDS = "c AS (SELECT o_orderkey, o_orderdate, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS old FROM orders)"
-_DECAYED = f"round(pow(0.5::DOUBLE, greatest(date_diff('day', o_orderdate::DATE, DATE '{_NOW}'), 0) / 365.0::DOUBLE), 4)"
+_LINKED = "b AS (SELECT f, count(*) AS b FROM (SELECT first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS f FROM orders) GROUP BY f)"
+_DECAYED = f"round(greatest(coalesce(b, 0), 1) * pow(0.5::DOUBLE, greatest(date_diff('day', o_orderdate::DATE, DATE '{_NOW}'), 0) / 365.0::DOUBLE), 4)"
 
 
 @R.add(f"""WITH o AS (SELECT o_custkey, count(*) AS n, max(o_orderdate) AS t FROM orders GROUP BY 1)
@@ -247,16 +274,15 @@ def supersession(spark: SparkSession, sf_dir: str) -> DataFrame:
     return supersession_pairs(order_cards(spark, sf_dir)).where("reason is null").select("newer", "older")
 
 
-@R.add(f"""WITH {_CARDS}, d AS (SELECT o_orderkey, {_DECAYED} AS r FROM c), s AS (SELECT DISTINCT old FROM c WHERE old IS NOT NULL)
+@R.add(f"""WITH {_CARDS}, {_LINKED}, d AS (SELECT o_orderkey, {_DECAYED} AS r FROM c LEFT JOIN b ON b.f = o_orderkey), s AS (SELECT DISTINCT old FROM c WHERE old IS NOT NULL)
 SELECT o_orderkey::VARCHAR AS doc_id, CASE WHEN s.old IS NULL THEN 'active' ELSE 'superseded' END AS status, CASE WHEN s.old IS NULL THEN r ELSE round((r * 0.1::DOUBLE)::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE END AS relevance FROM d LEFT JOIN s ON s.old = o_orderkey""")
 def decay_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.decay import decay_pass as run
 
-    edges = read(spark, sf_dir, "region").limit(0).select(F.lit("").alias("src"), F.lit("").alias("dst"))
-    return run(order_cards(spark, sf_dir), edges, F.to_date(F.lit(_NOW))).select("doc_id", "status", "relevance")
+    return run(order_cards(spark, sf_dir), first_cited(spark, sf_dir), F.to_date(F.lit(_NOW))).select("doc_id", "status", "relevance")
 
 
-@R.add(f"""WITH {_CARDS}, d AS (SELECT o_orderkey, {_DECAYED} AS r FROM c), s AS (SELECT DISTINCT old FROM c WHERE old IS NOT NULL),
+@R.add(f"""WITH {_CARDS}, {_LINKED}, d AS (SELECT o_orderkey, {_DECAYED} AS r FROM c LEFT JOIN b ON b.f = o_orderkey), s AS (SELECT DISTINCT old FROM c WHERE old IS NOT NULL),
 x AS (SELECT o_orderkey, CASE WHEN s.old IS NULL THEN r ELSE round((r * 0.1::DOUBLE)::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE END AS relevance FROM d LEFT JOIN s ON s.old = o_orderkey)
 SELECT o_orderkey::VARCHAR AS doc_id, relevance FROM x WHERE relevance < 0.1""")
 def archive_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

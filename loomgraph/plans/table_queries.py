@@ -90,13 +90,14 @@ def backlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gx.backlinks(trade(spark, sf_dir)[1])
 
 
-@R.add("SELECT text AS question, min(conv_id * 1000 + turn) AS position FROM conversations WHERE role = 'user' GROUP BY text")
+@R.add("""WITH q AS (SELECT text AS question, min(conv_id * 1000 + turn) AS position FROM conversations WHERE role = 'user' GROUP BY text)
+SELECT question, position, min(c.text) AS context FROM q LEFT JOIN conversations c ON c.role <> 'user' AND c.conv_id * 1000 + c.turn = position + 1 GROUP BY ALL""")
 def test_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions of conversations, repeated ones once, the first kept."""
-    c = read(spark, sf_dir, "conversations").where("role = 'user'")
-    rows = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("position"), F.col("text").alias("question"), F.lit("none").alias("seed_chunk"))
-    chunks = spark.createDataFrame([], "chunk_id string, text string")
-    return ev.load_test_set(rows, chunks).select("question", "position")
+    """Questions of conversations, repeated ones once, the first kept, with the answer that follows."""
+    c = read(spark, sf_dir, "conversations").withColumn("position", F.col("conv_id") * 1000 + F.col("turn"))
+    rows = c.where("role = 'user'").select("position", F.col("text").alias("question"), (F.col("position") + 1).cast("string").alias("seed_chunk"))
+    chunks = c.where("role <> 'user'").groupBy(F.col("position").cast("string").alias("chunk_id")).agg(F.min("text").alias("text"))
+    return ev.load_test_set(rows, chunks).select("question", "position", "context")
 
 
 @R.add("SELECT round(avg(quality), 4) AS quality, round(avg(toxic), 4) AS toxic FROM labels")

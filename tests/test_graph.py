@@ -181,6 +181,18 @@ def test_bands(spark, cos, outcome):
     assert spark.range(1).select(vx.band(F.lit(cos)).alias("b")).first()["b"] == outcome
 
 
+def test_duplicates_of_string_ids(spark):
+    v = spark.createDataFrame([("c", [1.0, 0.0]), ("b", [1.0, 0.0]), ("a", [1.0, 0.01]), ("d", [0.0, 1.0])], "id string, vec array<double>")
+    got = {r["id"]: (r["neighbour"], r["outcome"]) for r in vx.classify_duplicates(v, v, "id", "vec").collect()}
+    assert got["b"] == ("c", "near_duplicate") and got["c"] == ("b", "near_duplicate") and got["a"] == ("b", "near_duplicate") and got["d"] == ("a", "unique")
+
+
+def test_component_metrics(spark):
+    nodes = spark.createDataFrame([(x,) for x in "abcde"], "node_id string")
+    edges = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
+    assert tuple(gx.component_metrics(nodes, edges).first()) == (3, 0.6)
+
+
 def test_zero_vectors_and_rerank(spark):
     v = table(spark, [(1, [1.0, 0.0]), (2, [0.9, 0.4359]), (3, [0.0, 0.0])], "id long, vec array<double>")
     got = {r["id"]: r["outcome"] for r in vx.classify_duplicates(v, v, "id", "vec").collect()}

@@ -133,6 +133,21 @@ def test_json_recovery():
     assert recovery.parse_answer("none here") is None and recovery.parse_answer(None) is None
 
 
+@pytest.mark.parametrize(("url", "reason"), [
+    ("http://[::ffff:10.0.0.1]/", "blocked_ip:::ffff:10.0.0.1"), ("http://[::ffff:7f00:1]/", "blocked_ip:::ffff:7f00:1"), ("http://2130706433/", "blocked_ip:2130706433"), ("http://0x7f000001/x", "blocked_ip:0x7f000001"),
+    ("http://[::ffff:8.8.8.8]/", None), ("http://134744072/", None), ("http://8.8.8.8/", None), ("http://[2606:4700::1111]/", None), ("http://10.1.2.3/", "blocked_ip:10.1.2.3")])
+def test_addresses_in_other_forms(spark, url, reason):
+    got = one(spark, tx.url_gate(F.col("u")), u=url)
+    assert (got["allowed"], got["reason"]) == (reason is None, reason)
+
+
+def test_clean_list_of_any_length(spark):
+    r = one(spark, tx.clean_list(F.split("t", ",")), t=" b ,A,a,, B,c, A")
+    assert r == ["b", "A", "c"]
+    words = ",".join(f"w{i % 5000}" for i in range(60_000))
+    assert len(one(spark, tx.clean_list(F.split("t", ",")), t=words)) == 5000
+
+
 # --- metadata -------------------------------------------------------------------------
 
 PAPER = """# Results
