@@ -6,15 +6,19 @@ import json
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ids, schemas
+from . import sinks as sk
 from .corpus import Corpus
 from .functions import chunking as ch
+from .functions import models as md_models
+from .functions import text as tx
 from .operators import community as cm
 from .operators import concepts as cc
 from .operators import decay as dk
+from .operators import evaluate as ev
 from .operators import graph as gx
 from .operators import ingest as ig
 from .operators import publish as pb
@@ -52,10 +56,19 @@ class Engine:
         return tb.replace(df, self.corpus.table(name))
 
     # --- stages -----------------------------------------------------------------------
-    def ingest(self, publisher: DataFrame | None = None, extractor=None, hooks: ig.Hooks | None = None, profiles: dict | None = None) -> DataFrame:
-        """One pass over the source files; counts by status."""
+    def ingest(self, publisher: DataFrame | None = None, extractor=None, hooks: ig.Hooks | None = None, profiles: dict | None = None, move: bool = False) -> DataFrame:
+        """One pass over the source files; counts by status. With ``move``, ingested files go to
+        ``processed`` and refused ones to ``quarantine``, each with a note of the reason beside it."""
         seen = self.read("manifest", schemas.MANIFEST)
         out = ig.ingest(sf.scan(self.spark, str(self.corpus.root)), ig.known_hashes(seen), publisher, extractor, hooks, F.lit(self.clock()).cast("timestamp"), profiles=profiles).persist()
+        if move:
+            folder = F.regexp_extract("destination", "^(.*/)[^/]*$", 1)
+            taken = seen.where("destination is not null").groupBy(F.concat(folder, "source_filename").alias("wanted")).agg(F.count(F.lit(1)).alias("n"))
+            stage = Stage(self.spark, "moves")
+            out = stage.write(sk.targets(out.withColumn("wanted", sk.routed(out)), taken), "outcomes")
+            stage.write(sk.move_files(out.select(F.col("path").alias("source"), "target"), str(self.corpus.root)), "moved")
+            notes = out.where("status = 'quarantined'").select(F.concat("target", F.lit(".reason.json")).alias("path"), F.to_json(F.struct("reason", F.col("path").alias("original"), "content_hash")).alias("markdown"))
+            stage.write(sk.write_texts(notes, str(self.corpus.root)), "notes")
         ig.manifest_rows(out).write.mode("append").parquet(self.corpus.table("manifest"))
         ig.quarantine_rows(out).write.mode("append").partitionBy("reason_slug").parquet(self.corpus.table("quarantine"))
         ig.math_retry_rows(out.where("status = 'ingested'")).write.mode("append").parquet(self.corpus.table("math_retry"))
@@ -69,10 +82,19 @@ class Engine:
     def status(self) -> DataFrame:
         return ig.status_counts(self.read("manifest", schemas.MANIFEST))
 
-    def triage(self) -> DataFrame:
-        """(path, class, reason) of the PDF files, from their text probes."""
+    def triage(self, probe: Callable[[bytes], str | None] | None = None, defer: bool = False) -> DataFrame:
+        """(path, class, reason) of the PDF files. ``probe`` gives the text of a file's content,
+        None or an error if it can't; without one only content that is plain text is read. With
+        ``defer``, files of that class go to ``defer``, under their own folders."""
         files = sf.scan(self.spark, str(self.corpus.root)).where("suffix = '.pdf'")
-        return files.select("path", ig.triage(ig.decode(F.col("content"))).alias("t")).select("path", "t.*")
+        text = md_models.asked(probe, F.col("content")) if probe else F.when(~F.col("content").startswith(F.lit(b"%PDF")), ig.decode(F.col("content")))
+        out = files.select("path", ig.triage(text).alias("t")).select("path", "t.*")
+        if defer:
+            stage = Stage(self.spark, "triage")
+            out = stage.write(out, "classes")
+            moves = out.where("class = 'defer'").select(F.col("path").alias("source"), F.concat(F.lit("defer/"), "path").alias("target"))
+            stage.write(sk.move_files(moves, str(self.corpus.root)), "moved")
+        return out
 
     def embed(self, force: bool = False) -> int:
         """Chunk and embed documents that have no vectors yet; their number."""
@@ -88,8 +110,16 @@ class Engine:
             chunks = self.write(vx.upsert(chunks, made), "chunks")
             new = chunks.join(todo.select("doc_id"), "doc_id", "left_semi").select("chunk_id", "doc_id", self.embedder("text").alias("vec"))
             self.write(vx.upsert(vectors, new), "chunk_vectors")
+            for name, table in zip(("postings", "terms", "term_stats"), rt.bm25_tables(chunks, "chunk_id", tx.lexical_tokens(F.col("text"))), strict=True):
+                self.write(table, name)
         return n
 
+    def lexical_search(self, query: str, k: int = 5) -> DataFrame:
+        """The best chunks by BM25, from the postings that ``embed`` keeps."""
+        if not self.has("postings"):
+            return rt.bm25_top(self.read("chunks"), query, k, "chunk_id")
+        return rt.bm25_kept(self.read("postings"), self.read("terms"), self.read("term_stats"), query, k, "chunk_id")
+
     def build_graph(self, concepts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         docs = self.read("docs")
         nodes, edges = gx.build_graph(docs, gx.extract_entities(docs))
@@ -162,24 +192,118 @@ class Engine:
         cards = self.read("cards", schemas.CARDS)
         return self.write(pb.manifest(cards.select(F.concat(F.lit("cards/"), "doc_id", F.lit(".md")).alias("path"), F.col("markdown").alias("content"))), "published_manifest")
 
+    def publish_to(self, target: str, name: str | None = None, archive: bool = False) -> DataFrame:
+        """A copy of what the corpus gives, below ``target``: cards and community pages as files,
+        tables of the graph, communities and vectors, reports, and pages that explain it; and
+        ``manifest``, (path, bytes, sha256) of each file. Sources, manifests of ingest and the
+        quarantine stay behind. With ``archive``, the vector table is one tar as well."""
+        self.publish()
+        name, root = name or self.corpus.root.name, target.rstrip("/")
+        stage, shown = Stage(self.spark, "publish"), {t: self.read(t) for t in ("published_nodes", "communities", "partition", "chunk_vectors", "chunks") if self.has(t)}
+        shown["edges"] = self.graph()[1]
+        for table, df in shown.items():
+            df.write.mode("overwrite").parquet(f"{root}/tables/{table}")
+        pages = self.read("cards", schemas.CARDS).select(F.concat(F.lit("cards/"), "doc_id", F.lit(".md")).alias("path"), "markdown")
+        if self.has("communities"):
+            pages = pages.unionByName(self.community_pages().select(F.concat(F.lit("communities/"), "slug", F.lit("-"), F.col("community_id").cast("string"), F.lit(".md")).alias("path"), "markdown"))
+        figures = {r["table"]: r["n_rows"] for r in pb.inventory(**shown).collect()}
+        colours = self.read("communities", schemas.COMMUNITIES).select("community_id").orderBy(F.desc("n_members"), "community_id").limit(pb.COLOURED)
+        texts = pb.pages(name, figures, [r[0] for r in colours.collect()], self.clock()) | {f"reports/{p.name}": p.read_text(encoding="utf-8") for p in sorted((self.corpus.root / "reports").glob("*.md"))}
+        pages = pages.unionByName(self.spark.createDataFrame(list(texts.items()), "path string, markdown string"))
+        manifest = stage.write(sk.write_texts(pages, root), "manifest")
+        if archive:
+            manifest = manifest.unionByName(self.spark.createDataFrame([pb.archived(f"{root}/tables/chunk_vectors", f"{root}/vectors.tar")], sk.WRITTEN))
+        manifest.coalesce(1).write.mode("overwrite").json(f"{root}/manifest")
+        return manifest
+
+    # --- reports ------------------------------------------------------------------------
+    def report(self, name: str, text: str) -> str:
+        """A report kept below ``reports``; its path."""
+        path = self.corpus.root / "reports" / f"{name}.md"
+        path.parent.mkdir(exist_ok=True)
+        path.write_text(text, encoding="utf-8")
+        return str(path)
+
+    def report_decay(self, cards: DataFrame, dry_run: bool = False) -> str:
+        pairs = dk.supersession_pairs(cards)
+        return self.report("decay", rp.decay_report(cards, pairs, dk.archive_candidates(cards), dry_run))
+
+    def report_tokens(self) -> str:
+        log = self.read("token_log", schemas.TOKEN_LOG)
+        return self.report("tokens", rp.token_report(tk.totals(log), tk.report(log, "tool").orderBy("group")))
+
+    def relabel(self, answer: Callable[[str], str]) -> DataFrame:
+        """Communities with labels from a model, kept."""
+        cards = self.read("docs").select("doc_id", "title", F.col("topics").alias("tags"))
+        stage = Stage(self.spark, "labels")
+        return self.write(stage.write(cm.relabel(self.read("communities"), self.read("partition"), cards, answer), "communities"), "communities")
+
+    def evaluate_graph(self, judge: Callable[[str], str] | None = None, sample: int = 100) -> str:
+        nodes, edges = self.graph()
+        judged = None
+        if judge is not None:
+            picked = edges.orderBy(F.xxhash64("src", "dst", "relation")).limit(sample)
+            prompt = F.concat(F.lit("Is this link right? Reply with a number from 0 to 1.\n"), "src", F.lit(" "), "relation", F.lit(" "), "dst")
+            judged = ev.judged_means(ev.judge(picked, prompt, judge, ev.number), ["judged"])
+        metrics = gx.graph_metrics(nodes, edges).crossJoin(gx.component_metrics(nodes, edges))
+        return self.report("eval-graph", rp.graph_report(metrics, gx.by_relation(edges).orderBy("relation"), judged) + "\n## Types\n\n" + rp.table(gx.by_type(nodes).orderBy("node_type", "entity_type")) + "\n")
+
+    def evaluate_clusters(self) -> str:
+        nodes = self.graph()[0].where("node_type = 'document'").select("node_id")
+        projection, shapes = self.read("projection"), []
+        for tag in [t for t in pb.ORDER if self.has(f"partition_{t}")]:
+            part = self.read(f"partition_{tag}")
+            shapes.append((tag, gx.partition_shape(part).crossJoin(gx.modularity(projection, part)).crossJoin(gx.surprise(nodes, projection, part))))
+        return self.report("eval-cluster", rp.cluster_report(shapes))
+
+    def make_test_set(self, answer: Callable[[str], str], size: int = 100, per_doc: int = 3) -> DataFrame:
+        """Questions of an injected model on sampled chunks, kept as the table ``test_set``."""
+        picked = ev.stratified_sample(self.read("chunks"), "doc_id", F.xxhash64("chunk_id"), per_doc, size)
+        return self.write(cc.make_examples(picked, answer).withColumn("position", F.xxhash64("question")), "test_set")
+
+    def evaluate_retrieval(self, k: int = 5, rerank: Callable[[Column, Column], Column] | None = None, answer: Callable[[str], str] | None = None, judge: Callable[[str], str] | None = None) -> str:
+        """Hits and ranks of the test set's chunks, the effect of a reranker (a score of question
+        and text), and the judge's means over answered questions; the report's path."""
+        stage, chunks = Stage(self.spark, "retrieval"), self.read("chunks")
+        tests = ev.load_test_set(self.read("test_set"), chunks)
+        asked_for = stage.write(tests.select("question", "seed_chunk", "seed_doc", "ground_truth", self.embedder("question").alias("qvec")), "questions")
+        fetch = rt.OVERFETCH * k if rerank else k
+        hits = stage.write(vx.top_k_joined(self.read("chunk_vectors").select("chunk_id", "vec"), asked_for.select("question", "qvec"), fetch, "chunk_id", "vec", "question", "qvec"), "hits")
+        hits = hits.join(chunks.select("chunk_id", "doc_id", "text"), "chunk_id")
+        if rerank is not None:
+            hits = hits.withColumn("again", rerank(F.col("question"), F.col("text")))
+        order = lambda by: F.transform(F.array_sort(F.collect_list(F.struct(by.alias("o"), "chunk_id", "doc_id"))), lambda x: F.struct(x["chunk_id"].alias("c"), x["doc_id"].alias("d")))
+        lists = hits.groupBy("question").agg(order(F.col("rank").cast("double")).alias("before"), *([order(-F.col("again")).alias("after")] if rerank else []))
+        final = "after" if rerank else "before"
+        results = stage.write(asked_for.drop("qvec").join(lists, "question", "left").select(
+            "question", "seed_chunk", "seed_doc", "ground_truth", *[F.coalesce(F.col(final)[f], F.array().cast("array<string>")).alias(n) for n, f in (("chunks", "c"), ("docs", "d"))],
+            *[F.col(n)["c"].alias(n) for n in (("before", "after") if rerank else ())], F.col("seed_chunk").alias("seed")), "results")
+        cut = results.withColumns({c: F.slice(c, 1, k) for c in ("chunks", "docs")})
+        text = rp.retrieval_report(ev.retrieval_metrics(results, k), ev.rerank_delta(results.withColumns({c: F.slice(c, 1, k) for c in ("before", "after")}), k) if rerank else None, ev.failures(cut.select("question"), cut))
+        if answer is not None:
+            texts = cut.select("question", F.posexplode("chunks").alias("rank", "chunk_id")).join(chunks.select("chunk_id", "text"), "chunk_id")
+            turns = stage.write(cc.rag_turn(texts, answer).join(cut.select("question", "ground_truth"), "question"), "turns")
+            if judge is not None:
+                scored = stage.write(ev.judged_turns(turns, judge, ev.number), "judged")
+                text += "\n## Judged\n\n" + rp.table(ev.judged_means(scored, [n for n, _ in ev.JUDGED])) + "\n"
+        return self.report("eval-rag", text)
+
     def export_vault(self) -> int:
         """Cards and community pages as files below the corpus, pages of communities that are
         gone removed, and dashboard, index and log at its root; the number of files."""
-        root, files = self.corpus.root, 0
+        root, files, stage = self.corpus.root, 0, Stage(self.spark, "vault")
         parts = [("cards", self.read("cards", schemas.CARDS).select(F.col("doc_id").alias("name"), "markdown"))]
         if self.has("communities"):
             parts.append(("communities", self.community_pages().select("slug", "community_id", "markdown").select(F.concat_ws("-", "slug", F.col("community_id").cast("string")).alias("name"), "markdown")))
         for folder, rows in parts:
             (root / folder).mkdir(exist_ok=True)
-            wanted = set()
-            for r in rows.toLocalIterator():
-                (root / folder / f"{r['name']}.md").write_text(r["markdown"], encoding="utf-8")
-                wanted.add(f"{r['name']}.md")
-            if folder == "communities":
+            written = stage.write(sk.write_texts(rows.select(F.concat("name", F.lit(".md")).alias("path"), "markdown"), str(root / folder)), folder)
+            files += written.count()
+            if folder == "communities":  # a page a community: few
+                wanted = {r[0] for r in written.select("path").collect()}
                 for old in (root / folder).glob("*.md"):
                     if old.name not in wanted:
                         old.unlink()
-            files += len(wanted)
         (root / "dashboard.md").write_text(rp.dashboard(), encoding="utf-8")
         (root / "index.md").write_text(rp.index(), encoding="utf-8")
         log = root / "log.md"
@@ -287,7 +411,7 @@ class Engine:
         """What the naive way would have cost; None where nothing compares."""
         cards, one = self.read("cards", schemas.CARDS), lambda df: int(df.first()[0])
         if tool == "corpus_search":
-            best = rt.bm25_top(self.read("chunks"), args["query"], int(args.get("k", 5)), "chunk_id")
+            best = self.lexical_search(args["query"], int(args.get("k", 5)))
             return one(tk.total_cost(self.read("chunks").join(best, "chunk_id", "left_semi")))
         if tool == "community_search":
             return one(tk.total_cost(self.read("chunks")))

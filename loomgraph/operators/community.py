@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.models import asked
 from ..stage import Stage
 from . import graph as gx
 
@@ -254,12 +255,5 @@ def relabel(communities: DataFrame, partition: DataFrame, cards: DataFrame, answ
              .select("community_id", F.concat(F.array_join(F.transform("x", lambda v: v["l"]), "\n"), F.when(
                  F.col("n_members") > max_members, F.format_string("\n(and %d more)", F.col("n_members") - max_members)).otherwise("")).alias("block")))
 
-    @F.udf("string")
-    def ask(text: str) -> str | None:
-        try:
-            return answer(text) or None
-        except Exception:
-            return None
-
-    new = block.select("community_id", F.nullif(tx.clean_label(ask("block")), F.lit("")).alias("new"))
+    new = block.select("community_id", F.nullif(tx.clean_label(asked(lambda text: answer(text) or None, F.col("block"))), F.lit("")).alias("new"))
     return communities.join(new, "community_id", "left").withColumn("label", F.coalesce("new", "label")).drop("new")

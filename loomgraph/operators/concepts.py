@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import recovery
 from ..functions import text as tx
+from ..functions.models import asked
 
 EXCERPT, SHORTEST = 6000, 200
 ANSWER = "summary string, topics array<string>, methods array<string>, named_entities array<string>, domain string"
@@ -30,16 +31,9 @@ def extract_concepts(docs: DataFrame, answer: Callable[[str], str], known: DataF
         rows = rows.join(known.select(F.col("doc_id"), F.lit(True).alias("known")).distinct(), "doc_id", "left")
         has = F.col("known").isNotNull()
 
-    @F.udf("string")
-    def ask(text: str | None) -> str | None:
-        try:
-            return answer(text) if text is not None else None
-        except Exception:
-            return None
-
     short = F.length(F.coalesce("excerpt", F.lit(""))) < SHORTEST
-    asked = rows.withColumn("skip", has | short).withColumn("answer", ask(F.when(~F.col("skip"), prompt(F.col("excerpt")))))
-    parsed = asked.withColumn("c", F.from_json(recovery.recovered_json("answer"), ANSWER))
+    told = rows.withColumn("skip", has | short).withColumn("answer", asked(answer, F.when(~F.col("skip"), prompt(F.col("excerpt")))))
+    parsed = told.withColumn("c", F.from_json(recovery.recovered_json("answer"), ANSWER))
     status = (F.when(F.col("skip"), "skipped").when(F.col("answer").rlike(REFUSAL), "skipped")
               .when(F.coalesce(tx.strip(F.col("c.summary")), F.lit("")) == "", "failed").otherwise("extracted"))
     fine = status == "extracted"
@@ -51,13 +45,12 @@ def rag_turn(retrieved: DataFrame, answer: Callable[[str], str], question_col: s
     """(question, contexts, answer): the retrieved texts in order, put to a model."""
     grouped = retrieved.groupBy(question_col).agg(F.transform(F.array_sort(F.collect_list(F.struct(rank_col, text_col))), lambda x: x[text_col]).alias("contexts"))
     numbered = F.transform("contexts", lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x))
-    ask = F.udf(lambda p: answer(p), "string")
-    return grouped.withColumn("answer", ask(F.concat(F.lit("Answer from the numbered texts.\n\n"), F.array_join(numbered, "\n\n"), F.lit("\n\nQuestion: "), F.col(question_col))))
+    told = F.concat(F.lit("Answer from the numbered texts.\n\n"), F.array_join(numbered, "\n\n"), F.lit("\n\nQuestion: "), F.col(question_col))
+    return grouped.withColumn("answer", asked(answer, told, strict=True))
 
 
 def make_examples(chunks: DataFrame, answer: Callable[[str], str]) -> DataFrame:
     """(question, ground_truth, seed_chunk, seed_doc) from a model that answers with a JSON
     object of question and answer; others are left out."""
-    ask = F.udf(lambda t: answer(t), "string")
-    rows = chunks.select("chunk_id", "doc_id", F.from_json(recovery.recovered_json(ask("text")), "question string, answer string").alias("a"))
+    rows = chunks.select("chunk_id", "doc_id", F.from_json(recovery.recovered_json(asked(answer, F.col("text"), strict=True)), "question string, answer string").alias("a"))
     return rows.where("a.question is not null and a.answer is not null").select("a.question", F.col("a.answer").alias("ground_truth"), F.col("chunk_id").alias("seed_chunk"), F.col("doc_id").alias("seed_doc"))

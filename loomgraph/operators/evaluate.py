@@ -1,9 +1,13 @@
 """Retrieval metrics, samples, judged means."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.models import asked
+
 
 def rank_of(retrieved: Column, wanted: Column) -> Column:
     """1-based rank of a value in a list; 0 if it is not there."""
@@ -62,12 +66,31 @@ def judged_means(judgements: DataFrame, cols: list[str]) -> DataFrame:
     return judgements.agg(*[F.round(F.avg(c), 4).alias(c) for c in cols])
 
 
+def number(text: str) -> float:
+    """The first number of an answer, held to 0 and 1."""
+    found = re.search(r"-?\d+(?:\.\d+)?", text)
+    if found is None:
+        raise ValueError("no number")
+    return min(1.0, max(0.0, float(found[0])))
+
+
 def judge(rows: DataFrame, prompt: Column, answer, parse) -> DataFrame:
     """Rows with a score from an injected model; an error or an odd answer is null."""
-    @F.udf("double")
-    def ask(text: str) -> float | None:
-        try:
-            return float(parse(answer(text)))
-        except Exception:
-            return None
-    return rows.withColumn("judged", ask(prompt))
+    return rows.withColumn("judged", asked(lambda text: float(parse(answer(text))), prompt, "double"))
+
+
+#: What a judge is asked about a turn: (name, question).
+JUDGED = (
+    ("faithfulness", "Which share of the answer's claims do the texts support?"), ("answer_relevancy", "How well does the answer meet the question?"),
+    ("context_precision", "Which share of the texts helps to answer?"), ("context_recall", "Which share of the expected answer do the texts hold?"),
+    ("answer_correctness", "How far does the answer agree with the expected one?"))
+
+
+def judged_turns(turns: DataFrame, answer, parse) -> DataFrame:
+    """(question, answer, contexts, ground_truth) turns with a score from 0 to 1 for each of
+    JUDGED, from an injected judge; a failed call is null."""
+    body = F.concat(F.lit("\n\nQuestion: "), "question", F.lit("\n\nTexts:\n"), F.array_join(F.coalesce("contexts", F.array().cast("array<string>")), "\n"), F.lit("\n\nAnswer: "),
+                    F.coalesce("answer", F.lit("")), F.lit("\n\nExpected: "), F.coalesce("ground_truth", F.lit("")))
+    for name, question in JUDGED:
+        turns = judge(turns, F.concat(F.lit(f"{question} Reply with a number from 0 to 1."), body), answer, parse).withColumnRenamed("judged", name)
+    return turns

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import ids
 from ..functions import metadata as md
 from ..functions import text as tx
+from ..sinks import routed
 from ..stage import Stage
 from . import profiles as px
 
@@ -153,8 +154,7 @@ def ingest(files: DataFrame, known: DataFrame, publisher: DataFrame | None = Non
 
 
 def manifest_rows(outcomes: DataFrame) -> DataFrame:
-    where = F.when(F.col("status") == "ingested", F.concat_ws("/", F.lit("processed"), F.nullif(F.col("subdir"), F.lit("")), F.col("filename"))).when(
-        F.col("status") == "quarantined", F.concat_ws("/", F.lit("quarantine"), ids.reason_slug(F.col("reason")), F.col("filename")))
+    where = F.col("target") if "target" in outcomes.columns else routed(outcomes)
     return outcomes.select(F.col("content_hash").alias("hash"), F.col("filename").alias("source_filename"), where.alias("destination"), "status", "reason", "extractor_version", "ts")
 
 

@@ -1,13 +1,26 @@
 """Publishing: the canonical partition, communities on nodes, inventories, manifests."""
 from __future__ import annotations
 
+import datetime as dt
+import hashlib
+import json
+import tarfile
+from collections.abc import Sequence
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import PALETTE
+
 #: Which partition is the canonical one, best first.
 ORDER = ("sbm", "louvain", "leiden", "embeddings")
 
 
+#: Communities whose colour a published vault states.
+COLOURED = 200
+
+
 def canonical(tags: list[str]) -> str | None:
     """The best of the back ends that left a partition."""
     return next((t for t in ORDER if t in tags), tags[0] if tags else None)
@@ -61,3 +74,44 @@ def normalised(layout: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
 
 def payload_json(nodes: DataFrame, *cols: str) -> Column:
     return F.to_json(F.struct(*cols), {"ignoreNullFields": "true"})
+
+
+# --- pages of a published corpus ------------------------------------------------------------
+
+def pages(name: str, figures: dict[str, int], communities: Sequence[int], now: dt.datetime) -> dict[str, str]:
+    """Path and text of the pages and settings that go with a published corpus: what it holds,
+    how to read it by hand or by a tool, and a vault's settings with the communities' colours."""
+    rows = "\n".join(f"| {table} | {n} |" for table, n in sorted(figures.items()))
+    listing = f"| table | rows |\n|-|-|\n{rows}\n"
+    settings = lambda value: json.dumps(value, indent=2, ensure_ascii=False) + "\n"
+    css = "\n".join(f".community-{c} {{ color: {PALETTE[c % len(PALETTE)]}; }}" for c in communities)
+    return {
+        "README.md": f"# {name}\n\nA collection of documents as a graph, published {now:%Y-%m-%d}.\n\n* `cards/`: a page a document\n* `communities/`: a page a community\n* `tables/`: Parquet tables\n"
+                     f"* `reports/`: reports on graph, communities and retrieval\n* `manifest/`: path, size and SHA-256 of each file\n\n{listing}",
+        "AGENTS.md": f"# Reading {name} by a tool\n\n1. `capabilities.json` tells which tables there are.\n2. `tables/published_nodes` has the nodes with their community; `tables/edges` the links between them.\n"
+                     "3. A node `doc::x` is the document of `cards/x.md`; the text of its parts is in `tables/chunks`, their vectors in `tables/chunk_vectors`.\n"
+                     "4. Begin a broad question with `communities/`, a narrow one with a search over the chunks, and cite cards.\n",
+        "OVERVIEW.md": f"# Overview of {name}\n\nBuilt {now:%Y-%m-%d %H:%M}.\n\n{listing}",
+        "capabilities.json": settings({"name": name, "published": now.isoformat(), "tables": figures}),
+        "tools.json": settings({"servers": {name: {"command": "python", "args": ["-m", "loomgraph.cli", "serve", "--corpus", "."]}}}),
+        ".obsidian/app.json": settings({"alwaysUpdateLinks": True, "showLineNumber": False, "userIgnoreFilters": ["tables/", "manifest/"]}),
+        ".obsidian/appearance.json": settings({"enabledCssSnippets": ["communities"]}),
+        ".obsidian/core-plugins.json": settings({"graph": True, "backlink": True, "global-search": True, "outline": True, "tag-pane": True}),
+        ".obsidian/community-plugins.json": settings(["dataview"]),
+        ".obsidian/snippets/communities.css": f"{css}\n",
+    }
+
+
+def archived(folder: str, target: str) -> tuple[str, int, str]:
+    """(path, bytes, sha256) of one tar of a table's files, made on the driver a file at a time:
+    for corpora on a disk that the driver reaches."""
+    root = Path(folder.removeprefix("file://"))
+    place = Path(target.removeprefix("file://"))
+    with tarfile.open(place, "w") as tar:
+        for p in sorted(root.rglob("*.parquet")):
+            tar.add(p, arcname=f"{root.name}/{p.relative_to(root)}")
+    digest = hashlib.sha256()
+    with place.open("rb") as f:
+        while block := f.read(1 << 20):
+            digest.update(block)
+    return place.name, place.stat().st_size, digest.hexdigest()

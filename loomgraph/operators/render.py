@@ -138,10 +138,3 @@ def html_page(title: Column, rows: list[tuple[str, Column]], body: Column) -> Co
     cells = [F.concat(F.lit(f"<tr><th>{k}</th><td>"), tx.escape_html(v.cast("string")), F.lit("</td></tr>")) for k, v in rows]
     return F.concat(F.lit('<!DOCTYPE html><html><head><meta charset="utf-8"><title>'), tx.escape_html(title), F.lit("</title></head><body><h1>"), tx.escape_html(title), F.lit("</h1><table>"),
                     F.concat_ws("", *cells), F.lit("</table><pre>"), tx.escape_html(F.coalesce(body, F.lit(""))), F.lit("</pre></body></html>"))
-
-
-def write_files(rows: DataFrame, root: str, path_col: str = "path", content_col: str = "markdown") -> int:
-    """A file for each row under ``root``, written by the executors through Spark's file
-    systems as one text file a path; returns their number."""
-    rows.select(F.col(content_col).alias("value"), F.col(path_col).alias("file")).write.mode("overwrite").partitionBy("file").text(root)
-    return rows.count()

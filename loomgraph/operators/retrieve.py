@@ -1,6 +1,7 @@
 """Retrieval: dense, re-ranked, with keyword overlay, BM25."""
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -68,9 +69,32 @@ def bm25(docs: DataFrame, query_terms: Sequence[str], id_col: str, tokens: Colum
     return scored.groupBy("id").agg(F.sum(part).alias("score")).where("score > 0").withColumnRenamed("id", id_col)
 
 
-def bm25_top(docs: DataFrame, query: str, k: int, id_col: str = "doc_id", text_col: str = "text", digits: int = 6) -> DataFrame:
-    import re
+def bm25_tables(docs: DataFrame, id_col: str, tokens: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(postings, terms, stats) to keep: (term, id, tf, dl), (term, df) and one row (n, avgdl,
+    mean_idf). A query then reads the postings of its own terms alone."""
+    base = docs.select(F.col(id_col).alias("id"), tokens.alias("t")).withColumn("dl", F.size("t"))
+    postings = base.select("id", "dl", F.explode("t").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    stats = base.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    mean = terms.crossJoin(F.broadcast(stats)).agg(F.avg(F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("mean_idf"))
+    return postings, terms, stats.crossJoin(mean)
+
+
+def bm25_kept(postings: DataFrame, terms: DataFrame, stats: DataFrame, query: str, k: int, id_col: str = "id", digits: int = 6) -> DataFrame:
+    """As ``bm25_top``, from kept tables."""
+    wanted = [t for t in re.findall("[a-z0-9]+", query.lower()) if len(t) > 1]
+    times = F.create_map(*[F.lit(x) for t in sorted(set(wanted)) for x in (t, wanted.count(t))]) if wanted else None
+    if times is None:
+        return postings.select(F.col("id").alias(id_col), F.lit(0.0).alias("score")).where("false")
+    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    weights = terms.where(F.col("term").isin(*wanted)).crossJoin(F.broadcast(stats)).select(
+        "term", "avgdl", (times[F.col("term")] * F.when(raw < 0, EPSILON * F.col("mean_idf")).otherwise(raw)).alias("w"))  # a row for each term of the query
+    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = postings.where(F.col("term").isin(*wanted)).join(F.broadcast(weights), "term").groupBy(F.col("id").alias(id_col)).agg(F.sum(part).alias("score")).where("score > 0")
+    return scored.withColumn("score", F.round("score", digits)).orderBy(F.desc("score"), id_col).limit(k)
 
+
+def bm25_top(docs: DataFrame, query: str, k: int, id_col: str = "doc_id", text_col: str = "text", digits: int = 6) -> DataFrame:
     terms = [t for t in re.findall("[a-z0-9]+", query.lower()) if len(t) > 1]
     if not terms:
         return docs.select(id_col, F.lit(0.0).alias("score")).limit(0)

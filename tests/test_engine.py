@@ -84,6 +84,123 @@ def test_chain(engine):
     assert nodes.where("node_id = 'topic::a'").count() == 1
 
 
+def test_reports_and_evaluation(engine, spark):
+    chunks = engine.read("chunks")
+    first = chunks.orderBy("chunk_id").first()
+    asked = engine.make_test_set(lambda t: json.dumps({"question": t[:60], "answer": "A"}), 10)
+    assert asked.count() == 3
+    path = engine.evaluate_retrieval(2, rerank=lambda q, t: F.length(t).cast("double"), answer=lambda p: "said", judge=lambda p: "0.5 of it")
+    text = open(path).read()
+    assert "| n | hit_at_k_chunk |" in text and "## Re-ranking" in text and "| 0.5 | 0.5 | 0.5 | 0.5 | 0.5 |" in text
+    assert "n_components" in open(engine.evaluate_graph(lambda p: "1")).read() and "## louvain" in open(engine.evaluate_clusters()).read()
+    assert "Decay report" in open(engine.report_decay(engine.decay(True), True)).read() and "Token report" in open(engine.report_tokens()).read()
+    for q in ("graphs title number", "jones", "  ", "graphs graphs 1"):
+        want = [(r["chunk_id"], r["score"]) for r in engine.lexical_search(q, 3).collect()]
+        from loomgraph.operators import retrieve as rt
+        assert want == [(r["chunk_id"], r["score"]) for r in rt.bm25_top(chunks, q, 3, "chunk_id").collect()]
+    old = {r["community_id"]: r["label"] for r in engine.read("communities").collect()}
+    new = {r["community_id"]: r["label"] for r in engine.relabel(lambda b: "Label: new name").collect()}
+    assert set(new) == set(old) and set(new.values()) == {"new name"} and first["doc_id"]
+
+
+def test_publish_copy(engine, tmp_path):
+    import hashlib
+
+    target = tmp_path / "out"
+    manifest = {r["path"]: (r["bytes"], r["sha256"]) for r in engine.publish_to(str(target), "kb", archive=True).collect()}
+    for path, (size, digest) in manifest.items():
+        data = (target / path).read_bytes()
+        assert (len(data), hashlib.sha256(data).hexdigest()) == (size, digest), path
+    assert {"README.md", "AGENTS.md", "OVERVIEW.md", "capabilities.json", ".obsidian/app.json", "vectors.tar"} <= set(manifest)
+    assert sum(p.startswith("cards/") for p in manifest) == 3 and any(p.startswith("communities/") for p in manifest)
+    assert json.loads((target / "capabilities.json").read_text())["tables"]["chunks"] >= 3
+    assert not (target / "tables" / "manifest").exists() and not (target / "quarantine").exists()
+    assert not [p for p in target.rglob(".*") if p.is_file() and len(p.name) == 33]  # nothing half written
+
+
+def test_files_move(spark, tmp_path):
+    corpus = Corpus.init(tmp_path / "c")
+    box = corpus.root / "inbox"
+    for sub, who in (("a", "Jones"), ("b", "Brown")):
+        (box / sub).mkdir()
+        (box / sub / "same.md").write_text(f"# T {who}\n\n" + TEXT.format(who=who))
+        (box / sub / "bad.md").write_text(f"# {who}")
+    (box / "x.pdf").write_bytes(b"\n" * 6 + b"nothing here")
+    (box / "y.pdf").write_bytes(b"%PDF-1.4 bytes")
+    engine = Engine(spark, corpus, clock=lambda: dt.datetime(2024, 1, 1, tzinfo=dt.UTC))
+    probe = lambda content: None if bytes(content).startswith(b"%PDF") else bytes(content).decode()
+    assert {r["path"]: r["class"] for r in engine.triage(probe, defer=True).collect()} == {"inbox/x.pdf": "defer", "inbox/y.pdf": "unknown"}
+    assert (corpus.root / "defer" / "inbox" / "x.pdf").exists() and not (box / "x.pdf").exists() and (box / "y.pdf").exists()
+    (box / "y.pdf").unlink()
+    assert counts(engine.ingest(profiles=FREE, move=True)) == {"ingested": 2, "quarantined": 2}
+    assert (corpus.root / "processed" / "inbox" / "a" / "same.md").exists() and (corpus.root / "processed" / "inbox" / "b" / "same.md").exists()
+    bad = sorted(p.name for p in (corpus.root / "quarantine").rglob("bad*"))
+    assert bad == ["bad-1.md", "bad-1.md.reason.json", "bad.md", "bad.md.reason.json"]
+    (box / "a" / "bad.md").write_text("# Jones")
+    (box / "a" / "same.md").write_text("# T other\n\n" + TEXT.format(who="Other"))
+    assert counts(engine.ingest(profiles=FREE, move=True)) == {"ingested": 1, "quarantined": 1}
+    assert (corpus.root / "processed" / "inbox" / "a" / "same-1.md").exists() and len(list((corpus.root / "quarantine").rglob("bad-2.md"))) == 1
+    assert not [p for p in box.rglob("*") if p.is_file()]
+    assert engine.read("manifest").where("destination is null").count() == 0
+
+
+def test_moves_say_what_went_wrong(spark, tmp_path):
+    from loomgraph.sinks import move_files, write_texts
+
+    assert [r["path"] for r in write_texts(spark.createDataFrame([("a/b.md", "x"), (None, "y")], "path string, markdown string"), str(tmp_path)).collect()] == ["a/b.md"]
+    (tmp_path / "t.md").write_text("there")
+    moves = spark.createDataFrame([("a/b.md", "t.md"), ("gone", "new"), ("a/b.md", "c/d.md")], "source string, target string").coalesce(1)
+    errors = {r["target"]: r["error"] for r in move_files(moves, str(tmp_path)).collect()}
+    assert "FileExistsError" in errors["t.md"] and "FileNotFoundError" in errors["new"] and errors["c/d.md"] is None
+    again = move_files(moves.where("target = 'c/d.md'"), str(tmp_path)).collect()
+    assert again[0]["error"] is None and (tmp_path / "c" / "d.md").read_text() == "x"
+
+
+def test_publishers_are_asked_once(spark, tmp_path):
+    from loomgraph.sources import publishers as pu
+
+    files = spark.createDataFrame([("2401.00001v1.pdf",), ("2401.00002.pdf",), ("2023.05.06.123456.full.pdf",), ("note.md",)], "filename string")
+    asked = pu.wanted(files)
+    assert {(r["kind"], r["key"]) for r in asked.collect()} == {("arxiv", "2401.00001"), ("arxiv", "2401.00002"), ("biorxiv", "10.1101/2023.05.06.123456")}
+    calls = tmp_path / "calls"
+
+    def fetch(kind, key):
+        with calls.open("a") as f:
+            f.write(f"{key}\n")
+        if key == "2401.00001" and calls.read_text().count(key) < 3:
+            raise pu.TooManyRequests
+        if key == "2401.00002":
+            raise OSError
+        return '{"collection": [{"title": "T", "authors": "A B;", "date": "2023-01-01"}]}' if kind == "biorxiv" else "<feed><entry><title>X</title></entry></feed>"
+
+    waits = tmp_path / "waits"
+
+    def wait(seconds):
+        with waits.open("a") as f:
+            f.write(f"{seconds} ")
+
+    bodies = pu.fetched(asked.coalesce(1), fetch, lambda kind, key: F.concat(F.lit("https://x.org/"), key), wait=wait).cache()
+    got = {r["filename"]: (r["record"]["title"], r["record"]["source"]) for r in pu.records(asked, bodies).collect()}
+    assert got == {"2401.00001v1.pdf": ("X", "arxiv"), "2023.05.06.123456.full.pdf": ("T", "biorxiv")} and waits.read_text().split() == ["2.0", "4.0"]
+    cached = {r["record"]["source"] for r in pu.records(asked, bodies.where("false"), bodies).collect()}
+    assert cached == {"arxiv_cache", "biorxiv_cache"}
+    assert pu.fetched(asked, fetch, lambda kind, key: F.lit("http://localhost/"), wait=wait).count() == 0
+
+
+def test_command_line(tmp_path, capsys, monkeypatch):
+    from loomgraph import cli
+
+    monkeypatch.chdir(tmp_path)
+    assert cli.main(["init", str(tmp_path / "c")]) == 0
+    capsys.readouterr()
+    assert cli.main(["semantic-extract", "--corpus", str(tmp_path / "c")]) == 2 and "--model" in capsys.readouterr().err
+    assert cli.main(["eval", "graph", "--corpus", str(tmp_path / "c"), "--judge", "no.such:thing"]) == 2 and "no such function" in capsys.readouterr().err
+    assert cli.named("json:dumps") is json.dumps
+    with pytest.raises(SystemExit):
+        cli.main(["eval"])
+    assert cli.parser().parse_args(["eval", "ragas", "--k", "3"]).what == "ragas" and cli.parser().parse_args(["publish", "--to", "x", "--archive"]).archive
+
+
 def test_graph_version_is_checked(spark, tmp_path):
     n = spark.createDataFrame([("a",)], "node_id string")
     tb.save_graph(n, n, str(tmp_path / "g"))
