@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 #: Places of the hashed n-grams; a text of 3000 n-grams loses about 4 to shared places.
 GRAMS = 1 << 20
+#: Cells of the table that one product gathers, about.
+PRODUCT_CELLS = 1 << 21
 PER_LANGUAGE = 200
 LANDMARKS = 32
 #: Training rows in all: with very many languages each has fewer.
@@ -103,7 +105,7 @@ def fit(rows: list[tuple[str, bytes]], landmarks: int = LANDMARKS, ridge: float
     keep = values > 1e-8 * values.max()
     nystrom = vectors[:, keep] / np.sqrt(values[keep])
     phi = kernel @ nystrom
-    weights = np.linalg.solve(phi.T @ phi + ridge * len(x) * np.eye(phi.shape[1]), phi.T @ y)
+    weights = np.linalg.solve(phi.T @ phi + ridge * len(rows) * np.eye(phi.shape[1]), phi.T @ y)
     # the kernel is linear in a text's flags, so landmarks and weights fold into one table
     folded = ((nystrom @ weights) / size[picked][:, None]).astype(np.float32)
     table = np.concatenate([*[marks[:, p].astype(np.float32).T @ folded for p in parts], np.zeros((1, len(langs)), np.float32)])
@@ -118,6 +120,20 @@ def predict(model: dict, texts: list[str | None]) -> tuple[list[str], list[float
     if not model["langs"]:
         return names, scores
     column, table, seen = model["column"], model["table"], np.zeros(GRAMS, bool)
+    sums, sizes = np.zeros((len(texts), len(model["langs"]))), np.zeros(len(texts))
+    most = max(1, PRODUCT_CELLS // len(model["langs"]))
+    owners: list[int] = []
+    parts: list[np.ndarray] = []
+
+    def multiply() -> None:
+        """Add the gathered flags, a sparse matrix, times the table."""
+        if parts:
+            heads = np.cumsum([0, *map(len, parts)])[:-1]
+            np.add.at(sums, owners, np.add.reduceat(table[np.concatenate(parts)], heads, axis=0, dtype=np.float64))
+        owners.clear()
+        parts.clear()
+
+    held = 0
     for i, t in enumerate(texts):
         if not has_letter(t):
             continue
@@ -125,9 +141,18 @@ def predict(model: dict, texts: list[str | None]) -> tuple[list[str], list[float
         seen[codes] = True
         own = np.flatnonzero(seen)
         seen[codes] = False
-        f = table[column[own]].sum(axis=0, dtype=np.float64) / np.sqrt(len(own))
-        best = f.argmax()
-        names[i], scores[i] = model["langs"][best], float(min(1.0, max(0.0, f[best])))
+        sizes[i] = len(own)
+        for at in range(0, len(own), most):  # a very long text takes several products
+            owners.append(i)
+            parts.append(column[own[at : at + most]])
+            held += len(parts[-1])
+            if held >= most:
+                multiply()
+                held = 0
+    multiply()
+    for i in np.flatnonzero(sizes).tolist():
+        f = sums[i] / np.sqrt(sizes[i])
+        names[i], scores[i] = model["langs"][int(f.argmax())], float(min(1.0, max(0.0, f.max())))
     return names, scores
 
 
@@ -170,7 +195,10 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, us
 
 
 def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score), one row per row of ``docs``. Map only; reads id and text."""
+    """(id, lang_pred, score), one row per row of ``docs``. Texts are read whole, equal ones are
+    scored alike, and of languages that score the same the first by name stays; null, empty
+    and letterless texts are ``und`` with 0. A null id stays null; an empty table gives an empty
+    table. Map only; reads id and text."""
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     kind = docs.schema[id_col].dataType.simpleString()
 

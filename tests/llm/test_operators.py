@@ -113,6 +113,41 @@ def test_string_kernel_equals_sets_of_other_scripts():
     assert len(x & y) == len(grams(a) & grams(b)) and len(x) == len(grams(a))
 
 
+def test_language_scores_equal_kernel_ridge_regression(monkeypatch):
+    """Every kernel value, the Nyström features and the ridge solution written out."""
+    import zlib as z
+
+    monkeypatch.setattr(language_id, "FIT_ROWS", 7)
+    monkeypatch.setattr(language_id, "PRODUCT_CELLS", 100)
+    r = random.Random(6)
+    letters = {"a": "abcdefgh", "b": "efghijkl", "c": "жзиклмно"}
+    made = [(k, " ".join("".join(r.choices(letters[k], k=5)) for _ in range(12))) for k in "abc" * 10]
+    grams = lambda s: set(language_id.gram_codes(s).tolist())
+    kernel = lambda s, t: len(grams(s) & grams(t)) / (len(grams(s)) * len(grams(t))) ** 0.5
+
+    def bits(t):
+        seen = np.zeros(language_id.GRAMS, bool)
+        seen[language_id.gram_codes(t)] = True
+        return z.compress(np.packbits(seen).tobytes())
+
+    model = language_id.fit([(k, bits(t)) for k, t in made], landmarks=4, ridge=0.01)
+    marks = [t for k in "abc" for t in [t for own, t in made if own == k][:4]]
+    kmm = np.array([[kernel(s, t) for t in marks] for s in marks])
+    values, vectors = np.linalg.eigh(kmm)
+    root = vectors / np.sqrt(values)
+    phi = np.array([[kernel(t, m) for m in marks] for _, t in made]) @ root
+    y = np.array([[float(k == c) for c in "abc"] for k, _ in made])
+    w = np.linalg.solve(phi.T @ phi + 0.01 * len(made) * np.eye(len(marks)), phi.T @ y)
+    asked = [t for _, t in made[:6]] + ["abc жзи", "efgh", "1 a", None, ""]
+    names, scores = language_id.predict(model, asked)
+    for t, name, score in zip(asked, names, scores, strict=True):
+        if not t:
+            assert (name, score) == ("und", 0.0)
+            continue
+        f = np.array([kernel(t, m) for m in marks]) @ root @ w
+        assert name == "abc"[f.argmax()] and score == pytest.approx(min(1.0, max(0.0, f.max())), abs=1e-4)
+
+
 def test_string_kernel_equals_sets():
     a, b = "banana bandana", "Ananas"
     grams = lambda s: {s.lower()[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1)}
