@@ -4,10 +4,11 @@ A document is the set of its five-word shingles. ProbMinHash lets every shingle
 Poisson process whose rate is its weight; each arrival falls on a random register, and a
 register keeps the shingle that reached it first. A shingle stops once its next arrival is
 later than every register, so few arrivals are drawn beyond the first. Two registers agree
-with the probability Jaccard similarity of the weighted sets. Every shingle has the weight
-1, however often a document repeats it, so this is the Jaccard similarity of the sets, the
-measure that decides. Registers are grouped to bands; documents that share a band are
-candidates, and the Jaccard similarity of their shingle sets is computed exactly.
+with the probability Jaccard similarity of the weighted sets, and that same similarity
+decides: registers are grouped to bands, documents that share a band are candidates, and
+the probability Jaccard similarity of a candidate pair is computed exactly. A shingle's
+weight is 1, however often a document repeats it - the similarity is then the Jaccard
+similarity of the sets - or, ``weighted``, the number of times that it occurs.
 
 Copies with the same words are one class before banding, and the pairs of a bucket are not
 listed. All buckets with the same smallest member - their leader - form a group. (1) Each
@@ -118,32 +119,72 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
-        for at in range(0, len(texts), 256):
-            lists = [tokens(t) for t in texts[at : at + 256]]
+def weighted_set(words: list[str], weighted: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles, sorted, and their weights."""
+    elem, n = np.unique(shingles(words), return_counts=True)
+    return elem, n.astype(np.float64) if weighted else np.ones(len(elem))
+
+
+def probability_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
+    """The chance that the sketches of two weighted sets agree in a register: the sum over common
+    elements i of 1 / sum over all j of max(x_j / x_i, y_j / y_i). The inner sums come from
+    running sums in the order of x_j / y_j."""
+    both, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
+    if not len(both):
+        return 0.0
+    ratio = x[1][i] / y[1][j]
+    order = np.argsort(ratio)
+    ratio, xs, ys = ratio[order], x[1][i][order], y[1][j][order]
+    only_x, only_y = x[1].sum() - xs.sum(), y[1].sum() - ys.sum()
+    # those at or above the own ratio count by x, those under it by y
+    first = np.searchsorted(ratio, ratio, side="left")
+    above = xs.sum() - np.r_[0.0, np.cumsum(xs)][first] + only_x
+    under = np.r_[0.0, np.cumsum(ys)][first] + only_y
+    return float((xs / (above + ratio * under)).sum())
+
+
+def _sketches(weighted: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for at in range(0, len(texts), 256):
+                lists = [tokens(t) for t in texts[at : at + 256]]
+                keys = [xxhash.xxh128_digest("\x1f".join(w)) if w else None for w in lists]
+                bands = band_keys(sketch([weighted_set(w, weighted) for w in lists]))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, len(lists)), pa.array(keys, pa.binary()),
+                     pa.array([row.tolist() if w else None for row, w in zip(bands, lists, strict=True)], pa.list_(pa.int64()))],
+                    names=["id", "key", "bands"])
+    return run
+
+
+def _sets(weighted: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [tokens(t) for t in batch.column(1).to_pylist()]
             keys = [xxhash.xxh128_digest("\x1f".join(w)) if w else None for w in lists]
-            sets = [np.unique(shingles(w)) for w in lists]
-            bands = band_keys(sketch([(x, np.ones(len(x))) for x in sets]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(at, len(lists)), pa.array(keys, pa.binary()),
-                 pa.array([row.tolist() if w else None for row, w in zip(bands, lists, strict=True)], pa.list_(pa.int64()))],
-                names=["id", "key", "bands"])
+            sets = [weighted_set(w, weighted) for w in lists]
+            offsets = pa.array(np.cumsum([0, *(len(e) for e, _ in sets)]), pa.int32())
+            columns = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([e.view(np.int64) for e, _ in sets]) if sets else [], pa.int64()))]
+            if weighted:
+                columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([w for _, w in sets]) if sets else [], pa.float64())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), *columns], names=["id", "key", "shingles", *(["weights"] if weighted else [])])
+    return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = [tokens(t) for t in batch.column(1).to_pylist()]
-        keys = [xxhash.xxh128_digest("\x1f".join(w)) if w else None for w in lists]
-        sets = [np.unique(shingles(w)).view(np.int64) for w in lists]
-        offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets) if sets else [], pa.int64()))],
-                                         names=["id", "key", "shingles"])
+def _similar(x: pd.Series, wx: pd.Series, y: pd.Series, wy: pd.Series) -> pd.Series:
+    return pd.Series([probability_jaccard((a, v), (b, w)) for a, v, b, w in zip(x, wx, y, wy, strict=True)], dtype="float64")
+
+
+_similar.__annotations__ = dict.fromkeys(("x", "wx", "y", "wy", "return"), pd.Series)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The (a, b) pairs whose shingle sets have the Jaccard similarity asked for."""
+    """The (a, b) pairs whose shingle sets have the similarity asked for."""
+    if "weights" in sets.columns:
+        left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"), F.col("weights").alias("wx")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"), F.col("weights").alias("wy"))
+        same = F.pandas_udf(_similar, "double")("x", "wx", "y", "wy")
+        return pairs.join(right, "b").join(left, "a").where(same >= F.lit(threshold) - 1e-9).select("a", "b")
     left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     joined = pairs.join(right, "b").join(left, "a")
@@ -165,14 +206,20 @@ def _tile(threshold: float, kind: str):
         starts = np.r_[0, np.cumsum(sizes)[:-1]]
         ids, comps = every["rep"].to_numpy(), every["component"].to_numpy()
         flags, found = np.zeros(len(vocab), np.int32), ([], [])
-        for rep, comp, own in zip(outside["rep"], outside["component"], outside["shingles"], strict=True):
+        others, weights = every["shingles"].to_numpy(), every["weights"].to_numpy() if "weights" in every else None
+        for rep, comp, own, mine in zip(outside["rep"], outside["component"], outside["shingles"], outside["weights"] if weights is not None else outside["rep"], strict=True):
             at = np.searchsorted(vocab, own)
             at = at[(at < len(vocab))]
             at = at[np.isin(vocab[at], own)]
             flags[at] = 1
             common = np.add.reduceat(flags[where], starts)  # with each of the others, exactly
             flags[at] = 0
-            near = (common >= threshold * (len(own) + sizes - common) - 1e-9) & (comps != comp)
+            if weights is None:
+                near = (common >= threshold * (len(own) + sizes - common) - 1e-9) & (comps != comp)
+            else:
+                near = (common > 0) & (comps != comp)
+                for k in np.flatnonzero(near).tolist():
+                    near[k] = probability_jaccard((own, mine), (others[k], weights[k])) >= threshold - 1e-9
             found[0].extend([rep] * int(near.sum()))
             found[1].extend(ids[near].tolist())
         kept = spanning(*found)
@@ -180,7 +227,7 @@ def _tile(threshold: float, kind: str):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
     """(id, class_id, kept), one row per row of ``docs``.
 
     class_id is the smallest id of the documents linked to this one by Jaccard similarity
@@ -190,13 +237,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words share a class; rows that repeat an id with other texts have each text's class, and are
     kept where it is their id. Ids may be whole numbers or strings. Texts of any length are
     read whole; an empty table gives an empty table. Other columns of ``docs`` are not read.
+
+    ``weighted`` counts a shingle as often as a text repeats it, in the sketch and in what
+    decides alike: two texts that differ by one passage said a hundred times are then far apart,
+    which without it they are not.
     """
     spark = docs.sparkSession
     bound_arrow(spark)
     stage = Stage(spark, "near-documents")
     kind = id_kind(docs, id_col)
     base = docs.select(F.col(id_col).cast(kind).alias("id"), F.col(text_col).alias("text"))
-    sketched = stage.write(base.mapInArrow(_sketches, f"id {kind}, key binary, bands array<long>"), "sketches")
+    sketched = stage.write(base.mapInArrow(_sketches(weighted), f"id {kind}, key binary, bands array<long>"), "sketches")
     # classes of equal words, each with the bands of its smallest id
     classes = stage.write(sketched.where("key is not null and id is not null").groupBy("key").agg(F.min(F.struct("id", "bands")).alias("first"))
                           .select("key", F.col("first.id").alias("rep"), F.col("first.bands").alias("bands")), "classes")
@@ -207,8 +258,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     few = needed.count() <= BROADCAST_IDS
     held = base.join(F.broadcast(needed) if few else needed, "id", "left_semi")
     # an id has a set for each of its texts; repeats of a set link nothing more
-    held = held.mapInArrow(_sets, f"id {kind}, key binary, shingles array<long>")
-    sets = stage.write((held if few else held.dropDuplicates(["id", "key"])).select("id", "shingles"), "sets")
+    more = ["weights"] if weighted else []
+    held = held.mapInArrow(_sets(weighted), f"id {kind}, key binary, shingles array<long>" + ", weights array<double>" * weighted)
+    sets = stage.write((held if few else held.dropDuplicates(["id", "key"])).select("id", "shingles", *more), "sets")
     stars = stage.write(members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     stage.drop("members")
     links = stage.write(_verified(stars, sets, threshold), "links-of-leaders")
@@ -231,9 +283,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spot = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     rows = open_groups.where("outside").select("a", "rep", "component", "outside", spot(F.col("ti")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("tj") - 1)).alias("j")).unionByName(
         open_groups.select("a", "rep", "component", F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("ti") - 1)).alias("i"), spot(F.col("tj")).alias("j")))
-    tiles = rows.join(sets, F.col("rep") == F.col("id")).select("a", "i", "j", "rep", "component", "outside", "shingles")
-    more = stage.write(tiles.groupBy("a", "i", "j").applyInPandas(_tile(threshold, kind), f"a {kind}, b {kind}"), "links-across")
-    final = stage.write(components(links.unionByName(more), stage), "components-2")
+    tiles = rows.join(sets, F.col("rep") == F.col("id")).select("a", "i", "j", "rep", "component", "outside", "shingles", *more)
+    found = stage.write(tiles.groupBy("a", "i", "j").applyInPandas(_tile(threshold, kind), f"a {kind}, b {kind}"), "links-across")
+    final = stage.write(components(links.unionByName(found), stage), "components-2")
     of_class = classes.select("key", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("key").alias("ck"), F.coalesce("component", "rep").alias("class_id"))
     for name in ("needed", "sets", "stars", "links-of-leaders", "components-1", "groups", "told", "open", "links-across"):

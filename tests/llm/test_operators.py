@@ -700,6 +700,46 @@ def test_string_ids_of_vectors_and_documents(spark):
     assert {x["doc_id"]: x["class_id"] for x in near_dedup.near_duplicates(named).collect()} == {f"d{i:02d}": f"d{same[i]:02d}" for i in range(len(texts))}
 
 
+def brute_probability_jaccard(x, y):
+    return sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in x.keys() | y.keys()) for i in x.keys() & y.keys())
+
+
+@settings(max_examples=200, deadline=None)
+@given(*[st.dictionaries(st.integers(0, 12), st.integers(1, 9), min_size=1, max_size=10)] * 2)
+def test_probability_jaccard(x, y):
+    arrays = lambda d: (np.array(sorted(d), np.uint64), np.array([d[k] for k in sorted(d)], float))
+    assert near_dedup.probability_jaccard(arrays(x), arrays(y)) == pytest.approx(brute_probability_jaccard(x, y))
+    ones = lambda d: (arrays(d)[0], np.ones(len(d)))
+    assert near_dedup.probability_jaccard(ones(x), ones(y)) == pytest.approx(len(x.keys() & y.keys()) / len(x.keys() | y.keys()))
+
+
+def test_sketches_agree_as_the_weights_say():
+    r = random.Random(8)
+    x = {i: r.randint(1, 6) for i in range(60)}
+    y = {**{i: x[i] if i % 4 else r.randint(1, 6) for i in range(50)}, **{i: 2 for i in range(60, 66)}}
+    arrays = lambda d: (near_dedup._mix(np.array(sorted(d), np.uint64)), np.array([d[k] for k in sorted(d)], float))
+    z = near_dedup.sketch([arrays(x), arrays(y)], 20_000)
+    assert (z[0] == z[1]).mean() == pytest.approx(brute_probability_jaccard(x, y), abs=0.02)
+
+
+def test_weighted_near_duplicates_brute_force(spark):
+    r = random.Random(12)
+    base = [text(r, 150).split() for _ in range(4)]
+    texts = [" ".join([*b[:k], *b[k + 1 :], *["spam and eggs"] * n]) for b in base for k, n in ((0, 0), (1, 0), (2, 1), (75, 0), (149, 60), (148, 60))]
+    texts += ["spam " * 1000 + " ".join(base[0])]
+    sets = [collections.Counter(near_dedup.shingles(near_dedup.tokens(t)).tolist()) for t in texts]
+    parent = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if brute_probability_jaccard(sets[a], sets[b]) >= 0.8:
+                x, y = parent[a], parent[b]
+                parent = [min(x, y) if p in (x, y) else p for p in parent]
+    got = rows(near_dedup.near_duplicates(docs(spark, texts), weighted=True))
+    assert [got[i]["class_id"] for i in range(len(texts))] == parent
+    plain = rows(near_dedup.near_duplicates(docs(spark, texts)))
+    assert plain[len(texts) - 1]["class_id"] == 0 != got[len(texts) - 1]["class_id"]
+
+
 @pytest.mark.parametrize("shingled", [50, 1 << 20])
 def test_tiles_of_long_texts_are_smaller(spark, monkeypatch, shingled):
     monkeypatch.setattr(near_dedup, "TILE_SHINGLES", shingled)
