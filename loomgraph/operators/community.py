@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from enum import IntEnum
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -131,6 +131,16 @@ class BlockModelBackend:
         raise RuntimeError("no block-model library is installed")
 
 
+def ranked(df: DataFrame, *order: Column) -> DataFrame:
+    """With ``rank`` from 0 in the order given. Rows are sorted by ranges, so no task holds them
+    all, and a row's rank is its place in its range after the rows of the ranges before."""
+    made = Stage(df.sparkSession, "ranks").write(df.orderBy(*order).withColumn("place", F.monotonically_increasing_id()), "sorted")
+    made = made.withColumns({"part": F.shiftright("place", 33), "place": F.col("place").bitwiseAND(F.lit((1 << 33) - 1))})
+    before = made.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row a range
+    before = before.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    return made.join(F.broadcast(before), "part").withColumn("rank", F.col("place") + F.col("before")).drop("place", "before", "part")
+
+
 def numbered(paths: DataFrame) -> DataFrame:
     """(node_id, community_id, path) of named paths: the communities of each level are
     numbered from 0 by size, largest first, then name."""
@@ -139,8 +149,7 @@ def numbered(paths: DataFrame) -> DataFrame:
     for level in range(depth):
         name = F.col("names").getItem(level)
         sizes = paths.groupBy(name.alias(f"name{level}")).agg(F.count(F.lit(1)).alias("s"))
-        # one row a community; communities are far fewer than nodes
-        ids = sizes.select(f"name{level}", (F.row_number().over(Window.orderBy(F.desc("s"), f"name{level}")) - 1).cast("int").alias(f"id{level}"))
+        ids = ranked(sizes, F.desc("s"), F.asc(f"name{level}")).select(f"name{level}", F.col("rank").cast("int").alias(f"id{level}"))
         out = out.join(ids, name == F.col(f"name{level}"), "left").drop(f"name{level}")
     path = F.array(*[F.col(f"id{level}") for level in range(depth)]) if depth else F.array().cast("array<int>")
     return out.select("node_id", F.element_at(path, 1).alias("community_id"), path.alias("path"))
@@ -168,15 +177,25 @@ class Router:
 
 # --- stable ids -----------------------------------------------------------------------------
 
+#: Pairs of a new and an old community that the driver may settle (about 100 bytes each).
+CLAIMS = 5_000_000
+
+
 def greedy_ids(sizes: list[tuple[int, int, str]], overlaps: dict[tuple[int, int], int], reserved: list[int]) -> dict[int, int]:
     """new id -> stable id. ``sizes``: (new id, members, smallest member). By size, each
     claims the unclaimed old id with most members in common, ties to the lower; the rest
     get ids above all old ones, in order of their new ids."""
     taken: dict[int, int] = {}
+    claimed: set[int] = set()
+    wishes: dict[int, list[tuple[int, int]]] = {}
+    for (new, old), n in overlaps.items():
+        if n > 0:
+            wishes.setdefault(new, []).append((-n, old))
     for new, _, _ in sorted(sizes, key=lambda s: (-s[1], s[2])):
-        options = [(-n, old) for (c, old), n in overlaps.items() if c == new and n > 0 and old not in taken.values()]
+        options = [w for w in wishes.get(new, ()) if w[1] not in claimed]
         if options:
             taken[new] = min(options)[1]
+            claimed.add(taken[new])
     fresh = max(reserved, default=-1) + 1
     for i, new in enumerate(sorted(s[0] for s in sizes if s[0] not in taken)):
         taken[new] = fresh + i
@@ -185,8 +204,11 @@ def greedy_ids(sizes: list[tuple[int, int, str]], overlaps: dict[tuple[int, int]
 
 def remap_to_previous(new: DataFrame, old: DataFrame) -> DataFrame:
     """The new partition under the old partition's ids. Overlaps are counted in Spark; the
-    claims are settled on the driver over one row a community."""
-    both = new.join(old.select("node_id", F.col("community_id").alias("old_id")), "node_id").groupBy("community_id", "old_id").agg(F.count(F.lit(1)).alias("n")).collect()
+    claims hang on each other and are settled on the driver, over a row a community and a row
+    for each two that share members. More than CLAIMS of those are an error."""
+    both = new.join(old.select("node_id", F.col("community_id").alias("old_id")), "node_id").groupBy("community_id", "old_id").agg(F.count(F.lit(1)).alias("n")).limit(CLAIMS + 1).collect()
+    if len(both) > CLAIMS:
+        raise ValueError(f"over {CLAIMS} pairs of old and new communities share members")
     sizes = [tuple(r) for r in new.groupBy("community_id").agg(F.count(F.lit(1)), F.min("node_id")).collect()]
     reserved = [r[0] for r in old.select("community_id").distinct().collect()]
     ids = greedy_ids(sizes, {(r[0], r[1]): r[2] for r in both}, reserved)

@@ -12,6 +12,8 @@ from ..stage import Stage
 from .components import components as _components
 
 SUMMARY_WEIGHT, CITE_WEIGHT = 10.0, 5.0
+#: Documents of one entity that one task pairs.
+HOT = 5000
 RELATION = {"author": "authored_by", "citation": "cites", "topic": "about"}
 
 
@@ -72,11 +74,11 @@ def relation_of(kind: Column) -> Column:
 def co_mentions(entities: DataFrame) -> DataFrame:
     """(doc_id, a, b) of the distinct entity keys that a document mentions, a < b.
 
-    The pairs come out of one array a document, without a self-join's shuffle; a document's
-    entities are its own few, and the pairs are asked for."""
+    The pairs come out of a document's own array, one key at a time, without a self-join's
+    shuffle; a document's entities are its own few, and the pairs are asked for."""
     sets = entities.groupBy("doc_id").agg(F.array_sort(F.collect_set("key")).alias("k"))
-    pairs = F.flatten(F.transform("k", lambda x, i: F.transform(F.slice(F.col("k"), i + 2, F.greatest(F.size("k") - i - 1, F.lit(0))), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return sets.select("doc_id", F.explode(pairs).alias("p")).select("doc_id", "p.a", "p.b")
+    each = sets.select("doc_id", "k", F.posexplode("k").alias("i", "a"))  # a row a key, then its pairs: no row holds all of them
+    return each.select("doc_id", "a", F.explode(F.slice("k", F.col("i") + 2, F.size("k"))).alias("b"))
 
 
 def build_graph(docs: DataFrame, entities: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -124,14 +126,19 @@ def semantic_edges(pairs: DataFrame) -> DataFrame:
 def project(edges: DataFrame, max_df: int | None = None) -> DataFrame:
     """(a, b, weight): documents linked by shared entities (1 each) and by direct edges.
 
-    The self-join is on the entity; AQE splits an entity that many documents share.
-    ``max_df`` leaves out entities of more documents; by default none is."""
+    The self-join is on the entity. An entity of more than HOT documents is cut to blocks of
+    about that many, and every two blocks are a key of their own, so its pairs are made by many
+    tasks. ``max_df`` leaves out entities of more documents; by default none is."""
     is_doc = lambda c: F.col(c).startswith(ids.DOC)
     touch = edges.where(is_doc("src") & ~is_doc("dst")).select(F.col("src").alias("d"), F.col("dst").alias("e")).unionByName(
         edges.where(is_doc("dst") & ~is_doc("src")).select(F.col("dst").alias("d"), F.col("src").alias("e"))).distinct()
     if max_df is not None:
         touch = touch.join(touch.groupBy("e").count().where(F.col("count") <= max_df).select("e"), "e", "left_semi")
-    shared = touch.select("e", F.col("d").alias("a")).join(touch.select("e", F.col("d").alias("b")), "e").where("a < b").select("a", "b", F.lit(1.0).alias("weight"))
+    hot = touch.groupBy("e").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("e", F.ceil(F.col("n") / HOT).cast("int").alias("n"))
+    cut = touch.join(hot, "e", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("k", F.pmod(F.xxhash64("d"), F.col("n")).cast("int"))
+    left = cut.select("e", F.col("d").alias("a"), F.col("k").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
+    right = cut.select("e", F.col("d").alias("b"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"), F.col("k").alias("j"))
+    shared = left.join(right, ["e", "i", "j"]).where("a < b").select("a", "b", F.lit(1.0).alias("weight"))
     w = (F.when(F.col("relation") == "shares_summary_with", SUMMARY_WEIGHT * F.coalesce("similarity", F.lit(1.0)))
          .when(F.col("relation") == "cites", F.lit(CITE_WEIGHT)).otherwise(F.lit(1.0)))
     direct = edges.where(is_doc("src") & is_doc("dst") & (F.col("src") != F.col("dst"))).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), w.alias("weight"))

@@ -181,6 +181,22 @@ def test_bands(spark, cos, outcome):
     assert spark.range(1).select(vx.band(F.lit(cos)).alias("b")).first()["b"] == outcome
 
 
+def test_hot_entities_are_cut(spark, monkeypatch):
+    edges = spark.createDataFrame([(f"doc::{i:02d}", f"topic::{t}", "about", None) for i in range(25) for t in range(4) if t == 0 or i % (t + 1) == 0], "src string, dst string, relation string, similarity double")
+    whole = {(r["a"], r["b"]): r["weight"] for r in gx.project(edges).collect()}
+    monkeypatch.setattr(gx, "HOT", 4)
+    cut = {(r["a"], r["b"]): r["weight"] for r in gx.project(edges).collect()}
+    assert cut == whole and len(whole) == 300
+
+
+def test_ranks_by_ranges(spark):
+    rows = [(i * 7919 % 501, f"n{i % 13}") for i in range(500)]
+    df = spark.createDataFrame(rows, "s int, name string").repartition(9)
+    got = sorted((r["rank"], r["s"], r["name"]) for r in cm.ranked(df, F.desc("s"), F.asc("name")).collect())
+    want = sorted(rows, key=lambda r: (-r[0], r[1]))
+    assert [(s, n) for _, s, n in got] == want and [r for r, _, _ in got] == list(range(500))
+
+
 def test_duplicates_of_string_ids(spark):
     v = spark.createDataFrame([("c", [1.0, 0.0]), ("b", [1.0, 0.0]), ("a", [1.0, 0.01]), ("d", [0.0, 1.0])], "id string, vec array<double>")
     got = {r["id"]: (r["neighbour"], r["outcome"]) for r in vx.classify_duplicates(v, v, "id", "vec").collect()}
