@@ -75,7 +75,7 @@ class ByteBPE:
 
     def words(self, text: str) -> list[str]:
         """The words that merges never cross; special strings are words of their own."""
-        if self._split and "<|" in text:
+        if self._split and any(s in text for s in self.special):
             out: list[str] = []
             for part in self._split.split(text):
                 out += [part] if part in self.special else self._plain(part)
@@ -213,9 +213,16 @@ class Lexicon:
 
 
 def mapped(blob: bytes) -> Lexicon:
-    """The automaton as a memory-mapped file of this machine, named by its content."""
-    path = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(blob).hexdigest()[:20]}.bin")
-    if not os.path.exists(path):
+    """The automaton as a memory-mapped file of this machine, named by its content. It is a copy of
+    the broadcast blob for the mapping's sake, checked when a process opens it and made again where
+    it is gone or not whole."""
+    digest = hashlib.sha256(blob).hexdigest()
+    path = os.path.join(tempfile.gettempdir(), f"lexicon-{digest[:20]}.bin")
+    whole = False
+    if os.path.exists(path):
+        with open(path, "rb") as f:
+            whole = hashlib.file_digest(f, "sha256").hexdigest() == digest
+    if not whole:
         with tempfile.NamedTemporaryFile(dir=tempfile.gettempdir(), delete=False) as f:
             f.write(blob)
         os.replace(f.name, path)
@@ -283,7 +290,8 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, lexicon: bytes, id_col:
     """(id, n_tokens, ids, decoded), one row per row of ``docs``; with ``digests`` the
     SHA-256 of the ids (little-endian, 32 bits each) and of the decoded text instead.
 
-    Null counts as empty: no ids, empty text. ``lexicon`` is bounded by LEXICON_WORDS, so
+    Null counts as empty: no ids, empty text. Texts of any length are encoded whole, repeated rows
+    each; an empty table gives an empty table. ``lexicon`` is bounded by LEXICON_WORDS, so
     its broadcast does not grow with the corpus. Map only; other columns are not read.
     """
     spark = docs.sparkSession
