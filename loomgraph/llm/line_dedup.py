@@ -54,23 +54,25 @@ def drop_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str =
     ``n_lines`` and ``n_dropped`` (non-blank lines before, and lines dropped).
 
     Blank lines stay. A null text stays null, with 0 lines; an empty table gives an
-    empty table. Columns of ``docs`` that are not named here pass through; columns
-    named ``n_lines`` or ``n_dropped`` are replaced.
+    empty table; texts of any length are filtered whole, each in its own row. Columns of
+    ``docs`` that are not named here pass through; columns named ``n_lines`` or
+    ``n_dropped`` are replaced.
     """
+    site, marked_by, left = (next(n for k in range(len(docs.columns) + 1) if (n := f"{c}_{k}") not in docs.columns) for c in ("site", "marks", "kept"))
     marks = site_boilerplate(docs, site_col, text_col, max_ratio, min_pages).select(
-        F.col("site").alias("__site"), F.col("boilerplate").alias("__marks"))
+        F.col("site").alias(site), F.col("boilerplate").alias(marked_by))
     marks = Stage(docs.sparkSession, "boilerplate").write(marks, "lines")
-    n = marks.agg(F.coalesce(F.sum(F.size("__marks")), F.lit(0))).first()[0]
+    n = marks.agg(F.coalesce(F.sum(F.size(marked_by)), F.lit(0))).first()[0]
     side = F.broadcast(marks) if n <= BROADCAST_LINES else marks
-    joined = docs.join(side, docs[site_col].eqNullSafe(marks["__site"]), "left")
+    joined = docs.join(side, docs[site_col].eqNullSafe(marks[site]), "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    marked = F.coalesce(F.col("__marks"), F.array().cast(marks.schema["__marks"].dataType))
+    marked = F.coalesce(F.col(marked_by), F.array().cast(marks.schema[marked_by].dataType))
     kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(marked, _key(x)))
-    out = joined.withColumn("__kept", kept).withColumns({
+    out = joined.withColumn(left, kept).withColumns({
         "n_lines": F.coalesce(F.size(F.filter(lines, lambda x: F.trim(x) != "")), F.lit(0)),
-        "n_dropped": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines) - F.size("__kept")),
+        "n_dropped": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines) - F.size(left)),
     })
-    return out.withColumn(text_col, F.array_join("__kept", "\n")).drop("__kept", "__marks", "__site")
+    return out.withColumn(text_col, F.array_join(left, "\n")).drop(left, marked_by, site)
 
 
 #: The result of op1 in DuckDB SQL over {docs}.

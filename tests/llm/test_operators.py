@@ -54,6 +54,20 @@ def test_line_dedup_brute_force(spark):
         assert got[i]["id"] == "clash"
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    d = spark.createDataFrame([(i, "same\nown line %d" % i, "s", 1, 2, 3) for i in range(5)], "doc_id long, text string, source string, site_0 int, marks_0 int, kept_0 int")
+    out = line_dedup.drop_boilerplate(d)
+    assert set(d.columns) <= set(out.columns) and {(r["site_0"], r["marks_0"], r["kept_0"], r["n_dropped"]) for r in out.collect()} == {(1, 2, 3, 1)}
+
+
+def test_broken_lexicon_files_are_made_again():
+    blob = bpe.compile_lexicon({b"un": [1], b"do": [2, 3]})
+    place = bpe.os.path.join(bpe.tempfile.gettempdir(), f"lexicon-{hashlib.sha256(blob).hexdigest()[:20]}.bin")
+    with open(place, "wb") as f:
+        f.write(blob[:7])
+    assert bpe.mapped(blob).get(b"do") == [2, 3] and bpe.mapped(blob).get(b"un") == [1]
+
+
 # --- 2 language id, 4 quality -------------------------------------------------------------
 
 def test_language_id_learns_and_handles_odd_texts(spark):
