@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where
-    that is unset (tests on one machine), a temporary folder set for the session."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset
+    and all runs on one machine, a temporary folder set for the session. On a cluster there is
+    no folder to fall back to."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
     if found:
         return found
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomgraph-"))
     return sc.getCheckpointDir()
 
