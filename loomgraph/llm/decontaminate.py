@@ -11,12 +11,14 @@ how many; the passage is then verified: it must hold the question's and the answ
 n-grams to the shares asked for.
 
 The index is broadcast in shards of ``SHARD_ITEMS`` items, each cut to ``SHARD_WORDS``
-words at most by starting a new shard, so no broadcast grows with the benchmark; each
-shard is one map over the texts. Document frequencies, mean length and the window are those
+words at most by starting a new shard, so no broadcast grows with the benchmark. Shards of
+``SHARD_WORDS`` words together share one map over the texts, which splits each text once for
+all of them, and a process builds a shard's index once. Document frequencies, mean length and the window are those
 of the whole benchmark, so no score depends on which items share a shard.
 """
 from __future__ import annotations
 
+import hashlib
 import pickle
 import re
 from collections.abc import Iterator
@@ -156,12 +158,16 @@ class Index:
     def find(self, texts: list[str | None]) -> list[tuple[int, int, float, float, float]]:
         """(text, item id, score, question share, answer share) of every verified leak: the
         best passage of each."""
+        return self.find_words([words(t) for t in texts])
+
+    def find_words(self, lists: list[list[str]]) -> list[tuple[int, int, float, float, float]]:
+        """As ``find``, of texts split to words."""
         found: dict[tuple[int, int], tuple[float, float, float]] = {}
         get, at = self.vocab.get, 0
-        while at < len(texts):
+        while at < len(lists):
             batch, size, begin = [], 0, at
-            while at < len(texts) and (not batch or size < 200_000):
-                batch.append(words(texts[at]))
+            while at < len(lists) and (not batch or size < 200_000):
+                batch.append(lists[at])
                 size += len(batch[-1])
                 at += 1
             terms = [np.array([get(w, -1) for w in ws], np.int64) for ws in batch]
@@ -175,6 +181,21 @@ class Index:
         return [(k, i, *v) for (k, i), v in sorted(found.items())]
 
 
+_BUILT: dict[bytes, Index] = {}
+
+
+def _indexes(blobs: list[bytes]) -> list[Index]:
+    """The index of each shard, built once a process; those of other shards go."""
+    keys = [hashlib.sha256(b).digest() for b in blobs]
+    for old in set(_BUILT) - set(keys):
+        del _BUILT[old]
+    for key, blob in zip(keys, blobs, strict=True):
+        if key not in _BUILT:
+            items, of_all = pickle.loads(blob)
+            _BUILT[key] = Index(items, of_all=of_all)
+    return [_BUILT[k] for k in keys]
+
+
 def shards(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[int, str | None]]]:
     """The items, a bounded number of items and words at a time."""
     part, size = [], 0
@@ -209,18 +230,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item_id, score, question_share, answer_share): one row per row of ``docs`` and
     item that it leaks. Null or empty texts leak nothing; an empty benchmark gives no rows;
-    items alike give a row each; repeated rows of ``docs`` give repeated rows."""
+    items alike give a row each; repeated rows of ``docs`` give repeated rows. Texts of any length
+    are searched whole, in windows; of an item's passages with the same score the one with the
+    larger shares is told."""
     spark = docs.sparkSession
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"id {kind}, item_id {item_kind}, score double, question_share double, answer_share double"
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
-    def mapper(shared):
+    def mapper(shared: list):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items, of_all = pickle.loads(shared.value)
-            index = Index(items, of_all=of_all)
+            indexes = [x for x in _indexes([b.value for b in shared]) if x.items]
             for batch in batches:
-                found = index.find(batch.column(1).to_pylist()) if index.items else []
+                lists = [words(t) for t in batch.column(1).to_pylist()] if indexes else []
+                found = [f for index in indexes for f in index.find_words(lists)]
                 rows = pa.array([f[0] for f in found], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(rows), pa.array([f[1] for f in found]).cast(pa.int64() if item_kind in ("bigint", "int") else pa.string()) if found else pa.array([], pa.int64() if item_kind in ("bigint", "int") else pa.string()),
@@ -231,13 +254,26 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     out, parts = None, shards(benchmark, item_col, item_text_col)
     first = list(islice(parts, 2))  # a benchmark of one shard has its own frequencies
     total, table = frequencies(benchmark, item_col, item_text_col) if len(first) > 1 else (None, None)
+    shared: list = []
+    held_words = 0
+
+    def scan(out: DataFrame | None) -> DataFrame:
+        one = own.mapInArrow(mapper(list(shared)), schema)
+        return one if out is None else out.unionByName(one)
+
     for part in chain(first, parts):
         of_all = None
         if total:
             held = spark.createDataFrame([(x,) for x in {x for _, t in part for x in words(t)}], "term string")
             of_all = (*total, {r["term"]: r["df"] for r in table.join(F.broadcast(held), "term", "left_semi").collect()})
-        one = own.mapInArrow(mapper(spark.sparkContext.broadcast(pickle.dumps((part, of_all)))), schema)
-        out = one if out is None else out.unionByName(one)
+        size = sum(len(words(t)) for _, t in part)
+        if shared and held_words + size > SHARD_WORDS:
+            out, held_words = scan(out), 0
+            shared.clear()
+        shared.append(spark.sparkContext.broadcast(pickle.dumps((part, of_all))))
+        held_words += size
+    if shared:
+        out = scan(out)
     if out is None:
         out = spark.createDataFrame([], schema)
     return out.withColumnRenamed("id", id_col)
