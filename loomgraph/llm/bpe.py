@@ -258,7 +258,7 @@ class _Encoded(dict):
 
 
 def frequent_words(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
-                   share: float = SHARE, top: int = LEXICON_WORDS) -> list[str]:
+                   share: float = SHARE, top: int = LEXICON_WORDS) -> DataFrame:
     """The ``top`` most frequent words of all texts, as far as one partition at least has
     them with the given share. Each partition sends its frequent words only."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,13 +276,20 @@ def frequent_words(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
                                          names=["word", "n"])
 
     found = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word string, n long")
-    rows = found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(top).collect()
-    return [r["word"] for r in rows]
+    return found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(top).select("word")
 
 
 def build_lexicon(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> bytes:
-    bpe = _bpe(tokenizer_path)
-    return compile_lexicon({w.encode(): bpe.merge(w) for w in frequent_words(docs, tokenizer_path, text_col) if w not in bpe.special})
+    """The compiled lexicon of the frequent words. Their ids are made by an executor too, so the
+    driver holds words and ids, and no tokenizer."""
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = _bpe(tokenizer_path)
+        for batch in batches:
+            words = [w for w in batch.column(0).to_pylist() if w not in bpe.special]
+            yield pa.RecordBatch.from_arrays([pa.array([w.encode() for w in words], pa.binary()), pa.array([bpe.merge(w) for w in words], pa.list_(pa.int64()))], names=["word", "ids"])
+
+    rows = frequent_words(docs, tokenizer_path, text_col).mapInArrow(merged, "word binary, ids array<long>").toArrow()
+    return compile_lexicon(dict(zip(rows.column("word").to_pylist(), rows.column("ids").to_pylist(), strict=True)))
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, lexicon: bytes, id_col: str = "doc_id", text_col: str = "text",
