@@ -10,7 +10,7 @@ __all__ = ["Stage", "bound_arrow", "crc_mod", "id_kind", "read", "whole"]
 
 #: Arrow batches stay under this size, so that a few very long texts cannot
 #: fill a Python worker.
-ARROW_BATCH_BYTES = 16 << 20
+ARROW_BATCH_BYTES = 4 << 20
 ARROW_BATCH_ROWS = 2000
 
 
