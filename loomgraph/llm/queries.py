@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, near_dedup, pii, quality_knn, token_counts
+from . import bpe, decontaminate, embedding_dedup, fill_middle, language_id, license_scan, line_dedup, near_dedup, pii, quality_knn, token_counts
 from .common import bound_arrow, crc_mod, read, whole
 
 
@@ -73,10 +73,16 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, path, bpe.build_lexicon(docs, path), digests=True)
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_arrow(spark)
+    out = fill_middle.fill_in_middle(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(), 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_line_dedup, op2_language_id, op3_license_scan, op4_quality, op5_near_dedup, op6_decontaminate,
-        op7_token_counts, op8_pii, op9_embedding_dedup, op10_bpe)
+        op7_token_counts, op8_pii, op9_embedding_dedup, op10_bpe, op11_fill_middle)
 }
 
 _SHINGLED = """
@@ -92,7 +98,21 @@ u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r(n, c) AS (SELECT {id}, {id} FROM {table} UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.n),
 m AS (SELECT n, min(c) AS c FROM r GROUP BY n)"""
 
+#: Tokens are cut by one expression, so SQL lists them; the places are sums of their lengths.
+_FILL_MIDDLE = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{fill_middle.PATTERN}') AS w, sha256('{fill_middle.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+h AS (SELECT *, len(w) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM t),
+f AS (SELECT doc_id, text, n, least(h1 % (n + 1), h2 % (n + 1)) AS i, greatest(h1 % (n + 1), h2 % (n + 1)) AS j, w,
+      CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= {fill_middle.RATE} THEN 'plain'
+           WHEN h4 % 100 < {fill_middle.SPM_RATE} THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT doc_id, n, form, text, array_to_string(w[1:i], '') AS p, array_to_string(w[i + 1:j], '') AS m, array_to_string(w[j + 1:], '') AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
+
 ORACLES: dict[str, str] = {
+    "op11_fill_middle": _FILL_MIDDLE,
     "op1_line_dedup": line_dedup.SQL.format(docs="documents", max_ratio=line_dedup.MAX_RATIO, min_pages=line_dedup.MIN_PAGES) + """
 SELECT doc_id, coalesce(len(list_filter(lines, lambda x: trim(x, ' ') <> '')), 0) AS n_lines,
        coalesce(len(lines) - len(kept), 0) AS n_dropped, length(coalesce(array_to_string(kept, chr(10)), '')) AS kept_chars,
