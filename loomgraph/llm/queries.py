@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embedding_dedup, fill_middle, language_id, license_scan, line_dedup, near_dedup, pii, quality_knn, token_counts
+from . import bpe, decontaminate, embedding_dedup, fill_middle, fingerprints, language_id, license_scan, line_dedup, near_dedup, pii, quality_knn, token_counts
 from .common import bound_arrow, crc_mod, read, whole
 
 
@@ -79,10 +79,14 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(), 256).alias("restored_sha256"))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_line_dedup, op2_language_id, op3_license_scan, op4_quality, op5_near_dedup, op6_decontaminate,
-        op7_token_counts, op8_pii, op9_embedding_dedup, op10_bpe, op11_fill_middle)
+        op7_token_counts, op8_pii, op9_embedding_dedup, op10_bpe, op11_fill_middle, op13_fingerprints)
 }
 
 _SHINGLED = """
