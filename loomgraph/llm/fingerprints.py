@@ -56,7 +56,7 @@ def _uniform(hashed: Column, bits: int) -> Column:
 
 def weighted_samples(rows: DataFrame, base: str, draw: Column, weights: list[str], where: Column) -> DataFrame:
     """``rows`` with ``sampled_0``, ``sampled_1``, ...: value and sample, as one long, of the draw for a word of
-    the hash ``base`` with each of the weights by the full formula, in the rows that ``where`` holds for; null for the weight 0.
+    the hash ``base`` with each of the weights (their logarithms in ``log_...``) by the full formula, in the rows that ``where`` holds for; null for the weight 0.
     Each step is a projection of its own, so nothing is computed twice."""
     on = lambda c: F.when(where, c)
     rows = rows.withColumn("h", on(F.xxhash64(base, draw)))
@@ -65,7 +65,7 @@ def weighted_samples(rows: DataFrame, base: str, draw: Column, weights: list[str
     rows = rows.withColumn("r", F.col("e1") + on(F.ln(F.col("c") / F.col("v"))))
     for k, weight in enumerate(weights):
         fresh = where & (F.col(weight) > 0) & (F.lit(k == 0) | (F.col(weight) != F.col(weights[0])))
-        rows = rows.withColumn("t", F.when(fresh, F.floor((F.ln(F.col(weight).cast("double")) + F.col("e1")) / F.col("r"))))
+        rows = rows.withColumn("t", F.when(fresh, F.floor((F.col(f"log_{weight}") + F.col("e1")) / F.col("r"))))
         a = F.col("c") * F.exp(F.col("e1") - F.col("r") * (F.col("t") + 1))
         value = F.when(fresh, (-F.expm1(-a) * F.lit(2.0**VALUE_BITS - 1)).cast("long"))
         mark = F.when(F.col("t") == 0, F.shiftrightunsigned("h", 1)).otherwise(F.xxhash64("h", "t")).bitwiseAND(F.lit((1 << SAMPLE_BITS) - 1))
@@ -88,7 +88,7 @@ def signatures(words: DataFrame, keys: list[str], weights: list[str], samples: i
     once = F.greatest(*weights, F.lit(1)) == 1
     # -1 - round for a row of AT_ONCE draws, else the draw
     draws = F.when(F.col("term").isNull(), ints([-1])).when(once, ints(-1 - g for g in range(samples // AT_ONCE))).otherwise(ints(range(samples)))
-    rows = words.withColumn("draw", F.explode(draws))
+    rows = words.select("*", *(F.ln(F.col(w).cast("double")).alias(f"log_{w}") for w in weights)).withColumn("draw", F.explode(draws))
     rows = rows.withColumn("round", F.when(F.col("draw") < 0, -1 - F.col("draw")).otherwise(F.shiftright("draw", AT_ONCE.bit_length() - 1)))
     rows = rows.withColumn("base", F.when(F.col("term").isNotNull(), F.xxhash64("term", "round"))).withColumn("at", F.when(F.col("draw") >= 0, F.col("draw").bitwiseAND(F.lit(AT_ONCE - 1))))
     rows = weighted_samples(rows, "base", F.col("at"), weights, F.col("draw") >= 0)
