@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embedding_dedup, fill_middle, fingerprints, language_id, license_scan, line_dedup, near_dedup, pii, quality_knn, token_counts
+from . import bpe, decontaminate, embedding_dedup, fill_middle, fingerprints, hard_negatives, language_id, license_scan, line_dedup, near_dedup, pii, quality_knn, token_counts
 from .common import bound_arrow, crc_mod, read, whole
 
 
@@ -83,10 +83,15 @@ def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(read(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_line_dedup, op2_language_id, op3_license_scan, op4_quality, op5_near_dedup, op6_decontaminate,
-        op7_token_counts, op8_pii, op9_embedding_dedup, op10_bpe, op11_fill_middle, op13_fingerprints)
+        op7_token_counts, op8_pii, op9_embedding_dedup, op10_bpe, op11_fill_middle, op12_hard_negatives, op13_fingerprints)
 }
 
 _SHINGLED = """
@@ -115,7 +120,18 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_c
 FROM p
 """
 
+_HARD_NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id)::INTEGER AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
 ORACLES: dict[str, str] = {
+    "op12_hard_negatives": _HARD_NEGATIVES,
     "op11_fill_middle": _FILL_MIDDLE,
     "op1_line_dedup": line_dedup.SQL.format(docs="documents", max_ratio=line_dedup.MAX_RATIO, min_pages=line_dedup.MIN_PAGES) + """
 SELECT doc_id, coalesce(len(list_filter(lines, lambda x: trim(x, ' ') <> '')), 0) AS n_lines,
