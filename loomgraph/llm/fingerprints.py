@@ -37,7 +37,7 @@ _WORD, _NOT_WORD = r"[\p{L}\p{M}\p{N}]", r"[^\p{L}\p{M}\p{N}]+"
 
 def terms(text: Column, part: Column | None = None) -> Column:
     """The words of a text, or of a part of it, in lower case; a text without words is one term, a blank one has none (an empty string)."""
-    return F.when(F.rlike(text, F.lit(_WORD)), F.split(F.lower(text if part is None else part), _NOT_WORD)).otherwise(F.array(F.trim(text)))
+    return F.when(F.rlike(text, F.lit(_WORD)), F.split(F.lower(text if part is None else part), _NOT_WORD)).otherwise(F.array(F.regexp_replace(text, r"^\s+|\s+$", "")))
 
 
 def counted(texts: DataFrame, keys: list[str], parts: list[tuple[Column, list[str]]], weights: list[str]) -> DataFrame:
@@ -147,8 +147,9 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # Dealt by (the hash of) the id once; what follows is grouped and joined by it.
     slot = lambda c: F.xxhash64(c)
     dealt = docs.withColumn("slot", slot("id")).repartition("slot").groupBy("slot", "id", "text").agg(F.count(F.lit(1)).alias("copies")).withColumn("key", F.xxhash64("text"))
-    ordered = order.withColumn("slot", slot("next")).select("slot", "next", "next_key", F.col("id").alias("to"), "half")
-    heads = (dealt.join(ordered, "slot").where(F.col("id").eqNullSafe(F.col("next")) & (F.col("key") == F.col("next_key")))
+    ordered = order.withColumn("slot", slot("next")).select("slot", "next_key", F.col("id").alias("to"), "half")
+    # (written so that it is no second join key, for which the texts would be dealt again)
+    heads = (dealt.join(ordered, "slot").where(F.col("key").bitwiseXOR(F.col("next_key")) == 0)
              .select(slot("to").alias("slot"), "to", F.expr("substring(text, 1, half)").alias("head")))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
