@@ -16,7 +16,7 @@ so with V = -ln(1 - U) the order of a is that of the uniform U: its sample is th
 itself, without a logarithm. Other words take the full formula and are ordered by
 1 - exp(-a) among them.
 
-That value (43 bits) and the sample (20 bits) are one number, so a sample is a plain
+That value (47 bits) and the sample (16 bits) are one number, so a sample is a plain
 minimum of longs in a hash aggregate. Documents are dealt by id once, with their texts;
 counting the words of a document and taking its minima need no shuffle after that. No
 Python runs on this path.
@@ -31,7 +31,7 @@ from .common import Stage, whole
 SAMPLES = 64
 AT_ONCE = 8
 #: Bits of a sample, and of the value that decides it.
-SAMPLE_BITS, VALUE_BITS = 20, 43
+SAMPLE_BITS, VALUE_BITS = 16, 47
 _WORD, _NOT_WORD = r"[\p{L}\p{M}\p{N}]", r"[^\p{L}\p{M}\p{N}]+"
 
 
@@ -77,7 +77,7 @@ def weighted_samples(rows: DataFrame, base: str, draw: Column, weights: list[str
 
 
 def signatures(words: DataFrame, keys: list[str], weights: list[str], samples: int = SAMPLES) -> DataFrame:
-    """(keys, a signature for each of the weights): the samples of each text as an array of ints, empty for a
+    """(keys, a signature for each of the weights): the samples of each text as an array of small ints, empty for a
     text without terms. ``words`` is what ``counted`` gives; no shuffle if it is dealt by some of the keys.
 
     A word that occurs once at most meets its draws ``AT_ONCE`` in a row, any other one draw a
@@ -94,8 +94,8 @@ def signatures(words: DataFrame, keys: list[str], weights: list[str], samples: i
     rows = weighted_samples(rows, "base", F.col("at"), weights, F.col("draw") >= 0)
     least = [F.min(F.when(F.col("draw") >= 0, F.when(F.col("at") == k, F.col(f"sampled_{i}"))).when(F.col("base").isNotNull() & (F.col(w) == 1), F.shiftrightunsigned(F.xxhash64("base", F.lit(k)), 1))).alias(f"s{i}_{k}")
              for i, w in enumerate(weights) for k in range(AT_ONCE)]
-    marks = lambda i: F.array(*(F.col(f"s{i}_{k}").bitwiseAND(F.lit((1 << SAMPLE_BITS) - 1)).cast("int") for k in range(AT_ONCE)))
-    parts = rows.groupBy(*keys, "round").agg(*least).select(*keys, "round", *(F.when(F.col(f"s{i}_0").isNotNull(), marks(i)).otherwise(F.array().cast("array<int>")).alias(w) for i, w in enumerate(weights)))
+    marks = lambda i: F.array(*((F.col(f"s{i}_{k}").bitwiseAND(F.lit((1 << SAMPLE_BITS) - 1)) - (1 << SAMPLE_BITS - 1)).cast("smallint") for k in range(AT_ONCE)))
+    parts = rows.groupBy(*keys, "round").agg(*least).select(*keys, "round", *(F.when(F.col(f"s{i}_0").isNotNull(), marks(i)).otherwise(F.array().cast("array<smallint>")).alias(w) for i, w in enumerate(weights)))
     joined = F.array_sort(F.collect_list(F.struct("round", *weights)))
     return parts.groupBy(*keys).agg(joined.alias("parts")).select(*keys, *(F.flatten(F.col(f"parts.{w}")).alias(w) for w in weights))
 
@@ -108,8 +108,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def written(signature: Column, samples: int = SAMPLES) -> Column:
-    """A signature as a string of five hexadecimal digits a sample."""
-    return F.when(F.size(signature) > 0, F.lower(F.concat(*(F.lpad(F.hex(signature[k]), SAMPLE_BITS // 4, "0") for k in range(samples))))).otherwise("")
+    """A signature as a string of four hexadecimal digits a sample."""
+    return F.when(F.size(signature) > 0, F.lower(F.concat(*(F.lpad(F.hex(signature[k].cast("int") + (1 << SAMPLE_BITS - 1)), SAMPLE_BITS // 4, "0") for k in range(samples))))).otherwise("")
 
 
 def following(docs: DataFrame, stage: Stage, id_col: str = "id", text_col: str = "text") -> DataFrame:
