@@ -4,7 +4,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import ids
@@ -13,6 +13,7 @@ from ..functions import text as tx
 from ..sinks import routed
 from ..stage import Stage
 from . import profiles as px
+from .names import unique_names
 
 SUPPORTED = (".pdf", ".html", ".htm", ".txt", ".md")
 MIN_CHARS, MIN_CHARS_PER_PAGE, DIGITAL_CHARS_PER_PAGE = 200, 50.0, 3000
@@ -62,11 +63,10 @@ def triage(text: Column, readable: Column | None = None, skip_lines: int = 5) ->
                     F.coalesce(authors, F.lit(False)).alias("has_authors"), F.coalesce(abstract, F.lit(False)).alias("has_abstract"))
 
 
-def doc_ids(names: DataFrame, name_col: str = "filename", order: str = "path") -> DataFrame:
-    """With doc_id: the stem of the file name, with -1, -2 ... on clashes in order of paths."""
-    w = Window.partitionBy("__stem").orderBy(order)
-    out = names.withColumn("__stem", tx.stem(F.col(name_col))).withColumn("__n", F.row_number().over(w) - 1)
-    return out.withColumn("doc_id", F.when(F.col("__n") == 0, F.col("__stem")).otherwise(F.concat("__stem", F.lit("-"), F.col("__n").cast("string")))).drop("__stem", "__n")
+def doc_ids(rows: DataFrame, name_col: str = "filename", order: str = "path", taken: DataFrame | None = None) -> DataFrame:
+    """With doc_id: the stem of the file name, on clashes with the smallest free suffix -1, -2 ... in
+    order of paths; none is an id of ``taken`` (doc_id) or another file's stem."""
+    return unique_names(rows.withColumn("__stem", tx.stem(F.col(name_col))), "__stem", order, "doc_id", taken).drop("__stem")
 
 
 @dataclass
@@ -100,13 +100,14 @@ def decode(content: Column) -> Column:
 
 def ingest(files: DataFrame, known: DataFrame, publisher: DataFrame | None = None, extractor: Callable[[DataFrame], DataFrame] | None = None,
            hooks: Hooks | None = None, ts: Column | None = None, alias_author: bool = False,
-           profiles: dict[str, px.Profile] | None = None) -> DataFrame:
+           profiles: dict[str, px.Profile] | None = None, taken: DataFrame | None = None) -> DataFrame:
     """One row a file with its outcome: status, reason, profile, record, doc_id.
 
     ``files``: path, filename, subdir, suffix, size, content_hash, content (or text).
     ``known``: hashes of files ingested before. The order is that of the cascade: known hash,
     preflight, extractor error (``failed``), yield, contract. A file whose content another
-    one before it brings in is a duplicate; two bad ones alike are both quarantined.
+    one before it brings in is a duplicate; two bad ones alike are both quarantined. No doc_id
+    is one of ``taken`` (doc_id).
     """
     hooks = hooks or Hooks()
     before = known.select(F.col("hash").alias("content_hash"), F.lit(True).alias("known")).distinct()
@@ -148,8 +149,8 @@ def ingest(files: DataFrame, known: DataFrame, publisher: DataFrame | None = Non
     reason = (F.when(F.col("known").isNotNull() | again, F.concat(F.lit("existing_hash:"), F.substring("content_hash", 1, 12))).when(F.col("flight").isNotNull(), F.col("flight"))
               .when(error.isNotNull(), F.concat(F.lit("extractor_error:"), error)).when(F.col("yield").isNotNull(), F.col("yield")).otherwise(F.col("contract.reason")))
     out = flat.withColumns({"status": status, "reason": reason, "ts": ts if ts is not None else F.current_timestamp(), "extractor_version": F.lit(EXTRACTOR)})
-    taken = doc_ids(out.where("status = 'ingested'").select("path", "filename")).select("path", "doc_id")
-    out = out.join(taken, "path", "left")
+    named = doc_ids(out.where("status = 'ingested'").select("path", "filename"), taken=taken).select("path", "doc_id")
+    out = out.join(named, "path", "left")
     return hooks.run("post_ingest", out.drop("known", "body", "pub", "first_path", "contract", "flight", "yield", "fine"))
 
 

@@ -139,6 +139,19 @@ def collision_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ig.doc_ids(d, "filename", "n").select("n", "doc_id")
 
 
+@R.add("""WITH w AS (SELECT doc_id AS n, CASE WHEN doc_id % 50 = 0 THEN source || '-' || (1 + doc_id % 7) ELSE source END AS stem FROM documents),
+r AS (SELECT n, stem, row_number() OVER (PARTITION BY stem ORDER BY n) - 1 AS r FROM w),
+u AS (SELECT DISTINCT stem FROM w),
+g AS (SELECT stem, unnest(range(1, k + 1)) AS i FROM (SELECT stem, count(*) + (SELECT count(*) FROM u) AS k FROM w GROUP BY stem)),
+f AS (SELECT g.stem, i, row_number() OVER (PARTITION BY g.stem ORDER BY i) AS r FROM g LEFT JOIN u ON u.stem = g.stem || '-' || i WHERE u.stem IS NULL)
+SELECT n, CASE WHEN r.r = 0 THEN r.stem ELSE r.stem || '-' || i END AS doc_id FROM r LEFT JOIN f ON f.stem = r.stem AND f.r = r.r""")
+def free_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids from names some of which look like another name with a suffix."""
+    n = F.col("doc_id")
+    d = read(spark, sf_dir, "documents").select(n.alias("n"), F.when(n % 50 == 0, F.concat("source", F.lit("-"), (1 + n % 7).cast("string"))).otherwise(F.col("source")).alias("stem"))
+    return ig.doc_ids(d.withColumn("filename", F.concat("stem", F.lit(".md"))), "filename", "n").select("n", "doc_id")
+
+
 @R.add("""WITH RECURSIVE d AS (SELECT doc_id, repeat('a', 3 * length(text)) AS t FROM documents), k AS (SELECT doc_id, length(t) AS n, unnest(range(0, greatest(1, ((length(t) - 400 + 2599) // 2600)))) AS i FROM d)
 SELECT doc_id, i::INT AS ordinal, (i * 2600)::INT AS start_offset, least(i * 2600 + 3000, n)::INT AS end_offset FROM k WHERE n > 0""")
 def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:

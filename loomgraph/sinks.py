@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ids
+from .operators.names import before_suffix, unique_names
 
 WRITTEN = "path string, bytes long, sha256 string"
 MOVED = "source string, target string, error string"
@@ -85,12 +86,9 @@ def routed(outcomes: DataFrame) -> Column:
 
 
 def targets(moves: DataFrame, taken: DataFrame | None = None, wanted_col: str = "wanted", order: str = "path") -> DataFrame:
-    """With ``target``: the place wanted, with -1, -2 ... before the suffix on clashes, in the
-    order of paths. ``taken``: (wanted, n) of the places given before."""
-    w = Window.partitionBy(wanted_col).orderBy(order)
-    rows = moves.withColumn("__n", F.row_number().over(w) - 1)
-    if taken is not None:
-        rows = rows.join(taken.select(F.col("wanted").alias(wanted_col), F.col("n").alias("__before")), wanted_col, "left").withColumn("__n", F.col("__n") + F.coalesce("__before", F.lit(0))).drop("__before")
-    stem, suffix = F.regexp_extract(wanted_col, r"^(.*?[^/])(\.[^./]*)?$", 1), F.regexp_extract(wanted_col, r"^(.*?[^/])(\.[^./]*)?$", 2)
-    target = F.when(F.col("__n") == 0, F.col(wanted_col)).otherwise(F.concat(stem, F.lit("-"), F.col("__n").cast("string"), suffix))
-    return rows.withColumn("target", F.when(F.col(wanted_col).isNotNull(), target)).drop("__n")
+    """With ``target``: the place wanted, on clashes with the smallest free -1, -2 ... before the
+    suffix, in the order of paths. ``taken``: (path) of the places given before. Files without a
+    place wanted get none."""
+    going = moves.where(F.col(wanted_col).isNotNull()).select(F.col(order).alias("__path"), F.col(wanted_col).alias("__wanted"))
+    given = unique_names(going, "__wanted", "__path", "target", taken, before_suffix).select("__path", "target")
+    return moves.join(given, F.col(order) == F.col("__path"), "left").drop("__path")
