@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.models import asked
 from ..stage import Stage
+from . import blockmodel as sbm
 from . import graph as gx
+from .leiden import Leiden, quality, symmetric
+from .names import ranked
 
 
 class Rigor(IntEnum):
@@ -28,6 +31,7 @@ class Result:
     backend: str
     rigor: Rigor
     notes: list[str] = field(default_factory=list)
+    metrics: dict = field(default_factory=dict)
 
 
 class KMeansBackend:
@@ -120,25 +124,50 @@ class LouvainBackend:
         return Result(numbered(paths.select("node_id", "names")), self.name, self.rigor, notes)
 
 
-class BlockModelBackend:
-    """The place of a stochastic block model; no library for it is at hand."""
-    name, rigor = "sbm", Rigor.PRINCIPLED
+class LeidenBackend:
+    """Leiden: every community is connected, and no node's move to another raises the quality."""
+    name, rigor = "leiden", Rigor.HEURISTIC
+
+    def __init__(self, resolution: float = 1.0, weighted: bool = True) -> None:
+        self.resolution, self.weighted = resolution, weighted
 
     def available(self) -> bool:
-        return False
+        return True
 
     def cluster(self, nodes: DataFrame, projection: DataFrame, vectors: DataFrame | None = None) -> Result:
-        raise RuntimeError("no block-model library is installed")
+        stage = Stage(nodes.sparkSession, "leiden")
+        out = Leiden(stage, self.resolution).run(nodes, symmetric(projection, self.weighted))
+        return Result(numbered(out.select("node_id", F.array("c").alias("names"))), self.name, self.rigor)
+
+
+class BlockModelBackend:
+    """The nested, degree-corrected block model over the links without their weights. Its lowest level starts
+    at Leiden's refined parts; nodes without links are a block of their own. ``metrics`` of the
+    result has the description length in parts, modularity, degree assortativity, global
+    clustering and, after ``sweeps`` steps of a Markov chain, the spread of the posterior."""
+    name, rigor = "sbm", Rigor.PRINCIPLED
+
+    def __init__(self, sweeps: int = 0) -> None:
+        self.sweeps = sweeps
 
+    def available(self) -> bool:
+        return True
 
-def ranked(df: DataFrame, *order: Column) -> DataFrame:
-    """With ``rank`` from 0 in the order given. Rows are sorted by ranges, so no task holds them
-    all, and a row's rank is its place in its range after the rows of the ranges before."""
-    made = Stage(df.sparkSession, "ranks").write(df.orderBy(*order).withColumn("place", F.monotonically_increasing_id()), "sorted")
-    made = made.withColumns({"part": F.shiftright("place", 33), "place": F.col("place").bitwiseAND(F.lit((1 << 33) - 1))})
-    before = made.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row a range
-    before = before.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    return made.join(F.broadcast(before), "part").withColumn("rank", F.col("place") + F.col("before")).drop("place", "before", "part")
+    def cluster(self, nodes: DataFrame, projection: DataFrame, vectors: DataFrame | None = None) -> Result:
+        stage = Stage(nodes.sparkSession, "block-model")
+        links = stage.write(symmetric(projection, weighted=False).join(nodes.select(F.col("node_id").alias("a")), "a", "left_semi").join(nodes.select(F.col("node_id").alias("b")), "b", "left_semi"), "links")
+        linked = stage.write(links.select(F.col("a").alias("node_id")).distinct(), "linked")
+        if not linked.limit(1).count():
+            return Result(numbered(nodes.select("node_id", F.array(F.lit("")).alias("names"))), self.name, self.rigor, metrics={"mdl_nats": 0.0})
+        levels, metrics = sbm.nested(stage, linked.select(F.col("node_id").alias("n")), links, stage.write(Leiden(stage).start(links), "start"))
+        metrics |= {"modularity": quality(links, levels[0]), "degree_assortativity": sbm.assortativity(links), "global_clustering": sbm.global_clustering(links)}
+        if self.sweeps:
+            metrics |= sbm.posterior(sbm.Fit(stage, "posterior", links, linked.select(F.col("node_id").alias("n")), True), levels[0], self.sweeps)
+        paths = cascade([level.select(F.col("n").alias("node_id"), F.col("c").alias("block")) for level in levels])
+        alone = F.array(*(F.lit("") for _ in levels))
+        paths = nodes.select("node_id").join(paths, "node_id", "left").select("node_id", F.coalesce("path", alone).alias("names"))
+        notes = [f"nested=True, degree_corrected=True, n_levels={len(levels)}"]
+        return Result(numbered(paths), self.name, self.rigor, notes, metrics)
 
 
 def numbered(paths: DataFrame) -> DataFrame:
@@ -159,7 +188,7 @@ class Router:
     """The best back end that is there, up to a ceiling."""
 
     def __init__(self, backends: Sequence | None = None) -> None:
-        self.backends = list(backends) if backends is not None else [BlockModelBackend(), LouvainBackend(), KMeansBackend()]
+        self.backends = list(backends) if backends is not None else [BlockModelBackend(), LeidenBackend(), KMeansBackend()]
 
     def pick(self, ceiling: Rigor = Rigor.PRINCIPLED):
         there = [b for b in self.backends if b.rigor <= ceiling and b.available()]
