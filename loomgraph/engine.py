@@ -26,6 +26,7 @@ from .operators import render as rd
 from .operators import reports as rp
 from .operators import retrieve as rt
 from .operators import tokens as tk
+from .operators import vector_index as vi
 from .operators import vectors as vx
 from .sources import files as sf
 from .sources import tables as tb
@@ -59,26 +60,46 @@ class Engine:
     def ingest(self, publisher: DataFrame | None = None, extractor=None, hooks: ig.Hooks | None = None, profiles: dict | None = None, move: bool = False) -> DataFrame:
         """One pass over the source files; counts by status. With ``move``, ingested files go to
         ``processed`` and refused ones to ``quarantine``, each with a note of the reason beside it."""
-        seen = self.read("manifest", schemas.MANIFEST)
-        out = ig.ingest(sf.scan(self.spark, str(self.corpus.root)), ig.known_hashes(seen), publisher, extractor, hooks, F.lit(self.clock()).cast("timestamp"), profiles=profiles).persist()
+        self._put_back()
+        seen, old = self.read("manifest", schemas.MANIFEST), self.read("docs", schemas.DOCS)
+        out = ig.ingest(sf.scan(self.spark, str(self.corpus.root)), ig.known_hashes(seen), publisher, extractor, hooks, F.lit(self.clock()).cast("timestamp"), profiles=profiles, taken=old.select("doc_id"))
+        stage = Stage(self.spark, "moves")
+        out = stage.write(out, "found")
         if move:
-            folder = F.regexp_extract("destination", "^(.*/)[^/]*$", 1)
-            taken = seen.where("destination is not null").groupBy(F.concat(folder, "source_filename").alias("wanted")).agg(F.count(F.lit(1)).alias("n"))
-            stage = Stage(self.spark, "moves")
+            taken = seen.where("destination is not null").select(F.col("destination").alias("path"))
             out = stage.write(sk.targets(out.withColumn("wanted", sk.routed(out)), taken), "outcomes")
-            stage.write(sk.move_files(out.select(F.col("path").alias("source"), "target"), str(self.corpus.root)), "moved")
+            moves = out.where("target is not null").select(F.col("path").alias("source"), "target")
+            moves.write.mode("append").parquet(self.corpus.table("intents"))
+            failed = stage.write(sk.move_files(moves, str(self.corpus.root)), "moved").where("error is not null").select(F.col("source").alias("path"), "error")
+            # a file that could not be moved is not ingested
+            out = out.drop("error").join(failed, "path", "left").withColumns({
+                "status": F.when(F.col("error").isNotNull(), "failed").otherwise(F.col("status")), "reason": F.when(F.col("error").isNotNull(), F.concat(F.lit("move_error:"), "error")).otherwise(F.col("reason")),
+                "target": F.when(F.col("error").isNull(), F.col("target"))})
+            out = stage.write(out, "settled")
             notes = out.where("status = 'quarantined'").select(F.concat("target", F.lit(".reason.json")).alias("path"), F.to_json(F.struct("reason", F.col("path").alias("original"), "content_hash")).alias("markdown"))
             stage.write(sk.write_texts(notes, str(self.corpus.root)), "notes")
-        ig.manifest_rows(out).write.mode("append").parquet(self.corpus.table("manifest"))
+        ig.document_rows(out).write.mode("append").parquet(self.corpus.table("docs"))
         ig.quarantine_rows(out).write.mode("append").partitionBy("reason_slug").parquet(self.corpus.table("quarantine"))
         ig.math_retry_rows(out.where("status = 'ingested'")).write.mode("append").parquet(self.corpus.table("math_retry"))
-        old = self.read("docs", schemas.DOCS)
-        # names that an earlier pass took are not given again
-        fresh = ig.document_rows(out).join(old.select("doc_id", F.lit(True).alias("taken")), "doc_id", "left").withColumn(
-            "doc_id", F.when(F.col("taken"), F.concat("doc_id", F.lit("-"), F.substring("hash", 1, 8))).otherwise(F.col("doc_id"))).drop("taken")
-        fresh.write.mode("append").parquet(self.corpus.table("docs"))
+        # last: a file counts as done once the manifest has it
+        ig.manifest_rows(out).write.mode("append").parquet(self.corpus.table("manifest"))
         return ig.status_counts(out)
 
+    def _put_back(self) -> None:
+        """Files that a broken pass moved but did not enter in the manifest go back to their places, and
+        what it wrote of them goes; the next pass finds them again."""
+        if not self.has("intents"):
+            return
+        seen = self.read("manifest", schemas.MANIFEST)
+        lost = self.read("intents", "source string, target string").join(seen.select(F.col("destination").alias("target")), "target", "left_anti").distinct()
+        stage = Stage(self.spark, "put-back")
+        lost = stage.write(lost, "lost")
+        if lost.limit(1).count():
+            stage.write(sk.move_files(lost, str(self.corpus.root), "target", "source"), "moved")
+            docs = self.read("docs", schemas.DOCS)
+            self.write(docs.join(seen.where("status = 'ingested'").select("hash").distinct(), "hash", "left_semi").select(*docs.columns), "docs")
+        self.write(self.read("intents", "source string, target string").limit(0), "intents")
+
     def status(self) -> DataFrame:
         return ig.status_counts(self.read("manifest", schemas.MANIFEST))
 
@@ -112,8 +133,14 @@ class Engine:
             self.write(vx.upsert(vectors, new), "chunk_vectors")
             for name, table in zip(("postings", "terms", "term_stats"), rt.bm25_tables(chunks, "chunk_id", tx.lexical_tokens(F.col("text"))), strict=True):
                 self.write(table, name)
+            if self.has("vector_index"):
+                self.index_vectors()
         return n
 
+    def index_vectors(self) -> None:
+        """Build the approximate index that ``corpus_search`` then uses; ``embed`` keeps it up to date."""
+        vi.build(self.read("chunk_vectors"), self.corpus.table("vector_index"))
+
     def lexical_search(self, query: str, k: int = 5) -> DataFrame:
         """The best chunks by BM25, from the postings that ``embed`` keeps."""
         if not self.has("postings"):
@@ -325,9 +352,11 @@ class Engine:
         return rp.drawing(shown, inside, self.corpus.root.name)
 
     # --- tools ------------------------------------------------------------------------
+    def query_values(self, query: str) -> list[float]:
+        return list(self.spark.createDataFrame([(query,)], "q string").select(self.embedder("q").alias("v")).first()["v"])
+
     def query_vector(self, query: str):
-        row = self.spark.createDataFrame([(query,)], "q string").select(self.embedder("q").alias("v")).first()
-        return vx.query_vector(row["v"])
+        return vx.query_vector(self.query_values(query))
 
     def _community(self, community_id: Any) -> Json:
         try:
@@ -345,7 +374,10 @@ class Engine:
     def corpus_search(self, query: str, k: int = 5, where=None) -> DataFrame:
         if not (query or "").strip():
             raise ToolError("query is required")
-        hits = rt.dense_search(self.read("chunk_vectors"), self.query_vector(query), k, "chunk_id", "vec", where)
+        if self.has("vector_index"):
+            hits = vi.search(self.spark, self.corpus.table("vector_index"), self.query_values(query), k, where=where)
+        else:
+            hits = rt.dense_search(self.read("chunk_vectors"), self.query_vector(query), k, "chunk_id", "vec", where)
         hits = hits.drop("vec", "doc_id").join(self.read("chunks"), "chunk_id")
         part = self.read("partition", schemas.PARTITION)
         out = rt.with_community(rt.hit_payload(hits), part, self.read("communities", schemas.COMMUNITIES), "doc_id")

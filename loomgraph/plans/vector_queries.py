@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
 from ..operators import retrieve as rt
+from ..operators import vector_index as vi
 from ..operators import vectors as vx
+from ..stage import Stage
 from .base import DOT, Registry, read
 
 R = Registry()
@@ -171,3 +173,18 @@ def kmeans_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     emb = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("node_id"), F.col("embedding").alias("vec"))
     return KMeansBackend().cluster(emb, emb.limit(0), emb).partition
+
+
+@R.add("""SELECT (SELECT count(*) FROM embeddings WHERE vec_id % 100 = 0) AS n_queries, count(*) AS n_indexed, true AS recall_reached FROM embeddings
+WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0""")
+def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector in the approximate index, and whether the ten nearest of each hundredth vector that it
+    finds are 0.9 at least of those that brute force finds."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    path = f"{Stage(spark, 'index').root}/index"
+    vi.build(rows, path, id_col="vec_id", vec_col="embedding")
+    queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
+    found = vi.search_many(queries, path, 10, "q", "v", "vec_id", "embedding").select("q", F.col("vec_id").alias("id"), F.lit(1).alias("hit"))
+    told = vi.nearest(queries, rows, 10, "vec_id", "embedding").join(found, ["q", "id"], "left")
+    indexed = spark.read.parquet(f"{path}/rows").agg(F.count(F.lit(1)).alias("n_indexed"))
+    return told.agg(F.count_distinct("q").alias("n_queries"), (F.sum(F.coalesce("hit", F.lit(0))) >= 0.9 * F.count(F.lit(1))).alias("recall_reached")).crossJoin(indexed)

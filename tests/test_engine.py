@@ -45,7 +45,7 @@ def test_chain(engine):
     assert nodes.where("node_type = 'document'").count() == 3
     assert edges.where("relation = 'cites' and dst = 'citation::smith_2010'").count() == 3
     out = engine.cluster()
-    assert out.backend == "louvain" and out.notes and out.partition.count() == 3
+    assert out.backend == "sbm" and out.notes and out.partition.count() == 3
     cards = engine.render()
     assert cards.count() == 3 and cards.where("markdown like '%community_label:%'").count() == 3
     assert engine.publish().count() == 3
