@@ -214,9 +214,10 @@ def block_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add()
 def routed_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The router held below the block model; it takes the best that is allowed."""
+    """A router held below the block model; it takes the best that is allowed."""
     nodes, edges, _ = trade(spark, sf_dir)
-    out = cm.Router().cluster(nodes, edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "weight"), ceiling=cm.Rigor.HEURISTIC)
+    router = cm.Router([cm.BlockModelBackend(), cm.LouvainBackend(), cm.KMeansBackend()])
+    out = router.cluster(nodes, edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "weight"), ceiling=cm.Rigor.HEURISTIC)
     return out.partition.groupBy("community_id").agg(F.count(F.lit(1)).alias("n_members")).withColumns({"backend": F.lit(out.backend), "note": F.lit("; ".join(out.notes))})
 
 
