@@ -36,6 +36,11 @@ def query_vector(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in values])
 
 
+def usable(v: Column) -> Column:
+    """Whether a vector has components and all of them are finite numbers."""
+    return F.coalesce((F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False))
+
+
 def top_k(vectors: DataFrame, query: Column, k: int, id_col: str, vec_col: str, where: Column | None = None) -> DataFrame:
     """The ``k`` rows nearest to a query vector, with ``score`` (4 digits). ``where`` filters
     before anything is scored; ties go to the smaller id."""
@@ -50,19 +55,21 @@ def _unit(values: pd.Series) -> np.ndarray:
 
 
 def _tiles(left: DataFrame, left_id: str, right: DataFrame, right_id: str):
-    """Both sides grouped to tiles (i, j): every block of the left meets every block of the
-    right, and a task holds one of each, about BLOCK rows."""
+    """Both sides, (left_id, v) and (right_id, w), grouped to tiles (d, i, j): every block of the left meets every block of the
+    right, and a task holds one of each, about BLOCK rows of d dimensions."""
     m, n = max(1, -(-left.count() // BLOCK)), max(1, -(-right.count() // BLOCK))
     lt = left.withColumn("i", F.pmod(F.xxhash64(left_id), F.lit(m)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     rt = right.withColumn("j", F.pmod(F.xxhash64(right_id), F.lit(n)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    return lt.groupBy("i", "j").cogroup(rt.groupBy("i", "j"))
+    lt, rt = lt.where(usable(F.col("v"))).withColumn("d", F.size("v")), rt.where(usable(F.col("w"))).withColumn("d", F.size("w"))
+    return lt.groupBy("d", "i", "j").cogroup(rt.groupBy("d", "i", "j"))
 
 
 def top_k_joined(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str, query_col: str = "query_id", query_vec: str = "query_vec") -> DataFrame:
     """(query, id, score, rank): the ``k`` nearest rows of each query of a table of queries.
 
     Queries and rows meet in tiles, one matrix product each, and a tile keeps ``k`` rows a
-    query; neither side is broadcast."""
+    query; neither side is broadcast. Vectors that are null, empty or hold null or non-finite components
+    have no neighbours, and only vectors of equal lengths meet."""
     left = queries.select(F.col(query_col).alias("q"), F.col(query_vec).alias("v"))
     right = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("w"))
     kinds = f"q {left.schema['q'].dataType.simpleString()}, id {right.schema['id'].dataType.simpleString()}, score double"
@@ -85,14 +92,15 @@ def similar_pairs(vectors: DataFrame, threshold: float, id_col: str, vec_col: st
 
     Vectors are hashed to blocks of about a thousand; each two blocks meet in one group and
     are compared by one matrix product, so a task holds two blocks whatever the table's
-    size. Only pairs over the threshold leave it."""
+    size. Only pairs over the threshold leave it. Vectors that are null, empty or hold null or non-finite
+    components are in no pair, and only vectors of equal lengths meet."""
     if n_blocks is None:
         n_blocks = max(1, -(-vectors.count() // BLOCK))
-    base = vectors.select(F.col(id_col).alias("id"), doubles(F.col(vec_col)).alias("vec")).where(F.col("vec").isNotNull())
+    base = vectors.select(F.col(id_col).alias("id"), doubles(F.col(vec_col)).alias("vec")).where(usable(F.col("vec"))).withColumn("d", F.size("vec"))
     base = base.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
     sides = F.transform(F.sequence(F.lit(0), F.lit(n_blocks - 1)), lambda j: F.struct(
         F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j")))
-    tiles = base.withColumn("tile", F.explode(sides)).select("id", "vec", "block", "tile.i", "tile.j")
+    tiles = base.withColumn("tile", F.explode(sides)).select("id", "vec", "d", "block", "tile.i", "tile.j")
     kind = vectors.schema[id_col].dataType.simpleString()
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -107,7 +115,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, id_col: str, vec_col: st
             out = {"a": np.minimum(a, b)[keep] if len(a) else a, "b": np.maximum(a, b)[keep] if len(a) else b, "similarity": s[keep]}
         return pd.DataFrame(out)
 
-    return tiles.groupBy("i", "j").applyInPandas(compare, f"a {kind}, b {kind}, similarity double")
+    return tiles.groupBy("d", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}, similarity double")
 
 
 def band(score: Column, near: float = NEAR, border: float = BORDER) -> Column:
@@ -117,7 +125,8 @@ def band(score: Column, near: float = NEAR, border: float = BORDER) -> Column:
 def classify_duplicates(candidates: DataFrame, existing: DataFrame, id_col: str, vec_col: str, near: float = NEAR, border: float = BORDER,
                         rerank: Column | None = None, promote: float = PROMOTE) -> DataFrame:
     """(id, neighbour, similarity, outcome): each candidate's nearest other vector - of equals
-    the one with the smallest id, whatever the ids' type - and its band. ``rerank``, a score over (id, neighbour) columns, lifts borderline ones."""
+    the one with the smallest id, whatever the ids' type - and its band. A vector that is null, empty, or holds null or non-finite
+    components, and one that meets none of its length, is unique. ``rerank``, a score over (id, neighbour) columns, lifts borderline ones."""
     left = candidates.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
     right = existing.select(F.col(id_col).alias("neighbour"), F.col(vec_col).alias("w"))
     kinds = f"id {candidates.schema[id_col].dataType.simpleString()}, neighbour {existing.schema[id_col].dataType.simpleString()}, similarity double"

@@ -69,3 +69,15 @@ def test_the_index_agrees_with_the_scan(spark):
     q = [1.0] + [0.5] * 63
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"))
     assert vx.top_k(rows, vx.query_vector(q), 5, "chunk_id", "vec").count() == 5
+
+
+def test_pairs_with_odd_vectors_and_mixed_lengths(spark):
+    nan = float("nan")
+    rows = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [2.0, 0.0]), ("c", None), ("d", []), ("e", [nan, 1.0]), ("f", [1.0, None]), ("g", [1.0, 0.0, 0.0]), ("h", [3.0, 0.0, 0.0]), ("i", [0.0, 0.0])],
+                                 "k string, vec array<double>")
+    assert {(r["a"], r["b"]) for r in vx.similar_pairs(rows, 0.9, "k", "vec").collect()} == {("a", "b"), ("g", "h")}
+    out = {r["k"]: (r["neighbour"], r["outcome"]) for r in vx.classify_duplicates(rows, rows, "k", "vec").collect()}
+    assert out["a"] == ("b", "near_duplicate") and out["h"] == ("g", "near_duplicate") and len(out) == 9
+    assert all(out[k] == (None, "unique") for k in "cdef")
+    near = vx.top_k_joined(rows, rows.toDF("query_id", "query_vec"), 1, "k", "vec").collect()
+    assert {r["query_id"] for r in near} == {"a", "b", "g", "h", "i"}
