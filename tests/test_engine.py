@@ -92,7 +92,7 @@ def test_reports_and_evaluation(engine, spark):
     path = engine.evaluate_retrieval(2, rerank=lambda q, t: F.length(t).cast("double"), answer=lambda p: "said", judge=lambda p: "0.5 of it")
     text = open(path).read()
     assert "| n | hit_at_k_chunk |" in text and "## Re-ranking" in text and "| 0.5 | 0.5 | 0.5 | 0.5 | 0.5 |" in text
-    assert "n_components" in open(engine.evaluate_graph(lambda p: "1")).read() and "## louvain" in open(engine.evaluate_clusters()).read()
+    assert "n_components" in open(engine.evaluate_graph(lambda p: "1")).read() and "## sbm" in open(engine.evaluate_clusters()).read()
     assert "Decay report" in open(engine.report_decay(engine.decay(True), True)).read() and "Token report" in open(engine.report_tokens()).read()
     for q in ("graphs title number", "jones", "  ", "graphs graphs 1"):
         want = [(r["chunk_id"], r["score"]) for r in engine.lexical_search(q, 3).collect()]

@@ -116,10 +116,10 @@ def test_kmeans_and_router(spark):
     v = table(spark, [(f"n{i}", [float(i // 3), 1.0, 0.0, float(i % 3) / 10]) for i in range(8)], "node_id string, vec array<double>")
     assert cm.KMeansBackend(3).cluster(v, v, v).partition.agg(F.max("community_id")).first()[0] < 3
     assert [cm.KMeansBackend().pick_k(n) for n in (1, 8, 200, 10_000)] == [1, 2, 10, 20]
-    assert cm.Router().pick().name == "louvain"
+    assert cm.Router().pick().name == "sbm" and cm.Router().pick(cm.Rigor.HEURISTIC).name == "leiden"
     assert cm.Router().pick(cm.Rigor.EMBEDDINGS_ONLY).name == "embeddings"
     with pytest.raises(RuntimeError, match="available"):
-        cm.Router([cm.BlockModelBackend()]).pick()
+        cm.Router([cm.BlockModelBackend()]).pick(cm.Rigor.HEURISTIC)
 
 
 def test_stable_ids_small():
