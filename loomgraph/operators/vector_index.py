@@ -23,6 +23,8 @@ from . import vectors as vx
 
 #: Rows that centres are trained on, cells and codes at most, dimensions of a block.
 SAMPLE, CELLS, CODES, BLOCK_DIMS = 20_000, 1024, 64, 4
+#: Distances held at once.
+DISTANCES = 1 << 20
 #: Cells that the first search tries, and rows settled by their exact cosine for each row asked for.
 PROBES, DEPTH = 8, 20
 #: The recall that an index is tuned to, at so many results and with so many of its own vectors as queries.
@@ -36,12 +38,11 @@ def k_means(rows: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.nda
     k = max(1, min(k, len(rows)))
     centres = rows[np.random.default_rng(seed).choice(len(rows), k, replace=False)].copy()
     for _ in range(rounds):
-        d = _squares(rows, centres)
-        own = d.argmin(axis=1)
+        own, d = _closest(rows, centres)
         sums, n = np.zeros_like(centres), np.bincount(own, minlength=k)
         np.add.at(sums, own, rows)
         centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
-        far = iter(np.argsort(-d[np.arange(len(rows)), own]))
+        far = iter(np.argsort(-d))
         for empty in np.flatnonzero(n == 0):
             centres[empty] = rows[next(far)]
     return centres
@@ -51,6 +52,16 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None] - 2 * a @ b.T
 
 
+def _closest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of a its closest row of b and their squared distance, a slice of DISTANCES at a time."""
+    own, d = np.empty(len(a), np.int64), np.empty(len(a))
+    step = max(1, DISTANCES // len(b))
+    for i in range(0, len(a), step):
+        part = _squares(a[i : i + step], b)
+        own[i : i + step], d[i : i + step] = part.argmin(axis=1), part.min(axis=1)
+    return own, d
+
+
 @dataclass
 class Model:
     """Centres of the cells (cells x dim), and for each block of dimensions the centres of its codes."""
@@ -66,9 +77,9 @@ class Model:
         return [(i, min(i + BLOCK_DIMS, self.dim)) for i in range(0, self.dim, BLOCK_DIMS)]
 
     def encode(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cell = _squares(rows, self.cells).argmin(axis=1)
+        cell = _closest(rows, self.cells)[0]
         rest = rows - self.cells[cell]
-        return cell, np.stack([_squares(rest[:, a:b], c).argmin(axis=1) for (a, b), c in zip(self.blocks(), self.codes, strict=True)], axis=1)
+        return cell, np.stack([_closest(rest[:, a:b], c)[0] for (a, b), c in zip(self.blocks(), self.codes, strict=True)], axis=1)
 
     def probes(self, queries: np.ndarray, n: int) -> np.ndarray:
         """The n cells with the largest cosine bound for each query: those whose centres are nearest."""
@@ -97,9 +108,10 @@ def train(vectors: DataFrame, vec_col: str = "vec", sample: int = SAMPLE, cells:
     dims = good.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if dims is None:
         return None
-    rows = _unit(np.array([r["vec"] for r in good.where(F.size("vec") == dims["d"]).orderBy(F.xxhash64("vec")).limit(sample).collect()]))
+    drawn = good.where(F.size("vec") == dims["d"]).orderBy(F.xxhash64("vec")).limit(sample).toArrow()  # numbers, not Python objects
+    rows = _unit(drawn.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims["d"]))
     centres = k_means(rows, cells or min(CELLS, math.ceil(dims["count"] ** 0.5)))
-    rest = rows - centres[_squares(rows, centres).argmin(axis=1)]
+    rest = rows - centres[_closest(rows, centres)[0]]
     return Model(centres, [k_means(rest[:, i : i + BLOCK_DIMS], CODES) for i in range(0, dims["d"], BLOCK_DIMS)])
 
 

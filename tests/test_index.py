@@ -81,3 +81,18 @@ def test_pairs_with_odd_vectors_and_mixed_lengths(spark):
     assert all(out[k] == (None, "unique") for k in "cdef")
     near = vx.top_k_joined(rows, rows.toDF("query_id", "query_vec"), 1, "k", "vec").collect()
     assert {r["query_id"] for r in near} == {"a", "b", "g", "h", "i"}
+
+
+def test_training_holds_few_distances_at_once():
+    """A sample of 20,000 and 1,024 centres would be 164 MB of distances, several times over."""
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    rows, centres = r.normal(size=(20_000, 4)), r.normal(size=(1024, 4))
+    own, d = vi._closest(rows[:50], centres)
+    want = ((rows[:50, None] - centres[None]) ** 2).sum(axis=2)
+    assert (own == want.argmin(axis=1)).all() and np.allclose(d, want.min(axis=1))
+    tracemalloc.start()
+    vi.k_means(rows, 1024, rounds=1)
+    assert tracemalloc.get_traced_memory()[1] < 80e6
+    tracemalloc.stop()
