@@ -5,9 +5,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..stage import Stage, bound_arrow
+
 BLOCK = 1024
 TAU = 0.55
 NEAR, BORDER, PROMOTE = 0.95, 0.80, 0.85
@@ -54,14 +57,35 @@ def _unit(values: pd.Series) -> np.ndarray:
     return v / np.where(size == 0, np.inf, size)
 
 
-def _tiles(left: DataFrame, left_id: str, right: DataFrame, right_id: str):
-    """Both sides, (left_id, v) and (right_id, w), grouped to tiles (d, i, j): every block of the left meets every block of the
-    right, and a task holds one of each, about BLOCK rows of d dimensions."""
-    m, n = max(1, -(-left.count() // BLOCK)), max(1, -(-right.count() // BLOCK))
-    lt = left.withColumn("i", F.pmod(F.xxhash64(left_id), F.lit(m)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    rt = right.withColumn("j", F.pmod(F.xxhash64(right_id), F.lit(n)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    lt, rt = lt.where(usable(F.col("v"))).withColumn("d", F.size("v")), rt.where(usable(F.col("w"))).withColumn("d", F.size("w"))
-    return lt.groupBy("d", "i", "j").cogroup(rt.groupBy("d", "i", "j"))
+def _packed(rows: DataFrame, stage: Stage, name: str, n_blocks: int | None = None) -> DataFrame:
+    """(d, block, ids, mat) of (id, v) rows: blocks of about BLOCK usable vectors of d dimensions in order of their ids, ``mat``
+    their unit vectors. Each vector is shuffled and written once."""
+    n = n_blocks or max(1, -(-rows.count() // BLOCK))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        return pd.DataFrame({"d": pdf["d"].iloc[:1].to_numpy(), "block": pdf["block"].iloc[:1].to_numpy(), "ids": [pdf["id"].tolist()], "mat": [_unit(pdf["v"]).tobytes()]})
+
+    good = rows.where(usable(F.col("v"))).select("id", "v", F.size("v").alias("d"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"))
+    return stage.write(good.groupBy("d", "block").applyInPandas(pack, f"d int, block int, ids array<{kind}>, mat binary"), name)
+
+
+def _tiles(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(d, i, a, x, e, j, b, y): every block of the left beside every block of the right of its dimensions. A product of the
+    stored blocks, so nothing is shuffled: the condition is none that a join would hash."""
+    bound_arrow(left.sparkSession)
+    return left.toDF("d", "i", "a", "x").crossJoin(right.toDF("e", "j", "b", "y")).where("d - e = 0")
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], int, np.ndarray, np.ndarray, np.ndarray]]:
+    """((d, i), j, a, b, cosines) of the tiles."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            d, i, j = (batch.column(c)[r].as_py() for c in ("d", "i", "j"))
+            x, y = (np.frombuffer(batch.column(c)[r].as_buffer()).reshape(-1, d) for c in ("x", "y"))
+            a, b = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("a", "b"))
+            yield (d, i), j, a, b, x @ y.T
 
 
 def top_k_joined(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str, query_col: str = "query_id", query_vec: str = "query_vec") -> DataFrame:
@@ -70,19 +94,17 @@ def top_k_joined(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, ve
     Queries and rows meet in tiles, one matrix product each, and a tile keeps ``k`` rows a
     query; neither side is broadcast. Vectors that are null, empty or hold null or non-finite components
     have no neighbours, and only vectors of equal lengths meet."""
-    left = queries.select(F.col(query_col).alias("q"), F.col(query_vec).alias("v"))
-    right = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("w"))
-    kinds = f"q {left.schema['q'].dataType.simpleString()}, id {right.schema['id'].dataType.simpleString()}, score double"
-
-    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"q": a["q"][:0], "id": b["id"][:0], "score": pd.Series(dtype=float)})
-        b = b.sort_values("id")
-        sims = _unit(a["v"]) @ _unit(b["w"]).T
-        best = np.argsort(-np.round(sims, 4), axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"q": np.repeat(a["q"].to_numpy(), best.shape[1]), "id": b["id"].to_numpy()[best.ravel()], "score": np.take_along_axis(sims, best, axis=1).ravel()})
-
-    found = _tiles(left, "q", right, "id").applyInPandas(nearest, kinds).withColumn("score", F.round("score", 4))
+    stage = Stage(vectors.sparkSession, "nearest")
+    left = _packed(queries.select(F.col(query_col).alias("id"), F.col(query_vec).alias("v")), stage, "queries")
+    right = _packed(vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")), stage, "rows")
+    kinds = f"q {queries.schema[query_col].dataType.simpleString()}, id {vectors.schema[id_col].dataType.simpleString()}, score double"
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, a, b, sims in _met(batches):
+            best = np.argsort(-np.round(sims, 4), axis=1, kind="stable")[:, :k]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, best.shape[1])), pa.array(b[best.ravel()]), pa.array(np.take_along_axis(sims, best, axis=1).ravel())], names=["q", "id", "score"])
+
+    found = _tiles(left, right).mapInArrow(nearest, kinds).withColumn("score", F.round("score", 4))
     w = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(query_col), F.col("id").alias(id_col), "score", "rank")
 
@@ -90,32 +112,22 @@ def top_k_joined(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, ve
 def similar_pairs(vectors: DataFrame, threshold: float, id_col: str, vec_col: str, n_blocks: int | None = None) -> DataFrame:
     """(a, b, similarity) with a < b and cosine of ``threshold`` or more.
 
-    Vectors are hashed to blocks of about a thousand; each two blocks meet in one group and
-    are compared by one matrix product, so a task holds two blocks whatever the table's
+    Vectors are hashed to blocks of about a thousand; each two blocks meet in one row and
+    are compared by one matrix product, so a task holds few blocks whatever the table's
     size. Only pairs over the threshold leave it. Vectors that are null, empty or hold null or non-finite
     components are in no pair, and only vectors of equal lengths meet."""
-    if n_blocks is None:
-        n_blocks = max(1, -(-vectors.count() // BLOCK))
-    base = vectors.select(F.col(id_col).alias("id"), doubles(F.col(vec_col)).alias("vec")).where(usable(F.col("vec"))).withColumn("d", F.size("vec"))
-    base = base.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
-    sides = F.transform(F.sequence(F.lit(0), F.lit(n_blocks - 1)), lambda j: F.struct(
-        F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j")))
-    tiles = base.withColumn("tile", F.explode(sides)).select("id", "vec", "d", "block", "tile.i", "tile.j")
+    blocks = _packed(vectors.select(F.col(id_col).alias("id"), doubles(F.col(vec_col)).alias("v")), Stage(vectors.sparkSession, "pairs"), "blocks", n_blocks)
     kind = vectors.schema[id_col].dataType.simpleString()
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf if pdf["i"].iloc[0] == pdf["j"].iloc[0] else pdf[pdf["block"] == pdf["i"]]
-        right = pdf if pdf["i"].iloc[0] == pdf["j"].iloc[0] else pdf[pdf["block"] == pdf["j"]]
-        out = {"a": [], "b": [], "similarity": []}
-        if len(left) and len(right):
-            sims = _unit(left["vec"]) @ _unit(right["vec"]).T
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, i), j, left, right, sims in _met(batches):
             r, c = np.nonzero(sims >= threshold)
-            a, b, s = left["id"].to_numpy()[r], right["id"].to_numpy()[c], sims[r, c]
-            keep = a < b if left is right else a != b
-            out = {"a": np.minimum(a, b)[keep] if len(a) else a, "b": np.maximum(a, b)[keep] if len(a) else b, "similarity": s[keep]}
-        return pd.DataFrame(out)
+            a, b, s = left[r], right[c], sims[r, c]
+            keep = a < b if i == j else a != b
+            a, b, s = a[keep], b[keep], s[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(a < b, a, b)), pa.array(np.where(a < b, b, a)), pa.array(s)], names=["a", "b", "similarity"])
 
-    return tiles.groupBy("d", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}, similarity double")
+    return _tiles(blocks, blocks).where("i <= j").mapInArrow(compare, f"a {kind}, b {kind}, similarity double")
 
 
 def band(score: Column, near: float = NEAR, border: float = BORDER) -> Column:
@@ -127,19 +139,34 @@ def classify_duplicates(candidates: DataFrame, existing: DataFrame, id_col: str,
     """(id, neighbour, similarity, outcome): each candidate's nearest other vector - of equals
     the one with the smallest id, whatever the ids' type - and its band. A vector that is null, empty, or holds null or non-finite
     components, and one that meets none of its length, is unique. ``rerank``, a score over (id, neighbour) columns, lifts borderline ones."""
+    stage = Stage(candidates.sparkSession, "duplicates")
     left = candidates.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
-    right = existing.select(F.col(id_col).alias("neighbour"), F.col(vec_col).alias("w"))
+    blocks = _packed(left, stage, "candidates")
+    others = blocks if existing is candidates else _packed(existing.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")), stage, "existing")
     kinds = f"id {candidates.schema[id_col].dataType.simpleString()}, neighbour {existing.schema[id_col].dataType.simpleString()}, similarity double"
-    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"id": a["id"][:0], "neighbour": b["neighbour"][:0], "similarity": pd.Series(dtype=float)})
-        b = b.sort_values("neighbour")
-        sims = np.round(_unit(a["v"]) @ _unit(b["w"]).T, 12)
-        sims[a["id"].to_numpy()[:, None] == b["neighbour"].to_numpy()[None]] = -np.inf
-        at = sims.argmax(axis=1)
-        return pd.DataFrame({"id": a["id"].to_numpy(), "neighbour": b["neighbour"].to_numpy()[at], "similarity": sims[np.arange(len(a)), at]}).replace(-np.inf, np.nan).dropna()
-
-    best = _tiles(left, "id", right, "neighbour").applyInPandas(nearest, kinds)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told() -> pa.RecordBatch:
+            some = best > -np.inf
+            return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(near[some]), pa.array(best[some])], names=["id", "neighbour", "similarity"])
+
+        own = ids = near = best = None  # the block at hand: its tiles follow each other
+        for key, _, a, b, sims in _met(batches):
+            sims = np.round(sims, 12)
+            sims[a[:, None] == b[None]] = -np.inf
+            at = sims.argmax(axis=1)  # of equals the smallest id, as blocks are in order
+            s, n = sims[np.arange(len(a)), at], b[at]
+            if key != own:
+                if own is not None:
+                    yield told()
+                own, ids, near, best = key, a, n, s
+            else:
+                better = (s > best) | ((s == best) & (n < near))
+                near, best = np.where(better, n, near), np.where(better, s, best)
+        if own is not None:
+            yield told()
+
+    best = _tiles(blocks, others).mapInArrow(nearest, kinds)
     best = best.groupBy("id").agg(F.min_by(F.struct("neighbour", "similarity"), F.struct((-F.col("similarity")).alias("s"), "neighbour")).alias("t")).select("id", "t.neighbour", "t.similarity")
     out = best.withColumn("outcome", band(F.col("similarity"), near, border))
     if rerank is not None:

@@ -96,3 +96,15 @@ def test_training_holds_few_distances_at_once():
     vi.k_means(rows, 1024, rounds=1)
     assert tracemalloc.get_traced_memory()[1] < 80e6
     tracemalloc.stop()
+
+
+def test_tiles_are_not_shuffled(spark):
+    """Blocks are stored once and meet as they are; before, a vector was shuffled once for each block it met."""
+    r = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r.normal(size=(300, 4)))], "k long, vec array<double>")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    got = vx.similar_pairs(rows, 0.9, "k", "vec", n_blocks=7)
+    assert "hashpartitioning" not in plan(got)
+    x = np.array([v["vec"] for v in rows.orderBy("k").collect()])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert {(p["a"], p["b"]) for p in got.collect()} == {(a, b) for a, b in zip(*np.nonzero(x @ x.T >= 0.9), strict=True) if a < b}
