@@ -5,13 +5,18 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..ids import chunk_id
+from ..stage import bound_arrow
 
 MAX_CHARS, OVERLAP_CHARS = 3000, 400
+#: Bytes of the texts that are cut at once.
+PART_BYTES = 1 << 20
 # Fixed patterns of the places where a chunk may end.
 BREAKS = re.compile(r"\n#{1,6}\s+[^\n]+\n"), re.compile(r"\n\s*\n"), re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
 
@@ -51,14 +56,21 @@ def chunk_documents(docs: DataFrame, max_chars: int = MAX_CHARS, overlap: int =
         text = F.when(F.coalesce(F.col(title_col), F.lit("")) != "", F.concat(F.col(title_col), F.lit("\n\n"), text)).otherwise(text)
     kind = docs.schema[id_col].dataType.simpleString()
 
+    bound_arrow(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(i, k, s, e, t[s:e], len(spans)) for i, t in enumerate(batch.column(1).to_pylist())
-                    for spans in [chunk_spans(t, max_chars, overlap)] for k, (s, e) in enumerate(spans)]
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(cols[0], pa.int64())), *[pa.array(c, pa.int32()) for c in cols[1:4]], pa.array(cols[4], pa.string()), pa.array(cols[5], pa.int32())],
-                names=["id", "ordinal", "start_offset", "end_offset", "text", "total_chunks"])
+        for whole in batches:
+            # a few texts at a time: about PART_BYTES of them as Python objects, with their chunks
+            size, at = pc.cumulative_sum(pc.fill_null(pc.binary_length(whole.column(1)), 0).cast(pa.int64())).to_numpy(), 0
+            while at < whole.num_rows:
+                upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PART_BYTES, side="right")))
+                batch, at = whole.slice(at, upto - at), upto
+                rows = [(i, k, s, e, t[s:e], len(spans)) for i, t in enumerate(batch.column(1).to_pylist())
+                        for spans in [chunk_spans(t, max_chars, overlap)] for k, (s, e) in enumerate(spans)]
+                cols = list(zip(*rows, strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(cols[0], pa.int64())), *[pa.array(c, pa.int32()) for c in cols[1:4]], pa.array(cols[4], pa.string()), pa.array(cols[5], pa.int32())],
+                    names=["id", "ordinal", "start_offset", "end_offset", "text", "total_chunks"])
 
     out = docs.select(F.col(id_col).alias("id"), text.alias("text")).mapInArrow(
         run, f"id {kind}, ordinal int, start_offset int, end_offset int, text string, total_chunks int")

@@ -259,3 +259,17 @@ def test_triage(spark):
     assert one(spark, ig.triage(F.col("t")), t=head + "Abstract\n")["class"] == "pass"
     assert one(spark, ig.triage(F.col("t")), t=head)["class"] == "flag"
     assert one(spark, ig.triage(F.col("t")), t="\n" * 5 + "nothing")["reason"] == "missing: title, authors, abstract"
+
+
+def test_chunks_leave_in_small_batches(spark, monkeypatch):
+    """Texts are cut a few at a time, and batches into Python are bounded by bytes."""
+    from loomgraph.functions import chunking
+    from loomgraph.stage import ARROW_BYTES
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    monkeypatch.setattr(chunking, "PART_BYTES", 5000)
+    texts = [("x" * (i * 700)) if i else None for i in range(20)]
+    got = chunking.chunk_documents(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").coalesce(1))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= ARROW_BYTES
+    want = {(i, k, s, e) for i, t in enumerate(texts) for k, (s, e) in enumerate(chunking.chunk_spans(t or ""))}
+    assert {(r["doc_id"], r["ordinal"], r["start_offset"], r["end_offset"]) for r in got.collect()} == want
