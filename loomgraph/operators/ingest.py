@@ -50,17 +50,23 @@ ABSTRACT_MARKS = (r"\b[Aa]bstract\b|\bSUMMARY\b", r"\n\s*\n([^\n]{250,})")
 
 def triage(text: Column, readable: Column | None = None, skip_lines: int = 5) -> Column:
     """struct(class, reason, has_title, has_authors, has_abstract) of a probe's text."""
+    # the text's lines and each mark are named once, so that they are looked for once
     body = F.array_join(F.slice(F.split(text, "\n", -1), skip_lines + 1, 1 << 30), "\n")
-    title = body.rlike(TITLE_LINE)
-    authors = body.rlike(AUTHOR_LINES[0]) | body.rlike(AUTHOR_LINES[1]) | body.rlike(AUTHOR_LINES[2])
-    abstract = body.rlike(ABSTRACT_MARKS[0]) | body.rlike(ABSTRACT_MARKS[1])
-    missing = F.concat_ws(", ", F.when(~title, "title"), F.when(~authors, "authors"), F.when(~abstract, "abstract"))
-    ok = F.lit(True) if readable is None else readable
-    label = F.when(~ok | text.isNull(), "unknown").when(title & authors & abstract, "pass").when(title & authors, "flag").otherwise("defer")
-    reason = F.when(label == "unknown", "text unavailable").when(label == "pass", "title, authors and abstract found").when(
-        label == "flag", "no abstract mark; the paragraph fallback applies").otherwise(F.concat(F.lit("missing: "), missing))
-    return F.struct(label.alias("class"), reason.alias("reason"), F.coalesce(title, F.lit(False)).alias("has_title"),
-                    F.coalesce(authors, F.lit(False)).alias("has_authors"), F.coalesce(abstract, F.lit(False)).alias("has_abstract"))
+    marks = F.transform(F.array(body), lambda b: F.struct(
+        b.rlike(TITLE_LINE).alias("title"), (b.rlike(AUTHOR_LINES[0]) | b.rlike(AUTHOR_LINES[1]) | b.rlike(AUTHOR_LINES[2])).alias("authors"),
+        (b.rlike(ABSTRACT_MARKS[0]) | b.rlike(ABSTRACT_MARKS[1])).alias("abstract")))
+
+    def told(m: Column) -> Column:
+        title, authors, abstract = m["title"], m["authors"], m["abstract"]
+        missing = F.concat_ws(", ", F.when(~title, "title"), F.when(~authors, "authors"), F.when(~abstract, "abstract"))
+        ok = F.lit(True) if readable is None else readable
+        label = F.when(~ok | text.isNull(), "unknown").when(title & authors & abstract, "pass").when(title & authors, "flag").otherwise("defer")
+        reason = F.when(label == "unknown", "text unavailable").when(label == "pass", "title, authors and abstract found").when(
+            label == "flag", "no abstract mark; the paragraph fallback applies").otherwise(F.concat(F.lit("missing: "), missing))
+        return F.struct(label.alias("class"), reason.alias("reason"), F.coalesce(title, F.lit(False)).alias("has_title"),
+                        F.coalesce(authors, F.lit(False)).alias("has_authors"), F.coalesce(abstract, F.lit(False)).alias("has_abstract"))
+
+    return F.transform(marks, told)[0]
 
 
 def doc_ids(rows: DataFrame, name_col: str = "filename", order: str = "path", taken: DataFrame | None = None) -> DataFrame:
