@@ -48,8 +48,9 @@ def vault_slug(text: Column, max_len: int = 64) -> Column:
 
 def reason_slug(text: Column) -> Column:
     """Quarantine slug: runs outside A-Za-z0-9._- to "_"."""
-    s = F.regexp_replace(F.regexp_replace(text, "[^A-Za-z0-9._-]+", "_"), "^_+|_+$", "")
-    return F.when(F.coalesce(s, F.lit("")) == "", F.lit("unknown")).otherwise(s)
+    s = F.btrim(F.regexp_replace(text, "[^A-Za-z0-9._-]+", "_"), F.lit("_"))
+    # named once, so that the text is gone over once
+    return F.transform(F.array(s), lambda x: F.when(F.coalesce(x, F.lit("")) == "", F.lit("unknown")).otherwise(x))[0]
 
 
 def author_key(name: Column) -> Column:

@@ -273,3 +273,17 @@ def test_chunks_leave_in_small_batches(spark, monkeypatch):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= ARROW_BYTES
     want = {(i, k, s, e) for i, t in enumerate(texts) for k, (s, e) in enumerate(chunking.chunk_spans(t or ""))}
     assert {(r["doc_id"], r["ordinal"], r["start_offset"], r["end_offset"]) for r in got.collect()} == want
+
+
+def test_patterns_are_named_once(spark):
+    """A pattern that a plan names several times is looked for several times in each text."""
+    from loomgraph import ids
+    from loomgraph.operators import ingest as ig
+
+    df = spark.createDataFrame([(1, "__a b__"), (2, "???"), (3, None), (4, "")], "i int, text string")
+    slugs = df.select("i", ids.reason_slug(F.col("text")).alias("s"))
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(slugs).count("A-Za-z0-9._-") == 1
+    assert [r["s"] for r in slugs.orderBy("i").collect()] == ["a_b", "unknown", "unknown", "unknown"]
+    flags = df.select("i", ig.triage(F.col("text"), skip_lines=0).alias("t")).select("t.class", "t.has_title", "t.has_abstract")
+    assert plan(flags).count("[Aa]bstract") == 1
