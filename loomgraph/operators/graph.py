@@ -14,6 +14,8 @@ from .components import components as _components
 SUMMARY_WEIGHT, CITE_WEIGHT = 10.0, 5.0
 #: Documents of one entity that one task pairs.
 HOT = 5000
+#: Pairs that one task sums.
+PAIRS = 1_000_000
 RELATION = {"author": "authored_by", "citation": "cites", "topic": "about"}
 
 
@@ -126,23 +128,33 @@ def semantic_edges(pairs: DataFrame) -> DataFrame:
 def project(edges: DataFrame, max_df: int | None = None) -> DataFrame:
     """(a, b, weight): documents linked by shared entities (1 each) and by direct edges.
 
-    The self-join is on the entity. An entity of more than HOT documents is cut to blocks of
-    about that many, and every two blocks are a key of their own, so its pairs are made by many
-    tasks. ``max_df`` leaves out entities of more documents; by default none is."""
+    An entity's documents are a sorted list, and each document gets the rest of the list, so that
+    pairs are made only where they are summed. An entity of more than HOT documents is cut to
+    lists of about that many, and every two lists meet by themselves; a document of more than PAIRS
+    pairs is summed by several tasks. ``max_df`` leaves out entities of more documents; by default none is."""
     is_doc = lambda c: F.col(c).startswith(ids.DOC)
-    touch = edges.where(is_doc("src") & ~is_doc("dst")).select(F.col("src").alias("d"), F.col("dst").alias("e")).unionByName(
-        edges.where(is_doc("dst") & ~is_doc("src")).select(F.col("dst").alias("d"), F.col("src").alias("e"))).distinct()
+    touch = edges.where(is_doc("src") != is_doc("dst")).select(F.when(is_doc("src"), F.col("src")).otherwise(F.col("dst")).alias("d"), F.when(is_doc("src"), F.col("dst")).otherwise(F.col("src")).alias("e"))
     if max_df is not None:
+        touch = touch.distinct()
         touch = touch.join(touch.groupBy("e").count().where(F.col("count") <= max_df).select("e"), "e", "left_semi")
-    hot = touch.groupBy("e").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("e", F.ceil(F.col("n") / HOT).cast("int").alias("n"))
-    cut = touch.join(hot, "e", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("k", F.pmod(F.xxhash64("d"), F.col("n")).cast("int"))
-    left = cut.select("e", F.col("d").alias("a"), F.col("k").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
-    right = cut.select("e", F.col("d").alias("b"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"), F.col("k").alias("j"))
-    shared = left.join(right, ["e", "i", "j"]).where("a < b").select("a", "b", F.lit(1.0).alias("weight"))
+    hot = touch.groupBy("e").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("e", F.ceil(F.col("n") / HOT).cast("int").alias("n"))  # a row HOT rows at most
+    cut = touch.join(F.broadcast(hot), "e", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("k", F.when(F.col("n") > 1, F.pmod(F.xxhash64("d"), F.col("n"))).otherwise(0).cast("int"))
+    made = Stage(edges.sparkSession, "project").write(cut.repartition("e", "k").groupBy("e", "k").agg(F.array_sort(F.collect_set("d")).alias("z"), F.first("n").alias("n")), "lists")
+    own = made.select("z", F.posexplode("z").alias("i", "a")).select("a", F.slice("z", F.col("i") + 2, F.size("z")).alias("bs"))
+    far = made.where("n > 1").select("e", "k", "z", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j")).where("j <> k").join(made.where("n > 1").select("e", F.col("k").alias("j"), F.col("z").alias("y")), ["e", "j"])
+    far = far.repartition("e", "k", "j").select("y", F.explode("z").alias("a")).select("a", F.filter("y", lambda b: b > F.col("a")).alias("bs"))
+    shared = own.unionByName(far).where(F.size("bs") > 0).select("a", "bs", F.lit(1.0).alias("weight"))
     w = (F.when(F.col("relation") == "shares_summary_with", SUMMARY_WEIGHT * F.coalesce("similarity", F.lit(1.0)))
          .when(F.col("relation") == "cites", F.lit(CITE_WEIGHT)).otherwise(F.lit(1.0)))
-    direct = edges.where(is_doc("src") & is_doc("dst") & (F.col("src") != F.col("dst"))).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), w.alias("weight"))
-    return shared.unionByName(direct).groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+    direct = edges.where(is_doc("src") & is_doc("dst") & (F.col("src") != F.col("dst"))).select(F.least("src", "dst").alias("a"), F.array(F.greatest("src", "dst")).alias("bs"), w.alias("weight"))
+    pairs = F.col("n") * F.size("z").cast("long")  # of one document, about
+    dense = made.select(F.explode("z").alias("a"), pairs.alias("p")).groupBy("a").agg(F.sum("p").alias("p")).where(F.col("p") > PAIRS).select("a", F.ceil(F.col("p") / PAIRS).cast("int").alias("cuts"))
+    rows = shared.unionByName(direct).join(F.broadcast(dense), "a", "left").select("a", "bs", "weight", F.coalesce("cuts", F.lit(1)).alias("cuts"))  # a row PAIRS pairs at most
+    rows = rows.select("a", "bs", "weight", "cuts", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"))
+    rows = rows.select("a", "cut", "weight", F.when(F.col("cuts") > 1, F.filter("bs", lambda b: F.pmod(F.xxhash64(b), F.col("cuts")) == F.col("cut"))).otherwise(F.col("bs")).alias("bs"))
+    total = made.agg(F.sum(pairs * F.size("z"))).first()[0] or 0
+    dealt = rows.repartition(max(int(edges.sparkSession.sparkContext.defaultParallelism), math.ceil(total / 2 / PAIRS)), "a", "cut")
+    return dealt.select("a", "cut", "weight", F.explode("bs").alias("b")).groupBy("a", "cut", "b").agg(F.sum("weight").alias("weight")).select("a", "b", "weight")
 
 
 # --- degrees and hubs -------------------------------------------------------------------

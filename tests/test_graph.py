@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from hypothesis import given
@@ -306,3 +307,28 @@ def test_publish(spark):
     flat = table(spark, [("a", 1.0, 2.0), ("b", 3.0, 2.0)], "id string, x double, y double")
     assert {r["id"]: (r["x"], r["y"]) for r in pb.normalised(flat).collect()} == {"a": (-1.0, 0.0), "b": (1.0, 0.0)}
     assert '"t":2' in pb.capabilities(t=flat).first()["json"]
+
+
+def test_projection_sums_pairs_where_they_are_made(spark, monkeypatch):
+    """No pair is shuffled, and documents of many pairs are summed by several tasks; the pairs stay the same."""
+    rows = [(f"doc::{i % 12}", f"topic::{i % 5}", "about", None) for i in range(60)] + [(f"doc::{i}", f"topic::{i % 3}", "about", None) for i in range(0, 40, 3)]
+    rows += [("topic::1", "doc::77", "about", None), ("doc::3", "doc::1", "cites", None), (None, "topic::1", "about", None)]
+    edges = table(spark, rows, "src string, dst string, relation string, similarity double")
+    of = {}
+    for s, d, _, _ in rows:
+        if s and not (s.startswith("doc") and d.startswith("doc")):
+            of.setdefault(max(s, d), set()).add(min(s, d))
+    want = {("doc::1", "doc::3"): 5.0}
+    for docs in of.values():
+        for a in docs:
+            for b in docs:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0.0) + 1.0
+    whole = gx.project(edges)
+    text = whole._jdf.queryExecution().toString()
+    assert not re.search(r"hashpartitioning\(a#\d+, b#\d+", text[text.index("== Physical Plan =="):])
+    assert {(r["a"], r["b"]): r["weight"] for r in whole.collect()} == want
+    for hot, pairs in ((4, 1000), (5000, 6), (4, 6)):
+        monkeypatch.setattr(gx, "HOT", hot)
+        monkeypatch.setattr(gx, "PAIRS", pairs)
+        assert {(r["a"], r["b"]): r["weight"] for r in gx.project(edges).collect()} == want
