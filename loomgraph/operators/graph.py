@@ -200,9 +200,9 @@ def majority_reattach(hubs: DataFrame, edges: DataFrame, partition: DataFrame, n
     one; ties to the lowest id, none to fresh ids above all in order of the hub. A neighbour
     votes once as successor and once as predecessor, parallel edges apart. One round: hubs do
     not vote for each other."""
-    once = edges.select(F.col(src).alias("x"), F.col(dst).alias("y")).distinct()
-    both = once.select(F.col("x").alias(node_col), F.col("y").alias("o")).unionByName(once.select(F.col("y").alias(node_col), F.col("x").alias("o")))
-    votes = (both.join(hubs.select(node_col), node_col, "left_semi").join(partition.select(F.col(node_col).alias("o"), "community_id"), "o")
+    ends = F.explode(F.array(F.struct(F.col(src).alias(node_col), F.col(dst).alias("o"), F.lit(True).alias("out")), F.struct(F.col(dst).alias(node_col), F.col(src).alias("o"), F.lit(False).alias("out"))))
+    both = edges.select(ends.alias("x")).select("x.*").join(hubs.select(node_col), node_col, "left_semi").distinct()  # the edges are read once, and those of hubs alone are compared
+    votes = (both.join(partition.select(F.col(node_col).alias("o"), "community_id"), "o")
              .groupBy(node_col, "community_id").agg(F.count(F.lit(1)).alias("v")))
     won = votes.groupBy(node_col).agg(F.max_by("community_id", F.struct(F.col("v"), (-F.col("community_id")).alias("n"))).alias("community_id"))
     top = partition.agg(F.coalesce(F.max("community_id"), F.lit(-1)).alias("top"))

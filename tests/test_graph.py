@@ -14,6 +14,8 @@ from loomgraph.operators import publish as pb
 from loomgraph.operators import retrieve as rt
 from loomgraph.operators import tokens as tk
 from loomgraph.operators import vectors as vx
+from loomgraph.plans import QUERIES
+from tests.conftest import SF
 
 KARATE = [(1, b) for b in (2, 3, 4, 5, 6, 7, 8, 9, 11, 12, 13, 14, 18, 20, 22, 32)] + [(2, b) for b in (3, 4, 8, 14, 18, 20, 22, 31)] + [(3, b) for b in (4, 8, 9, 10, 14, 28, 29, 33)] + [
     (4, 8), (4, 13), (4, 14), (5, 7), (5, 11), (6, 7), (6, 11), (6, 17), (7, 17), (9, 31), (9, 33), (9, 34), (10, 34), (14, 34), (15, 33), (15, 34), (16, 33), (16, 34), (19, 33), (19, 34), (20, 34),
@@ -332,3 +334,9 @@ def test_projection_sums_pairs_where_they_are_made(spark, monkeypatch):
         monkeypatch.setattr(gx, "HOT", hot)
         monkeypatch.setattr(gx, "PAIRS", pairs)
         assert {(r["a"], r["b"]): r["weight"] for r in gx.project(edges).collect()} == want
+
+
+def test_hubs_are_found_over_stored_edges(spark):
+    """The plan that reattaches them does not read the items again for every use of edges and hubs."""
+    plan = QUERIES["reattach"](spark, SF)._jdf.queryExecution().toString()
+    assert "l_partkey" not in plan[plan.index("== Physical Plan =="):]
