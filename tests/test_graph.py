@@ -340,3 +340,9 @@ def test_hubs_are_found_over_stored_edges(spark):
     """The plan that reattaches them does not read the items again for every use of edges and hubs."""
     plan = QUERIES["reattach"](spark, SF)._jdf.queryExecution().toString()
     assert "l_partkey" not in plan[plan.index("== Physical Plan =="):]
+
+
+def test_modularity_counts_no_pairs(spark):
+    """Sales are links of their own, so no task holds a row for every part and supplier."""
+    plan = QUERIES["modularity"](spark, SF)._jdf.queryExecution().toString()
+    assert not re.search(r"Aggregate\(keys=\[[^\]]*l_partkey", plan[plan.index("== Physical Plan =="):])
