@@ -127,12 +127,13 @@ def math_retry(real: Column, broken: Column, min_broken: int = 5, min_ratio: flo
 
 def clean_list(items: Column) -> Column:
     """Stripped items without empty ones; of those alike but for case the first stays."""
-    stripped = F.filter(F.transform(items, lambda x: strip(x.cast("string"))), lambda x: x.isNotNull() & (x != ""))
-    # alike items are neighbours once sorted by key and place: n log n, for lists of any length
-    placed = F.array_sort(F.transform(stripped, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("x"))))
+    stripped = F.filter(F.transform(items, lambda x: F.btrim(x.cast("string"), F.lit(" \t\n\x0b\f\r"))), lambda x: x.isNotNull() & (x != ""))
+    # alike items are neighbours once sorted by key and place: n log n, for lists of any length; sort_array compares
+    # without the expressions that array_sort evaluates for every two items
+    placed = F.sort_array(F.transform(stripped, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("x"))))
     first = lambda s: F.filter(s, lambda e, n: (n == 0) | (e["k"] != F.get(s, n - 1)["k"]))
     kept = let(placed, first)
-    return F.transform(F.array_sort(F.transform(kept, lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x")))), lambda e: e["x"])
+    return F.transform(F.sort_array(F.transform(kept, lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x")))), lambda e: e["x"])
 
 
 def split_authors(c: Column) -> Column:

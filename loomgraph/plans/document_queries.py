@@ -240,8 +240,9 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 f AS (SELECT doc_id, lower(x) AS k, arg_min(x, p) AS x, min(p) AS p FROM u WHERE x <> '' GROUP BY ALL) SELECT doc_id, coalesce(list(x ORDER BY p), []) AS items FROM f GROUP BY doc_id""")
 def clean_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of each text, of those alike but for case the first."""
-    d = read(spark, sf_dir, "documents").select("doc_id", tx.clean_list(F.split("text", " ")).alias("items"))
-    return d.where(F.size("items") > 0)
+    # a text with something else than white space has an item; the list is made once
+    d = read(spark, sf_dir, "documents").where(F.col("text").rlike(r"\S"))
+    return d.select("doc_id", tx.clean_list(F.split("text", " ")).alias("items"))
 
 
 @R.add("SELECT tag, count(*) AS n FROM (SELECT unnest(string_split(o_orderpriority, '-')) AS tag FROM orders) GROUP BY tag")

@@ -346,3 +346,13 @@ def test_modularity_counts_no_pairs(spark):
     """Sales are links of their own, so no task holds a row for every part and supplier."""
     plan = QUERIES["modularity"](spark, SF)._jdf.queryExecution().toString()
     assert not re.search(r"Aggregate\(keys=\[[^\]]*l_partkey", plan[plan.index("== Physical Plan =="):])
+
+
+def test_clean_list_is_made_once(spark):
+    """One evaluation of the list a text, and no comparison by expressions; blank texts give no row."""
+    plan = QUERIES["clean_list"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sort_array(") <= 2 and "array_sort(" not in plan
+    from loomgraph.functions import text as tx
+
+    got = spark.createDataFrame([(["\x0b b\t", "a", "B", "", " \n", "A", "c d\f", None],)], "x array<string>").select(tx.clean_list(F.col("x")).alias("x")).first()["x"]
+    assert got == ["b", "a", "c d"]
