@@ -23,8 +23,7 @@ def bare_id(node_id: Column) -> Column:
 def slug(text: Column) -> Column:
     """Graph slug: lower case, runs of anything but a-z and 0-9 to "_", at most 100."""
     s = F.regexp_replace(F.regexp_replace(F.lower(_trim_ws(F.coalesce(text, F.lit("")))), "[^a-z0-9]+", "_"), "^_+|_+$", "")
-    s = F.substring(s, 1, 100)
-    return F.when(s == "", F.lit("unknown")).otherwise(s)
+    return F.regexp_replace(F.substring(s, 1, 100), "^$", "unknown")  # named once, so that the text is gone over once
 
 
 def concept_slug(text: Column) -> Column:

@@ -91,13 +91,13 @@ def build_graph(docs: DataFrame, entities: DataFrame, id_col: str = "doc_id") ->
     doc_nodes = docs.select(ids.doc_node(F.col(id_col)).alias("node_id"), F.lit("document").alias("node_type"), F.lit(None).cast("string").alias("entity_type"),
                             F.lit(None).cast("string").alias("name"), attr("title", "string").alias("title"), attr("year", "int").alias("year"),
                             attr("doi", "string").alias("doi"), attr("arxiv_id", "string").alias("arxiv_id"))
-    own = deduplicate_entities(entities, ["doc_id"])
+    own = deduplicate_entities(entities, ["doc_id"])  # the pairs' keys are a set already
     first = deduplicate_entities(entities)
     null = lambda kind: F.lit(None).cast(kind)
     entity_nodes = first.select(F.col("key").alias("node_id"), F.lit("entity").alias("node_type"), F.col("type").alias("entity_type"), "name", null("string").alias("title"),
                                 null("int").alias("year"), null("string").alias("doi"), null("string").alias("arxiv_id"))
     typed = _edges(own, ids.doc_node(F.col("doc_id")), F.col("key"), relation_of(F.col("type")), F.col("confidence"), F.create_map(F.lit("source"), F.col("source")))
-    pairs = _edges(co_mentions(own), F.col("a"), F.col("b"), F.lit("co_mentioned_in"), F.lit("INFERRED"), F.create_map(F.lit("doc"), ids.doc_node(F.col("doc_id"))))
+    pairs = _edges(co_mentions(entities), F.col("a"), F.col("b"), F.lit("co_mentioned_in"), F.lit("INFERRED"), F.create_map(F.lit("doc"), ids.doc_node(F.col("doc_id"))))
     return doc_nodes.unionByName(entity_nodes), typed.unionByName(pairs)
 
 

@@ -356,3 +356,11 @@ def test_clean_list_is_made_once(spark):
 
     got = spark.createDataFrame([(["\x0b b\t", "a", "B", "", " \n", "A", "c d\f", None],)], "x array<string>").select(tx.clean_list(F.col("x")).alias("x")).first()["x"]
     assert got == ["b", "a", "c d"]
+
+
+def test_pairs_of_a_document_need_no_sorting_out_first(spark):
+    """Entities are made distinct for the typed edges alone; a name without a slug is unknown."""
+    plan = QUERIES["graph_edges"](spark, SF)._jdf.queryExecution().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(doc_id#\d+L?, key#", plan[plan.index("== Physical Plan =="):])) == 1
+    names = spark.createDataFrame([(" ?! ",), (None,), ("A b",), ("",)], "x string")
+    assert [r[0] for r in names.select(gx.ids.slug(F.col("x"))).collect()] == ["unknown", "unknown", "a_b", "unknown"]
