@@ -106,8 +106,10 @@ def decode(content: Column) -> Column:
 
 def ingest(files: DataFrame, known: DataFrame, publisher: DataFrame | None = None, extractor: Callable[[DataFrame], DataFrame] | None = None,
            hooks: Hooks | None = None, ts: Column | None = None, alias_author: bool = False,
-           profiles: dict[str, px.Profile] | None = None, taken: DataFrame | None = None) -> DataFrame:
-    """One row a file with its outcome: status, reason, profile, record, doc_id.
+           profiles: dict[str, px.Profile] | None = None, taken: DataFrame | None = None, whole: bool = True) -> DataFrame:
+    """One row a file with its outcome: status, reason, profile, record, doc_id. Without ``whole`` the outcome
+    alone, all that a manifest needs: no text, record or doc_id is kept, and a record is made only as
+    far as the contracts look at it.
 
     ``files``: path, filename, subdir, suffix, size, content_hash, content (or text).
     ``known``: hashes of files ingested before. The order is that of the cascade: known hash,
@@ -144,7 +146,10 @@ def ingest(files: DataFrame, known: DataFrame, publisher: DataFrame | None = Non
     # Copies may be many: their first path comes from partial minima and meets the rows in a
     # join that splits where one hash is hot. The rows, texts read and records made, are
     # written once in between.
-    flat = Stage(files.sparkSession, "ingest").write(flat.withColumn("fine", F.coalesce(fine, F.lit(False))), "read")
+    flat = flat.withColumn("fine", F.coalesce(fine, F.lit(False)))
+    if not whole:
+        flat = flat.select(*(c for c in ("path", "filename", "subdir", "suffix", "size", "content_hash", "known", "flight", "yield", "error", "profile", "contract", "fine") if c in flat.columns))
+    flat = Stage(files.sparkSession, "ingest").write(flat, "read")
     fine = F.col("fine")
     error = F.col("error") if "error" in flat.columns else F.lit(None).cast("string")
     first = flat.where(fine).groupBy(F.col("content_hash").alias("h")).agg(F.min("path").alias("first_path"))
@@ -155,6 +160,8 @@ def ingest(files: DataFrame, known: DataFrame, publisher: DataFrame | None = Non
     reason = (F.when(F.col("known").isNotNull() | again, F.concat(F.lit("existing_hash:"), F.substring("content_hash", 1, 12))).when(F.col("flight").isNotNull(), F.col("flight"))
               .when(error.isNotNull(), F.concat(F.lit("extractor_error:"), error)).when(F.col("yield").isNotNull(), F.col("yield")).otherwise(F.col("contract.reason")))
     out = flat.withColumns({"status": status, "reason": reason, "ts": ts if ts is not None else F.current_timestamp(), "extractor_version": F.lit(EXTRACTOR)})
+    if not whole:
+        return hooks.run("post_ingest", out.drop("known", "first_path", "contract", "flight", "yield", "fine"))
     named = doc_ids(out.where("status = 'ingested'").select("path", "filename"), taken=taken).select("path", "doc_id")
     out = out.join(named, "path", "left")
     return hooks.run("post_ingest", out.drop("known", "body", "pub", "first_path", "contract", "flight", "yield", "fine"))

@@ -56,7 +56,7 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cascade's order decides between duplicate and quarantined. The toxic ones were there before."""
     toxic = read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
     known = read(spark, sf_dir, "documents").join(toxic, "doc_id", "left_semi").select(F.sha2("text", 256).alias("hash"))
-    return ig.status_counts(ig.ingest(files(spark, sf_dir), known, profiles=NOTHING))
+    return ig.status_counts(ig.ingest(files(spark, sf_dir), known, profiles=NOTHING, whole=False))
 
 
 @R.add("SELECT doc_id, 'extract_yield_too_low:' || length(text) || '<200' AS reason FROM documents WHERE length(text) < 200")

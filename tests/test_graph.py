@@ -364,3 +364,11 @@ def test_pairs_of_a_document_need_no_sorting_out_first(spark):
     assert len(re.findall(r"Exchange hashpartitioning\(doc_id#\d+L?, key#", plan[plan.index("== Physical Plan =="):])) == 1
     names = spark.createDataFrame([(" ?! ",), (None,), ("A b",), ("",)], "x string")
     assert [r[0] for r in names.select(gx.ids.slug(F.col("x"))).collect()] == ["unknown", "unknown", "a_b", "unknown"]
+
+
+def test_outcomes_alone_keep_no_texts(spark):
+    from loomgraph.operators import ingest as ig
+    from loomgraph.plans.document_queries import NOTHING, files
+
+    out = ig.ingest(files(spark, SF), spark.createDataFrame([], "hash string"), profiles=NOTHING, whole=False)
+    assert not {"text", "record", "abstract"} & set(out.columns) and {"status", "reason"} <= set(out.columns)
