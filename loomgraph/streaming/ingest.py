@@ -20,7 +20,7 @@ def ingest_batch(manifest_path: str, profiles: dict | None = None, sink: Callabl
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = read_manifest(spark, manifest_path).where(F.col("batch") != number)
-        out = ig.ingest(batch, ig.known_hashes(before), profiles=profiles).persist()
+        out = ig.ingest(batch, ig.known_hashes(before), profiles=profiles, whole=sink is not None).persist()
         try:
             ig.manifest_rows(out).write.mode("overwrite").parquet(f"{manifest_path}/batch={number}")
             if sink is not None:
