@@ -14,11 +14,13 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import tables as tb
+from ..stage import Stage, bound_arrow
 from . import vectors as vx
 
 #: Rows that centres are trained on, cells and codes at most, dimensions of a block.
@@ -29,8 +31,8 @@ DISTANCES = 1 << 20
 PROBES, DEPTH = 8, 20
 #: The recall that an index is tuned to, at so many results and with so many of its own vectors as queries.
 RECALL, RESULTS, TRIALS = 0.95, 10, 100
-#: Queries that are broadcast; more meet the cells in a shuffle.
-BROADCAST_QUERIES = 5_000
+#: Rows of a chunk of a cell, and queries of a block, that meet in a tile.
+CHUNK, QUERIES = 1024, 256
 
 
 def k_means(rows: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -146,22 +148,25 @@ def build(vectors: DataFrame, path: str, model: Model | None = None, id_col: str
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, id_col: str, vec_col: str) -> DataFrame:
-    """(q, id) of the k nearest by brute force: a bounded set of queries (q, v) against all rows."""
-    pairs = rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("x")).crossJoin(F.broadcast(queries))
-    scored = pairs.select("q", "id", F.round(vx.cosine(F.col("x"), F.col("v")), 4).alias("score"))
-    return scored.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("r") <= k).select("q", "id")
+    """(q, id) of the k nearest by brute force: queries (q, v) against all rows, in tiles. What has no cosine is left out on either side."""
+    asked = queries.where(_fine(F.col("v"))).select(F.col("q").alias("query_id"), F.col("v").alias("query_vec"))
+    told = vx.top_k_joined(rows.where(_fine(F.col(vec_col))).select(F.col(id_col).alias("id"), F.col(vec_col).alias("x")), asked, k, "id", "x")
+    return told.select(F.col("query_id").alias("q"), "id")
 
 
 def tune(spark: SparkSession, path: str, id_col: str, vec_col: str) -> tuple[int, float, int]:
     """(cells to search, recall, queries): the cells are doubled until a sample of the index finds RECALL of what brute force finds."""
     rows, cells = spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/model").where("part = 'cell'").count()
-    queries = rows.orderBy(F.xxhash64(id_col), id_col).limit(TRIALS).select(F.col(id_col).alias("q"), F.col(vec_col).alias("v"))
+    sample = rows.orderBy(F.xxhash64(id_col), id_col).limit(TRIALS).select(F.col(id_col).alias("q"), F.col(vec_col).alias("v"))
+    stage = Stage(spark, "tune")
+    queries, chunks = stage.write(sample, "queries"), stage.write(chunked(spark, path, id_col, vec_col), "chunks")
     want = {(r["q"], r["id"]) for r in nearest(queries, rows, RESULTS, id_col, vec_col).collect()}  # TRIALS x RESULTS at most
     probes = min(PROBES, cells)
     while True:
-        got = search_many(queries, path, RESULTS, "q", "v", id_col, vec_col, probes=probes).select("q", id_col).collect()
+        got = search_many(queries, path, RESULTS, "q", "v", id_col, vec_col, probes=probes, chunks=chunks).select("q", id_col).collect()
         recall = len(want & {(r[0], r[1]) for r in got}) / max(1, len(want))
         if recall >= RECALL or probes >= cells:
+            stage.drop("chunks")
             return probes, recall, len({q for q, _ in want})
         probes = min(cells, 2 * probes)
 
@@ -203,30 +208,64 @@ def search(spark: SparkSession, path: str, query: Sequence[float], k: int, id_co
     return best.withColumn("score", score).drop("__about", "unit", "codes", "cell").orderBy(F.desc("score"), id_col).limit(k)
 
 
+def chunked(spark: SparkSession, path: str, id_col: str = "chunk_id", vec_col: str = "vec") -> DataFrame:
+    """(cell, ids, mat, codes): the rows of an index in chunks of about CHUNK rows of a cell, in order of their ids; ``mat`` their unit vectors."""
+    rows = spark.read.parquet(f"{path}/rows").select(F.col(id_col).alias("id"), vx.doubles(F.col(vec_col)).alias("x"), "codes", "cell")
+    kind = rows.schema["id"].dataType.simpleString()
+    cuts = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("cuts"))  # a row a cell
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        codes, mat = np.stack(pdf["codes"].to_numpy()).astype(np.int16), _unit(np.stack(pdf["x"].to_numpy()).astype(float))
+        return pd.DataFrame({"cell": pdf["cell"].iloc[:1].to_numpy(), "ids": [pdf["id"].tolist()], "mat": [mat.tobytes()], "codes": [codes.tobytes()]})
+
+    dealt = rows.join(F.broadcast(cuts), "cell").withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")))
+    return dealt.groupBy("cell", "cut").applyInPandas(pack, f"cell int, ids array<{kind}>, mat binary, codes binary")
+
+
 def search_many(queries: DataFrame, path: str, k: int, query_id: str = "query_id", query_vec: str = "query", id_col: str = "chunk_id", vec_col: str = "vec",
-                probes: int | None = None, depth: int = DEPTH) -> DataFrame:
+                probes: int | None = None, depth: int = DEPTH, chunks: DataFrame | None = None) -> DataFrame:
     """(query, id, score, rank): the k rows nearest to each query. Queries that are null, zero, non-finite or of another
-    length find nothing. Each meets its own cells in a join on the cell; up to BROADCAST_QUERIES of them are broadcast."""
+    length find nothing. Blocks of QUERIES queries meet ``chunks`` of cells, those of ``chunked``, in tiles: a tile orders the rows
+    of a cell that some of its queries search by their codes, and what leaves it can be among a query's best. Tables of
+    products are made where they are used, so neither they nor vectors are broadcast or shuffled."""
     spark = queries.sparkSession
-    model = load(spark, path)
-    kind = queries.schema[query_id].dataType.simpleString()
-    good = queries.where(_fine(F.col(query_vec)) & (F.size(query_vec) == model.dim)).select(F.col(query_id).alias("q"), vx.doubles(F.col(query_vec)).alias("v"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    model, stage = load(spark, path), Stage(spark, "search")
+    good = queries.where(_fine(F.col(query_vec)) & (F.size(query_vec) == model.dim)).select(F.col(query_id).alias("id"), F.col(query_vec).alias("v"))
+    blocks = vx._packed(good, stage, "queries", max(1, -(-good.count() // QUERIES))).select("block", F.col("ids").alias("qs"), F.col("mat").alias("qmat"))
+    if chunks is None:
+        chunks = stage.write(chunked(spark, path, id_col, vec_col), "chunks")
+    searched, most = min(probes or model.probes_set, len(model.cells)), k * depth
+    shifts = np.arange(len(model.codes)) * CODES
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None  # the block at hand: its tiles follow each other
         for batch in batches:
-            v = _unit(batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, model.dim))
-            cells, tables, centre = model.probes(v, min(probes or model.probes_set, len(model.cells))), model.tables(v), v @ model.cells.T
-            at = np.repeat(np.arange(len(v)), cells.shape[1])
-            own = batch.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(cells.ravel().astype(np.int32)), pa.array(np.take_along_axis(centre, cells, 1).ravel()),
-                                              pa.array(tables[at].tolist(), pa.list_(pa.float64()))], names=["q", "v", "cell", "base", "lookup"])
-
-    asked = good.mapInArrow(run, f"q {kind}, v array<double>, cell int, base double, lookup array<double>")
-    if good.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        asked = F.broadcast(asked)
-    rows = spark.read.parquet(f"{path}/rows").select(F.col(id_col).alias("id"), F.col(vec_col).alias("x"), "codes", "cell")
-    met = rows.join(asked, "cell").withColumn("about", F.col("base") + _estimate(F.col("codes"), F.col("lookup"), len(model.codes))).select("q", "v", "id", "x", "about")
-    near = met.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("about"), "id"))).where(F.col("n") <= k * depth)
-    exact = near.select("q", "id", F.round(vx.cosine(F.col("x"), F.col("v")), 4).alias("score"))
+            of = lambda name, r: batch.column(batch.schema.get_field_index(name))[r]  # noqa: B023, E731
+            for r in range(batch.num_rows):
+                if own != (block := of("block", r).as_py()):
+                    own, v = block, np.frombuffer(of("qmat", r).as_buffer()).reshape(-1, model.dim)
+                    tables, centre, best = model.tables(v), v @ model.cells.T, np.full((len(v), most), -np.inf)
+                    hit = np.zeros((len(v), len(model.cells)), bool)
+                    np.put_along_axis(hit, model.probes(v, searched), True, axis=1)
+                cell = of("cell", r).as_py()
+                some = np.flatnonzero(hit[:, cell])
+                if not len(some):
+                    continue
+                q, ids = (of(name, r).values.to_numpy(zero_copy_only=False) for name in ("qs", "ids"))
+                codes, x = np.frombuffer(of("codes", r).as_buffer(), np.int16).reshape(len(ids), -1) + shifts, np.frombuffer(of("mat", r).as_buffer()).reshape(len(ids), -1)
+                about = centre[some, cell][:, None] + sum(tables[some[:, None], codes[None, :, j]] for j in range(codes.shape[1]))
+                at = np.argsort(-about, axis=1, kind="stable")[:, :most]  # ties by id, as chunks are in order
+                about = np.take_along_axis(about, at, axis=1)
+                row, col = np.nonzero(about >= best[some, -1:])
+                best[some] = -np.sort(-np.concatenate([best[some], about], axis=1), axis=1)[:, :most]
+                found, one = at[row, col], some[row]
+                yield pa.RecordBatch.from_arrays([pa.array(q[one]), pa.array(ids[found]), pa.array(about[row, col]), pa.array((v[one] * x[found]).sum(axis=1))], names=["q", "id", "about", "score"])
+
+    kinds = f"q {queries.schema[query_id].dataType.simpleString()}, id {spark.read.parquet(f'{path}/rows').schema[id_col].dataType.simpleString()}, about double, score double"
+    bound_arrow(spark)
+    near = blocks.crossJoin(chunks.hint("shuffle_replicate_nl")).mapInArrow(settle, kinds)
+    near = near.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("about"), "id"))).where(F.col("n") <= most)
+    exact = near.select("q", "id", F.round("score", 4).alias("score"))
     out = exact.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
     return out.select(F.col("q").alias(query_id), F.col("id").alias(id_col), "score", "rank")

@@ -108,3 +108,27 @@ def test_tiles_are_not_shuffled(spark):
     x = np.array([v["vec"] for v in rows.orderBy("k").collect()])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     assert {(p["a"], p["b"]) for p in got.collect()} == {(a, b) for a, b in zip(*np.nonzero(x @ x.T >= 0.9), strict=True) if a < b}
+
+
+def test_tables_of_queries_are_not_sent(spark, tmp_path):
+    """Queries meet cells in tiles; before, each query stood once for every cell that it searched, with its table of products,
+    in a broadcast by way of the driver. Ties at the end go by id, also among copies."""
+    r = np.random.default_rng(4)
+    data = [*((i, v.tolist()) for i, v in enumerate(r.normal(size=(300, 8)))), *((300 + i, [1.0] * 8) for i in range(50))]
+    vi.build(spark.createDataFrame(data, "chunk_id long, vec array<double>"), str(tmp_path / "ix"))
+    asked = spark.createDataFrame([(i, v) for i, v in data[:20]] + [(1, data[300][1]), (2, [0.0] * 8)], "query_id long, query array<double>").withColumn("query_id", F.monotonically_increasing_id())
+    found = vi.search_many(asked, str(tmp_path / "ix"), 5, probes=10_000, depth=100)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan and "lookup" not in plan
+    got = {}
+    for x in found.orderBy("rank").collect():
+        got.setdefault(x["query_id"], []).append((x["chunk_id"], x["score"]))
+    want = {x["query_id"]: exact(data, np.array(x["query"]), 5) for x in asked.collect() if any(x["query"])}
+    assert got == want and [(300 + i, 1.0) for i in range(5)] in got.values()
+
+
+def test_queries_without_a_vector_count_as_queries(spark, tmp_path):
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(6).normal(size=(301, 4)))]
+    rows[100] = (100, None)
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert tuple(QUERIES["index_recall"](spark, str(tmp_path)).select("n_queries", "n_indexed", "recall_reached").first()) == (4, 300, True)
