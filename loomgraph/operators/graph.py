@@ -14,8 +14,10 @@ from .components import components as _components
 SUMMARY_WEIGHT, CITE_WEIGHT = 10.0, 5.0
 #: Documents of one entity that one task pairs.
 HOT = 5000
-#: Pairs that one task sums.
+#: Pairs that one task makes, about.
 PAIRS = 1_000_000
+#: Entities of a document that stand beside it in the lists of all of them.
+WIDE = 256
 RELATION = {"author": "authored_by", "citation": "cites", "topic": "about"}
 
 
@@ -128,33 +130,61 @@ def semantic_edges(pairs: DataFrame) -> DataFrame:
 def project(edges: DataFrame, max_df: int | None = None) -> DataFrame:
     """(a, b, weight): documents linked by shared entities (1 each) and by direct edges.
 
-    An entity's documents are a sorted list, and each document gets the rest of the list, so that
-    pairs are made only where they are summed. An entity of more than HOT documents is cut to
-    lists of about that many, and every two lists meet by themselves; a document of more than PAIRS
-    pairs is summed by several tasks. ``max_df`` leaves out entities of more documents; by default none is."""
+    A document stands in the list of each of its entities with the numbers of the others, and the direct edges of two
+    documents are an entity of those two. So a pair is made where the smallest number lies that both have, with the
+    weight of all that they share: pairs are not shuffled, and what is shuffled grows as the documents' own lists. An entity of
+    more than HOT documents is cut to lists of about that many, and every two lists meet by themselves. Documents of more than
+    WIDE entities would be long rows in many lists: pairs with one of those are summed by key. ``max_df`` leaves out entities
+    of more documents; by default none is."""
+    stage, parallel = Stage(edges.sparkSession, "project"), int(edges.sparkSession.sparkContext.defaultParallelism)
     is_doc = lambda c: F.col(c).startswith(ids.DOC)
     touch = edges.where(is_doc("src") != is_doc("dst")).select(F.when(is_doc("src"), F.col("src")).otherwise(F.col("dst")).alias("d"), F.when(is_doc("src"), F.col("dst")).otherwise(F.col("src")).alias("e"))
     if max_df is not None:
         touch = touch.distinct()
         touch = touch.join(touch.groupBy("e").count().where(F.col("count") <= max_df).select("e"), "e", "left_semi")
-    hot = touch.groupBy("e").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("e", F.ceil(F.col("n") / HOT).cast("int").alias("n"))  # a row HOT rows at most
-    cut = touch.join(F.broadcast(hot), "e", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("k", F.when(F.col("n") > 1, F.pmod(F.xxhash64("d"), F.col("n"))).otherwise(0).cast("int"))
-    made = Stage(edges.sparkSession, "project").write(cut.repartition("e", "k").groupBy("e", "k").agg(F.array_sort(F.collect_set("d")).alias("z"), F.first("n").alias("n")), "lists")
-    own = made.select("z", F.posexplode("z").alias("i", "a")).select("a", F.slice("z", F.col("i") + 2, F.size("z")).alias("bs"))
-    far = made.where("n > 1").select("e", "k", "z", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j")).where("j <> k").join(made.where("n > 1").select("e", F.col("k").alias("j"), F.col("z").alias("y")), ["e", "j"])
-    far = far.repartition("e", "k", "j").select("y", F.explode("z").alias("a")).select("a", F.filter("y", lambda b: b > F.col("a")).alias("bs"))
-    shared = own.unionByName(far).where(F.size("bs") > 0).select("a", "bs", F.lit(1.0).alias("weight"))
     w = (F.when(F.col("relation") == "shares_summary_with", SUMMARY_WEIGHT * F.coalesce("similarity", F.lit(1.0)))
          .when(F.col("relation") == "cites", F.lit(CITE_WEIGHT)).otherwise(F.lit(1.0)))
-    direct = edges.where(is_doc("src") & is_doc("dst") & (F.col("src") != F.col("dst"))).select(F.least("src", "dst").alias("a"), F.array(F.greatest("src", "dst")).alias("bs"), w.alias("weight"))
-    pairs = F.col("n") * F.size("z").cast("long")  # of one document, about
-    dense = made.select(F.explode("z").alias("a"), pairs.alias("p")).groupBy("a").agg(F.sum("p").alias("p")).where(F.col("p") > PAIRS).select("a", F.ceil(F.col("p") / PAIRS).cast("int").alias("cuts"))
-    rows = shared.unionByName(direct).join(F.broadcast(dense), "a", "left").select("a", "bs", "weight", F.coalesce("cuts", F.lit(1)).alias("cuts"))  # a row PAIRS pairs at most
-    rows = rows.select("a", "bs", "weight", "cuts", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"))
-    rows = rows.select("a", "cut", "weight", F.when(F.col("cuts") > 1, F.filter("bs", lambda b: F.pmod(F.xxhash64(b), F.col("cuts")) == F.col("cut"))).otherwise(F.col("bs")).alias("bs"))
-    total = made.agg(F.sum(pairs * F.size("z"))).first()[0] or 0
-    dealt = rows.repartition(max(int(edges.sparkSession.sparkContext.defaultParallelism), math.ceil(total / 2 / PAIRS)), "a", "cut")
-    return dealt.select("a", "cut", "weight", F.explode("bs").alias("b")).groupBy("a", "cut", "b").agg(F.sum("weight").alias("weight")).select("a", "b", "weight")
+    direct = edges.where(is_doc("src") & is_doc("dst") & (F.col("src") != F.col("dst"))).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), w.alias("w"))
+    direct = stage.write(direct.groupBy("a", "b").agg(F.sum("w").alias("w")).select((-1 - F.monotonically_increasing_id()).alias("e"), F.array("a", "b").alias("z"), "w"), "direct")  # the smallest numbers
+    hot = touch.groupBy("e").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("e", F.ceil(F.col("n") / HOT).cast("int").alias("n"))  # a row HOT rows at most
+    hot = stage.write(hot.withColumn("id", F.monotonically_increasing_id() + (1 << 62)), "hot")
+    cut = touch.join(F.broadcast(hot), "e", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("k", F.when(F.col("n") > 1, F.pmod(F.xxhash64("d"), F.col("n"))).otherwise(0).cast("int"))
+    made = cut.repartition("e", "k").groupBy("e", "k").agg(F.collect_set("d").alias("z"), F.first("n").alias("n"), F.first("id").alias("id")).where((F.size("z") > 1) | (F.col("n") > 1))  # a lone document makes no pair
+    made = stage.write(made.select(F.coalesce("id", F.monotonically_increasing_id()).alias("e"), "k", "n", "z"), "lists")
+    links = made.select(F.explode("z").alias("d"), "e", "k", "n", F.lit(1.0).alias("w")).unionByName(direct.select(F.explode("z").alias("d"), "e", F.lit(0).alias("k"), F.lit(1).alias("n"), "w"))
+    wide = touch.select("d").unionByName(direct.select(F.explode("z").alias("d"))).groupBy("d").agg(F.count(F.lit(1)).alias("c"))  # where a document's rows lie together, one each is sent
+    wide = stage.write(wide.where(F.col("c") > WIDE).select("d"), "wide")
+    some_wide, some_hot = bool(wide.limit(1).count()), bool(hot.limit(1).count())
+    cuts = ["k", "n"] if some_hot else []
+    if some_wide:
+        narrow = links.join(wide.select("d"), "d", "left_anti")
+        lone = links.join(wide.select("d"), "d", "left_semi").select("e", "w", *cuts, F.struct("d", F.lit(None).cast("array<bigint>").alias("es")).alias("m"))
+    else:
+        narrow = links
+    of = narrow.repartition("d").groupBy("d").agg(F.collect_list(F.struct("e", "w", *cuts)).alias("at"))
+    total = made.agg(F.sum(F.col("n") * F.size("z").cast("long") * F.size("z"))).first()[0] or 0
+    of = stage.write(of, "documents")
+    rows = of.select("d", F.transform("at", lambda x: x["e"]).alias("es"), F.explode("at").alias("x")).select("x.*", "d", "es")
+    rows = rows.select("e", "w", *cuts, F.struct("d", F.array_remove("es", F.col("e")).alias("es")).alias("m"))
+    if some_wide:
+        rows = rows.unionByName(lone)
+    else:
+        stage.drop("lists")
+        stage.drop("direct")
+    rows = rows.repartition(max(parallel, math.ceil(total / 2 / PAIRS)), "e", *cuts[:1]).groupBy("e", *cuts).agg(F.collect_list("m").alias("z"), F.first("w").alias("w"))
+    if some_wide or some_hot:
+        rows = stage.write(rows, "members")
+    met = rows.select("e", "w", "z", F.posexplode("z").alias("i", "m")).select("e", "w", "m", F.explode(F.slice("z", F.col("i") + 2, F.size("z"))).alias("o"))
+    if some_hot:
+        far = rows.where("n > 1").select("e", "k", "z", "w", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j")).where("j > k").join(rows.where("n > 1").select("e", F.col("k").alias("j"), F.col("z").alias("y")), ["e", "j"])
+        far = far.repartition("e", "k", "j").select("e", "w", "y", F.explode("z").alias("m")).select("e", "w", "m", F.explode("y").alias("o"))
+        met = met.unionByName(far)
+    ends = F.least("m.d", "o.d").alias("a"), F.greatest("m.d", "o.d").alias("b")
+    both = met.select("e", "w", *ends, F.array_intersect("m.es", "o.es").alias("both"))  # null if one is wide
+    out = both.where((F.size("both") == 0) | (F.array_min("both") > F.col("e"))).select("a", "b", (F.col("w") + F.size("both")).alias("weight"))
+    if some_wide:
+        out = out.unionByName(met.where("m.es is null or o.es is null").select(*ends, "w").groupBy("a", "b").agg(F.sum("w").alias("weight")))
+    return out
 
 
 # --- degrees and hubs -------------------------------------------------------------------

@@ -372,3 +372,20 @@ def test_outcomes_alone_keep_no_texts(spark):
 
     out = ig.ingest(files(spark, SF), spark.createDataFrame([], "hash string"), profiles=NOTHING, whole=False)
     assert not {"text", "record", "abstract"} & set(out.columns) and {"status", "reason"} <= set(out.columns)
+
+
+def test_pairs_are_not_shuffled_and_wide_documents_are_summed(spark, monkeypatch):
+    """Pairs come out of the last deal of the documents' own lists; documents of many entities give the same pairs."""
+    rows = [(f"doc::{i % 12}", f"topic::{i % 5}", "about", None) for i in range(60)] + [(f"doc::{i}", f"topic::{i % 3}", "about", None) for i in range(0, 40, 3)]
+    rows += [("doc::3", "doc::1", "cites", None), ("doc::1", "doc::3", "cites", None), ("doc::3", "doc::39", "cites", None), ("doc::0", "doc::50", "cites", None)]
+    edges = table(spark, rows, "src string, dst string, relation string, similarity double")
+    whole = gx.project(edges)
+    text = whole._jdf.queryExecution().toString()
+    steps = text[text.index("== Physical Plan =="):]
+    assert "Exchange" not in steps[:steps.rindex("Generate explode(slice")] and not re.search(r"hashpartitioning\(a#", steps)
+    want = {(r["a"], r["b"]): r["weight"] for r in whole.collect()}
+    assert want["doc::1", "doc::3"] == 15.0 and want["doc::0", "doc::50"] == 5.0 and want["doc::3", "doc::39"] == 6.0
+    for wide, hot in ((0, 5000), (4, 5000), (4, 4), (256, 4)):
+        monkeypatch.setattr(gx, "WIDE", wide)
+        monkeypatch.setattr(gx, "HOT", hot)
+        assert {(r["a"], r["b"]): r["weight"] for r in gx.project(edges).collect()} == want
